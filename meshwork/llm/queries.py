@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm import dedup, langid, packing, quality, sharding
+from meshwork.llm import dedup, fingerprint, jaccard, langid, packing, quality, sentencepiece, sharding
 from meshwork.llm.common import LOWER, UPPER, id_crc, table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece.encode(docs, tokenizer_path("piece_bpe_32k.model"), ids=False, digest=True)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -27,6 +32,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> langid.LanguageModel:
     return langid.fit(docs, id_crc("doc_id", 4) != 2)
 
@@ -37,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -52,9 +65,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
 }
