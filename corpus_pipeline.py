@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import dedup, langid, packing, quality
+from meshwork.llm import dedup, jaccard, langid, packing, quality
 from meshwork.llm.common import materialize, table
 from meshwork.llm.queries import language_model, quality_model, tokenizer_path
 
@@ -24,12 +24,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of 0.8 or more connect, keeps the document with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
     return packing.pack(packing.tokenize(docs, tokenizer_path("word_bpe_49k.json")))
 
 
-STAGES = [("language ID", language), ("quality classifier", good), ("exact dedup", exact), ("best-fit packing", packed)]
+STAGES = [("language ID", language), ("quality classifier", good), ("exact dedup", exact), ("n-gram Jaccard join", near), ("best-fit packing", packed)]
 
 #: The classifiers can't be said in SQL.
 ORACLE_SQL = None
