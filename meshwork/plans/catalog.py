@@ -1,10 +1,765 @@
-"""All registered queries of the library and their SQL twins."""
+"""All registered queries of the library and their DuckDB twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from meshwork.functions import scalars as S
+from meshwork.operators import centrality, community, compare, embeddings, graph, iterate, linkpred, resilience, transit
+from meshwork.plans import fixtures as X
+from meshwork.sources import edges as sources
+from meshwork.streaming import events as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _graph_sql(least: int | None) -> str:
+    rows = f"(SELECT * FROM lineitem WHERE l_quantity >= {least})" if least else "lineitem"
+    return f"""WITH RECURSIVE u AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {rows} a JOIN {rows} b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey),
+        e AS MATERIALIZED (SELECT src, dst FROM u UNION ALL SELECT dst, src FROM u),
+        v AS MATERIALIZED (SELECT DISTINCT src AS id FROM e),
+        deg AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM e GROUP BY src)"""
+
+
+P, Q = _graph_sql(None), _graph_sql(45)
+_TRI = """, tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM u x JOIN u y ON x.dst = y.src JOIN u z ON z.src = x.src AND z.dst = y.dst),
+        t AS MATERIALIZED (SELECT v.id, coalesce(n, 0)::BIGINT AS t FROM v LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY id) USING (id))"""
+_DIST = ", h(landmark, id, distance) AS (SELECT id, id, 0 FROM {sources} UNION SELECT h.landmark, e.dst, h.distance + 1 FROM h JOIN e ON h.id = e.src WHERE h.distance < {most}), dist AS MATERIALIZED (SELECT landmark, id, min(distance) AS distance FROM h GROUP BY ALL)"
+_REACH = ", r(id, c) AS (SELECT id, id FROM v UNION SELECT e.dst, r.c FROM r JOIN e ON r.id = e.src), comp AS MATERIALIZED (SELECT id, min(c) AS component FROM r GROUP BY id)"
+
+
+def _pagerank_sql(n: int) -> str:
+    out = ", r0 AS (SELECT id, 1.0::DOUBLE AS r FROM v)"
+    for k in range(n):
+        out += f", r{k + 1} AS MATERIALIZED (SELECT v.id, 0.15 + 0.85 * coalesce(s, 0) AS r FROM v LEFT JOIN (SELECT e.dst AS id, sum(r / d) AS s FROM e JOIN r{k} ON r{k}.id = e.src JOIN deg ON deg.id = e.src GROUP BY e.dst) USING (id))"
+    return out
+
+
+def _lpa_sql(n: int) -> str:
+    out = ", l0 AS (SELECT id, id AS label FROM v)"
+    for k in range(n):
+        out += f", l{k + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT e.dst AS id, label, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, label) AS n FROM e JOIN l{k} ON l{k}.id = e.src GROUP BY e.dst, label) WHERE n = 1)"
+    return out
+
+
+# Graph construction and structure
+
+
+@query("edges_symmetric", Q + " SELECT src, dst FROM e")
+def _(s, d):
+    return X.sparse(s, d).edges.select("src", "dst")
+
+
+@query("vertices", Q + " SELECT id FROM v")
+def _(s, d):
+    return X.sparse(s, d).vertices
+
+
+@query("graph_summary", P + " SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM u) AS edges, 2.0::DOUBLE * (SELECT count(*) FROM u) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)) AS density")
+def _(s, d):
+    return graph.summary(X.parts(s, d))
+
+
+@query("edge_multiplicity", "SELECT src, dst, count(*) AS weight FROM (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) GROUP BY ALL")
+def _(s, d):
+    lines = X.table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    return graph.multiplicity(lines.select("l_orderkey", F.col("l_partkey").alias("src")).join(lines.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").filter("src < dst"))
+
+
+@query("degree_in_out_total", P + " SELECT id, d AS in_degree, d AS out_degree, 2 * d AS degree FROM deg")
+def _(s, d):
+    return graph.in_out_total(X.parts(s, d))
+
+
+@query("degree_histogram", P + " SELECT 2 * d AS degree, count(*) AS count, count(*) / (SELECT count(*) FROM v)::DOUBLE AS p_k FROM deg GROUP BY d")
+def _(s, d):
+    return graph.degree_histogram(graph.degrees(X.parts(s, d)))
+
+
+@query("degree_stats", P + " SELECT round(avg(2 * d), 6) AS avg_degree, max(2 * d) AS max_degree, min(2 * d) AS min_degree, round(stddev_samp(2 * d), 6) AS stddev_samp, round(stddev_pop(2 * d), 6) AS stddev_pop FROM deg")
+def _(s, d):
+    out = graph.degree_stats(graph.degrees(X.parts(s, d)))
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_degree", "stddev_samp", "stddev_pop")})
+
+
+@query("power_law", P + ", h AS (SELECT 2 * d AS k, count(*) / (SELECT count(*) FROM v)::DOUBLE AS p FROM deg GROUP BY d) SELECT round(-regr_slope(ln(p), ln(k)), 6) AS exponent, count(*) AS points FROM h WHERE k > (SELECT min(k) FROM h)")
+def _(s, d):
+    return graph.power_law(graph.degrees(X.parts(s, d))).withColumn("exponent", F.round("exponent", 6))
+
+
+@query("top_hubs", P + " SELECT id, 2 * d AS degree FROM deg ORDER BY d DESC, id LIMIT 10")
+def _(s, d):
+    return graph.top(graph.degrees(X.parts(s, d)), "degree", 10)
+
+
+@query("degree_centrality", P + " SELECT id, round(2.0 * d / ((SELECT count(*) FROM v) - 1), 9)::DOUBLE AS degree_centrality FROM deg")
+def _(s, d):
+    return centrality.degree_centrality(X.parts(s, d)).withColumn("degree_centrality", F.round("degree_centrality", 9))
+
+
+@query("triangles_per_vertex", P + _TRI + " SELECT id, t AS triangles FROM t")
+def _(s, d):
+    return graph.triangles(X.parts(s, d))
+
+
+@query("triangle_total", P + _TRI + " SELECT count(*) AS triangles FROM tri")
+def _(s, d):
+    return graph.triangle_total(graph.triangles(X.parts(s, d)))
+
+
+@query("clustering_local", Q + _TRI + " SELECT id, round(2.0 * t / (2 * d * (2 * d - 1)), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id)")
+def _(s, d):
+    return graph.local_clustering(X.sparse(s, d)).withColumn("clustering", F.round("clustering", 9))
+
+
+@query("clustering_global", P + _TRI + """ SELECT (SELECT count(*) FROM tri) AS triangles, sum(2 * d * (2 * d - 1) // 2)::BIGINT AS triples,
+    round(3.0 * (SELECT count(*) FROM tri) / sum(2 * d * (2 * d - 1) // 2), 9)::DOUBLE AS global_clustering, round(avg(2.0 * t / (2 * d * (2 * d - 1))), 9)::DOUBLE AS avg_local_clustering FROM t JOIN deg USING (id)""")
+def _(s, d):
+    return graph.clustering(X.parts(s, d)).withColumns({c: F.round(c, 9) for c in ("global_clustering", "avg_local_clustering")})
+
+
+@query("mutual_motif", Q + " SELECT src, dst FROM u")
+def _(s, d):
+    return graph.mutual_motif(X.sparse(s, d).edges)
+
+
+@query("network_preview", Q + """, f AS (SELECT src, dst FROM e ORDER BY src, dst LIMIT 900), n AS (SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM f) GROUP BY id ORDER BY k DESC, id LIMIT 70)
+    SELECT src, dst FROM f WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) ORDER BY src, dst LIMIT 180""")
+def _(s, d):
+    return graph.preview(X.sparse(s, d).edges)
+
+
+@query("id_dictionary", Q + " SELECT count(*) AS ids, count(*) AS codes, (SELECT count(*) FROM e) AS edges FROM v")
+def _(s, d):
+    codes, e = graph.encode(X.sparse(s, d).edges)
+    return codes.agg(F.count(F.lit(1)).alias("ids"), F.countDistinct("code").alias("codes")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("edges"))))
+
+
+@query("chain_edges", "WITH c AS (SELECT s_suppkey AS src, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS dst FROM supplier) SELECT src, dst FROM c WHERE dst IS NOT NULL UNION SELECT dst, src FROM c WHERE dst IS NOT NULL")
+def _(s, d):
+    return X.suppliers(s, d).edges
+
+
+@query("path_graph", "SELECT a AS src, a + 1 AS dst FROM range(101, 200) t(a) UNION SELECT a + 1, a FROM range(101, 200) t(a)")
+def _(s, d):
+    return graph.path_graph(s).edges
+
+
+# Iterative algorithms
+
+
+@query("pagerank_5", P + _pagerank_sql(5) + " SELECT id, round(r, 6) AS pagerank FROM r5")
+def _(s, d):
+    return iterate.pagerank(X.parts(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6))
+
+
+@query("pagerank_top100", Q + _pagerank_sql(5) + " SELECT id, round(r, 6) AS pagerank FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 100")
+def _(s, d):
+    return graph.top(iterate.pagerank(X.sparse(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), "pagerank", 100)
+
+
+@query("pagerank_tol")
+def _(s, d):
+    return iterate.pagerank(graph.path_graph(s), tol=1e-4)
+
+
+@query("label_propagation_5", Q + _lpa_sql(5) + " SELECT id, label FROM l5")
+def _(s, d):
+    return iterate.label_propagation(X.sparse(s, d), 5)
+
+
+@query("community_sizes", Q + _lpa_sql(5) + " SELECT label, count(*) AS size FROM l5 GROUP BY label ORDER BY size DESC, label LIMIT 5")
+def _(s, d):
+    return graph.top(iterate.group_sizes(iterate.label_propagation(X.sparse(s, d), 5), "label"), "size", 5, "label")
+
+
+@query("connected_components", Q + _REACH + " SELECT id, component FROM comp")
+def _(s, d):
+    return iterate.connected_components(X.sparse(s, d))
+
+
+@query("component_profile", Q + _REACH + ", z AS (SELECT component, count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS groups, count(*) FILTER (size > 10) AS over_ten, count(*) FILTER (size = 1) AS singletons, max(size) AS largest FROM z")
+def _(s, d):
+    return iterate.size_profile(iterate.group_sizes(iterate.connected_components(X.sparse(s, d)), "component"))
+
+
+@query("giant_component", Q + _REACH + " SELECT max(n) AS giant_size FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
+def _(s, d):
+    return resilience.giant_component(X.sparse(s, d))
+
+
+_TOP3 = ", top3 AS MATERIALIZED (SELECT id FROM deg ORDER BY d DESC, id LIMIT 3)"
+
+
+@query("shortest_paths_landmarks", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT landmark, id, distance FROM dist")
+def _(s, d):
+    g = X.sparse(s, d)
+    return iterate.hops(g, iterate.landmarks(g, "degree", 3))
+
+
+@query("path_stats", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT count(*) AS paths, max(distance) AS diameter, round(avg(distance), 6) AS avg_distance FROM dist")
+def _(s, d):
+    g = X.sparse(s, d)
+    return iterate.path_stats(iterate.hops(g, iterate.landmarks(g, "degree", 3))).withColumn("avg_distance", F.round("avg_distance", 6))
+
+
+@query("distance_maps", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT id, string_agg(landmark || '=' || distance, ',' ORDER BY landmark) AS distances FROM dist GROUP BY id")
+def _(s, d):
+    g = X.sparse(s, d)
+    m = iterate.distance_maps(iterate.hops(g, iterate.landmarks(g, "degree", 3)))
+    pairs = F.transform(F.array_sort(F.map_entries("distances")), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string")))
+    return m.select("id", F.array_join(pairs, ",").alias("distances"))
+
+
+@query("shortest_path_trace", "SELECT (a - 100)::INT AS step, a AS id FROM range(101, 131) t(a)")
+def _(s, d):
+    return iterate.trace(graph.path_graph(s), 101, 130)
+
+
+@query("eigenvector_20")
+def _(s, d):
+    return iterate.eigenvector(X.parts(s, d), 20, 0.0).withColumn("eigenvector", F.round("eigenvector", 6))
+
+
+def _eigen_sql(n: int) -> str:
+    out = ", x0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS x FROM v)"
+    for k in range(n):
+        out += f", y{k} AS MATERIALIZED (SELECT e.dst AS id, sum(x) AS y FROM e JOIN x{k} ON x{k}.id = e.src GROUP BY e.dst), x{k + 1} AS MATERIALIZED (SELECT id, y / (SELECT sqrt(sum(y * y)) FROM y{k}) AS x FROM y{k})"
+    return P + out + f" SELECT id, round(x, 6) AS eigenvector FROM x{n}"
+
+
+ORACLE_SQL["eigenvector_20"] = _eigen_sql(20)
+
+
+def _core_sql(n: int) -> str:
+    out = ", c0 AS (SELECT id, d AS c FROM deg)"
+    for k in range(n):
+        out += f", c{k + 1} AS MATERIALIZED (SELECT id, max(least(n, c)) AS c FROM (SELECT e.src AS id, c, row_number() OVER (PARTITION BY e.src ORDER BY c DESC) AS n FROM e JOIN c{k} ON c{k}.id = e.dst) GROUP BY id)"
+    return Q + out + f" SELECT id, c AS coreness FROM c{n}"
+
+
+@query("kcore", _core_sql(24))
+def _(s, d):
+    return iterate.k_core(X.sparse(s, d))
+
+
+@query("core_distribution", _core_sql(24).rsplit(" SELECT id", 1)[0] + " SELECT c AS coreness, count(*) AS count FROM c24 GROUP BY c")
+def _(s, d):
+    return iterate.k_core(X.sparse(s, d)).groupBy("coreness").agg(F.count(F.lit(1)).alias("count"))
+
+
+# Centralities
+
+
+_SAMPLE = ", sm AS MATERIALIZED (SELECT id FROM v ORDER BY md5(concat(id::VARCHAR, ':42')), id LIMIT {n})"
+
+
+@query("closeness_sampled", Q + _SAMPLE.format(n=60) + _DIST.format(sources="sm", most=60) + """, k AS (SELECT id, count(*) AS n, sum(distance) AS s FROM dist WHERE distance > 0 GROUP BY id)
+    SELECT v.id, round(coalesce(n::DOUBLE * n / (((SELECT count(*) FROM v) - 1) * s), 0), 9) AS closeness FROM v LEFT JOIN k USING (id)""")
+def _(s, d):
+    g = X.sparse(s, d)
+    return centrality.closeness(g, centrality.sample(g.vertices, rows=60)).withColumn("closeness", F.round("closeness", 9))
+
+
+@query("global_efficiency", Q + _SAMPLE.format(n=60) + _DIST.format(sources="sm", most=60) + " SELECT round(avg(1.0 / distance), 9)::DOUBLE AS efficiency FROM dist WHERE distance > 0")
+def _(s, d):
+    g = X.sparse(s, d)
+    return resilience.global_efficiency(g, centrality.sample(g.vertices, rows=60)).withColumn("efficiency", F.round("efficiency", 9))
+
+
+@query("betweenness_sampled")
+def _(s, d):
+    g = X.sparse(s, d)
+    return centrality.betweenness(g, centrality.sample(g.vertices, share=0.05)).withColumn("betweenness", F.round("betweenness", 9))
+
+
+@query("burt_constraint", P + """, w AS (SELECT a.src AS i, b.dst AS j, sum(1.0::DOUBLE / d) AS x FROM e a JOIN e b ON a.dst = b.src JOIN deg ON deg.id = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst GROUP BY ALL)
+    SELECT e.src AS id, round(sum(((1 + coalesce(x, 0)) / d) ** 2), 6) AS "constraint", round(1 - sum(((1 + coalesce(x, 0)) / d) ** 2), 6) AS broker FROM e LEFT JOIN w ON w.i = e.src AND w.j = e.dst JOIN deg ON deg.id = e.src GROUP BY e.src""")
+def _(s, d):
+    return centrality.burt_constraint(X.parts(s, d)).withColumns({c: F.round(c, 6) for c in ("constraint", "broker")})
+
+
+@query("influence_score")
+def _(s, d):
+    g = X.sparse(s, d)
+    some = centrality.sample(g.vertices, rows=40)
+    return centrality.influence(centrality.degree_centrality(g), centrality.betweenness(g, some), centrality.closeness(g, some), iterate.eigenvector(g, 10), iterate.k_core(g)).withColumn("influence", F.round("influence", 6))
+
+
+# Communities given by the parts' brand
+
+
+_BRAND = ", b AS MATERIALIZED (SELECT p_partkey AS id, p_brand AS c FROM part), eb AS MATERIALIZED (SELECT e.src, e.dst, x.c AS cs, y.c AS cd FROM e JOIN b x ON x.id = e.src JOIN b y ON y.id = e.dst)"
+
+
+@query("modularity_edge", P + _BRAND + " SELECT round(sum(1 - a.d * z.d / (SELECT count(*) FROM e)::DOUBLE) / (SELECT count(*) FROM e), 9) AS modularity FROM eb JOIN deg a ON a.id = src JOIN deg z ON z.id = dst WHERE cs = cd")
+def _(s, d):
+    return community.modularity(X.parts(s, d), X.brands(s, d), edges_only=True).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("modularity_newman", P + _BRAND + """, i AS (SELECT cs AS c, count(*) AS n FROM eb WHERE cs = cd GROUP BY cs), t AS (SELECT c, sum(d) AS d FROM deg JOIN b USING (id) GROUP BY c)
+    SELECT round(sum(coalesce(n, 0) / (SELECT count(*) FROM e)::DOUBLE - (d / (SELECT count(*) FROM e)::DOUBLE) ** 2), 9) AS modularity FROM t LEFT JOIN i USING (c)""")
+def _(s, d):
+    return community.modularity(X.parts(s, d), X.brands(s, d)).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("community_profile", P + _BRAND + """, x AS (SELECT cs AS c, count(*) FILTER (cs = cd) AS i2, count(*) FILTER (cs <> cd) AS o FROM eb GROUP BY cs), y AS (SELECT c, count(*) AS n, avg(d) AS a, max(d) AS m FROM deg JOIN b USING (id) GROUP BY c)
+    SELECT c AS community, n AS size, i2 // 2 AS internal_edges, o // 2 AS external_edges, o AS external_edges_raw, round(i2::DOUBLE / (n * (n - 1)), 4) AS density, round(a, 2) AS avg_degree, m AS max_degree,
+           round(i2::DOUBLE / (SELECT count(*) FROM e), 4) AS coverage, round(o::DOUBLE / (i2 + o), 4) AS conductance FROM y JOIN x USING (c)""")
+def _(s, d):
+    return community.profile(X.parts(s, d), X.brands(s, d))
+
+
+@query("bridge_nodes", Q + _BRAND + " SELECT src AS id, cs AS community, count(DISTINCT cd) AS bridge_score, array_to_string(list_sort(list(DISTINCT cd)), ',') AS connects_to FROM eb WHERE cs <> cd GROUP BY src, cs")
+def _(s, d):
+    return community.bridges(X.sparse(s, d), X.brands(s, d)).withColumn("connects_to", F.array_join("connects_to", ","))
+
+
+@query("community_jaccard", Q + _BRAND + """, k AS (SELECT c FROM b GROUP BY c ORDER BY count(*) DESC, c LIMIT 20), n AS MATERIALIZED (SELECT DISTINCT cs, cd FROM eb WHERE cs <> cd AND cs IN (SELECT c FROM k)), z AS (SELECT cs, count(*) AS n FROM n GROUP BY cs)
+    SELECT x.cs AS community_a, y.cs AS community_b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*))::DOUBLE, 4) AS jaccard FROM n x JOIN n y ON x.cd = y.cd AND x.cs < y.cs JOIN z p ON p.cs = x.cs JOIN z q ON q.cs = y.cs GROUP BY x.cs, y.cs""")
+def _(s, d):
+    return community.similarity(X.sparse(s, d), X.brands(s, d))
+
+
+@query("community_members", "SELECT p_brand AS community, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_brand")
+def _(s, d):
+    return community.members(X.brands(s, d)).select("community", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query("louvain_local_move")
+def _(s, d):
+    return community.local_moving(X.sparse(s, d), 3)
+
+
+# Link prediction
+
+
+_HOP2 = ", pr AS MATERIALIZED (SELECT DISTINCT a.src AS u, b.dst AS v FROM e a JOIN e b ON a.dst = b.src WHERE a.src < b.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.src AND x.dst = b.dst))"
+
+
+@query("two_hop_pairs", Q + _HOP2 + " SELECT u, v FROM pr")
+def _(s, d):
+    return linkpred.two_hop_pairs(X.sparse(s, d))
+
+
+@query("link_features", Q + _HOP2 + _BRAND + """, cn AS (SELECT u, v, count(*) AS n, sum(CASE WHEN d > 1 THEN 1 / ln(d + 1e-9) ELSE 0 END) AS aa, sum(1.0::DOUBLE / d) AS ra FROM pr JOIN e a ON a.src = u JOIN e z ON z.src = a.dst AND z.dst = v JOIN deg ON deg.id = a.dst GROUP BY ALL),
+    n3 AS (SELECT u, v, count(*) AS n3 FROM pr JOIN e a ON a.src = u JOIN e m ON m.src = a.dst JOIN e z ON z.src = m.dst AND z.dst = v GROUP BY ALL)
+    SELECT u, v, n AS common_neighbors, round(n / (x.d + y.d - n)::DOUBLE, 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, x.d * y.d AS preferential_attachment, (p.c = q.c)::INT AS same_community, 2 AS path_distance,
+           round(0.005 * n + 0.005 * 0.005 * (coalesce(n3, 0) - n), 9)::DOUBLE AS katz
+    FROM cn LEFT JOIN n3 USING (u, v) JOIN deg x ON x.id = u JOIN deg y ON y.id = v JOIN b p ON p.id = u JOIN b q ON q.id = v""")
+def _(s, d):
+    g = X.sparse(s, d)
+    out = linkpred.features(g, linkpred.two_hop_pairs(g), X.brands(s, d), most=2)
+    return out.withColumns({"katz": F.round("katz", 9), **{c: F.round(c, 6) for c in ("jaccard", "adamic_adar", "resource_allocation")}})
+
+
+@query("link_positives", Q + " SELECT src AS u, dst AS v FROM u ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst LIMIT (SELECT (count(*) * 0.2)::DOUBLE::INT FROM u WHERE true)")
+def _(s, d):
+    return linkpred.dataset(X.sparse(s, d)).filter("label = 1").select("u", "v")
+
+
+ORACLE_SQL["link_positives"] = Q + " SELECT u, v FROM (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst) AS n FROM u) WHERE n <= floor((SELECT count(*) FROM u) * 0.2)"
+
+
+@query("link_dataset")
+def _(s, d):
+    return linkpred.dataset(X.sparse(s, d))
+
+
+@query("link_models")
+def _(s, d):
+    g = X.sparse(s, d)
+    rows = linkpred.dataset(g)
+    data = linkpred.features(g, rows, most=2).join(rows, ["u", "v"]).persist()
+    return linkpred.train(data, trees=20, boosts=10, rounds=50)[0].select("model", F.round("auc", 6).alias("auc"))
+
+
+@query("predicted_links")
+def _(s, d):
+    g = X.sparse(s, d)
+    rows = linkpred.dataset(g)
+    data = linkpred.features(g, rows, most=2).join(rows, ["u", "v"]).persist()
+    _, model = linkpred.train(data, trees=10, boosts=5, rounds=20)
+    return linkpred.predict(model, linkpred.features(g, linkpred.two_hop_pairs(g), most=2))
+
+
+# Embeddings
+
+
+@query("node2vec_walks")
+def _(s, d):
+    return embeddings.walks(X.sparse(s, d), length=8, per_vertex=2)
+
+
+@query("node_embeddings")
+def _(s, d):
+    model = embeddings.word_vectors(embeddings.local_walks(X.sparse(s, d), length=20, per_vertex=4), size=16, window=5, rounds=1)
+    return embeddings.vectors(model).select("id", F.size(embeddings.vector_to_array("vector")).alias("dims"))
+
+
+@query("kmeans_sweep")
+def _(s, d):
+    return embeddings.kmeans_sweep(embeddings.as_vectors(X.table(s, d, "embeddings"), "vec_id", "embedding"), range(5, 12, 3))[0]
+
+
+@query("pca_2d")
+def _(s, d):
+    return embeddings.pca_2d(embeddings.as_vectors(X.table(s, d, "embeddings"), "vec_id", "embedding"))
+
+
+@query("cosine_topk", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q WHERE vec_id <> 7 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10""")
+def _(s, d):
+    return embeddings.nearest(X.table(s, d, "embeddings"), 7, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+# Resilience
+
+
+def _attack_sql(order: str) -> str:
+    return Q + f""", o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {order}) AS p FROM v JOIN deg USING (id)), per AS (SELECT greatest(1, count(*) // 20) AS per, count(*) AS n FROM v),
+    g AS MATERIALIZED (SELECT id, (p - 1) // per + 1 AS gone FROM o, per), st AS MATERIALIZED (SELECT unnest(range(0, ceil(n / per)::BIGINT + 1)) AS step FROM per),
+    vs AS MATERIALIZED (SELECT step, id FROM st JOIN g ON step < gone), es AS MATERIALIZED (SELECT step, e.src, e.dst FROM e JOIN g a ON a.id = e.src JOIN g z ON z.id = e.dst JOIN st ON step < least(a.gone, z.gone)),
+    rs(step, id, c) AS (SELECT step, id, id FROM vs UNION SELECT rs.step, es.dst, rs.c FROM rs JOIN es ON es.step = rs.step AND es.src = rs.id),
+    sz AS (SELECT step, max(n) AS giant, sum(n) AS remaining FROM (SELECT step, c, count(*) AS n FROM (SELECT step, id, min(c) AS c FROM rs GROUP BY ALL) GROUP BY ALL) GROUP BY step)
+    SELECT st.step::INT AS step, (n - coalesce(remaining, 0))::BIGINT AS removed, coalesce(remaining, 0)::BIGINT AS remaining, coalesce(giant, 0) AS giant_size, round(coalesce(giant, 0) / n::DOUBLE, 4) AS giant_share FROM st LEFT JOIN sz USING (step), per"""
+
+
+@query("attack_random", _attack_sql("md5(concat(id::VARCHAR, ':42')), id"))
+def _(s, d):
+    g = X.sparse(s, d)
+    return resilience.attack_curve(g, resilience.random_order(g))
+
+
+@query("attack_degree_static", _attack_sql("d DESC, id"))
+def _(s, d):
+    g = X.sparse(s, d)
+    return resilience.attack_curve(g, resilience.degree_order(g))
+
+
+@query("attack_degree_adaptive")
+def _(s, d):
+    return resilience.adaptive_attack(X.sparse(s, d), 5)
+
+
+@query("cascade")
+def _(s, d):
+    return resilience.cascade(X.sparse(s, d))
+
+
+@query("vulnerability", Q + _REACH + _SAMPLE.format(n=20) + """, ks AS MATERIALIZED (SELECT sm.id AS k, v.id FROM sm, v WHERE v.id <> sm.id), rk(k, id, c) AS (SELECT k, id, id FROM ks UNION SELECT rk.k, e.dst, rk.c FROM rk JOIN e ON e.src = rk.id WHERE e.dst <> rk.k),
+    z AS (SELECT k, max(n) AS m FROM (SELECT k, c, count(*) AS n FROM (SELECT k, id, min(c) AS c FROM rk GROUP BY ALL) GROUP BY ALL) GROUP BY k)
+    SELECT k AS id, round(((SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) - m) / (SELECT count(*) FROM v)::DOUBLE, 6) AS vulnerability FROM z""")
+def _(s, d):
+    g = X.sparse(s, d)
+    return resilience.vulnerability(g, centrality.sample(g.vertices, rows=20))
+
+
+@query("average_clustering", Q + _TRI + _SAMPLE.format(n=300) + " SELECT round(avg(CASE WHEN d >= 2 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id) WHERE id IN (SELECT id FROM sm)")
+def _(s, d):
+    g = X.sparse(s, d)
+    return resilience.average_clustering(g, centrality.sample(g.vertices, rows=300)).withColumn("clustering", F.round("clustering", 9))
+
+
+# Transit
+
+_KM = "2 * 6371.0 * atan2(sqrt({a}), sqrt(1 - ({a})))"
+
+
+def _haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return _KM.format(a=f"sin(radians({lat2} - {lat1}) / 2) ** 2 + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2")
+
+
+_TRIPS = """WITH t AS MATERIALIZED (SELECT a.n_name AS origin, b.n_name AS destination FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey),
+    od AS MATERIALIZED (SELECT 'OD-' || upper(substr(sha1(origin || ' -> ' || destination), 1, 8)) AS route_id, origin || ' -> ' || destination AS route_name, origin, destination, count(*) AS trip_count FROM t WHERE origin <> destination GROUP BY origin, destination)"""
+_POINTS = _TRIPS + """, ct AS (SELECT n_name AS city, 12.0 + n_nationkey * 0.37 AS lat, 75.0 + (n_nationkey * 7 % 25) * 0.21 AS lon FROM nation),
+    k0 AS (SELECT od.*, a.lat::DOUBLE AS alat, a.lon::DOUBLE AS alon, b.lat::DOUBLE AS blat, b.lon::DOUBLE AS blon, row_number() OVER (ORDER BY trip_count DESC, route_name) AS idx FROM od JOIN ct a ON a.city = origin JOIN ct b ON b.city = destination),
+    k1 AS (SELECT *, sqrt((blat - alat) ** 2 + (blon - alon) ** 2) AS len FROM k0),
+    k AS MATERIALIZED (SELECT *, greatest(least(0.12 * len, 0.35), 0.05) * CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS off FROM k1),
+    pt AS MATERIALIZED (SELECT route_id, route_name, trip_count, 1 AS seq, origin AS stop, round(alat, 6) AS lat, round(alon, 6) AS lon, idx * 10 + 1 AS stop_id FROM k
+        UNION ALL SELECT route_id, route_name, trip_count, 2, origin || ' ' || destination || ' corridor', round((alat + blat) / 2 - (blon - alon) / len * off, 6), round((alon + blon) / 2 + (blat - alat) / len * off, 6), idx * 10 + 2 FROM k
+        UNION ALL SELECT route_id, route_name, trip_count, 3, destination, round(blat, 6), round(blon, 6), idx * 10 + 3 FROM k)"""
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return transit.od_polylines(transit.od_routes(X.trips(s, d)), X.cities(s, d))[0]
+
+
+@query("od_routes", _TRIPS + " SELECT * FROM od")
+def _(s, d):
+    return transit.od_routes(X.trips(s, d))
+
+
+@query("route_polyline", _POINTS + " SELECT route_id, route_name, trip_count, seq, stop, lat, lon, stop_id FROM pt")
+def _(s, d):
+    return _points(s, d)
+
+
+@query("route_catalog", _POINTS + " SELECT route_id, arg_min(stop, seq) AS origin, arg_max(stop, seq) AS destination, count(*) AS stops, any_value(trip_count) AS trip_count FROM pt GROUP BY route_id")
+def _(s, d):
+    return transit.route_catalog(_points(s, d))
+
+
+@query("catalog_search", _TRIPS + " SELECT route_id, route_name, trip_count FROM od WHERE contains(lower(origin), 'an') OR contains(lower(destination), 'an') OR contains(lower(route_id), 'an')")
+def _(s, d):
+    return transit.search_catalog(transit.od_routes(X.trips(s, d)), " AN ").select("route_id", "route_name", "trip_count")
+
+
+@query("catalog_totals", _TRIPS + " SELECT count(*) AS routes, sum(trip_count)::BIGINT AS trips FROM od")
+def _(s, d):
+    return transit.od_routes(X.trips(s, d)).agg(F.count(F.lit(1)).alias("routes"), F.sum("trip_count").alias("trips"))
+
+
+@query("route_distance", _POINTS + ", n AS (SELECT *, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM pt WINDOW w AS (PARTITION BY route_id ORDER BY seq)) SELECT route_id, round(sum(" + _haversine("lat", "lon", "nlat", "nlon") + "), 4) AS distance_km FROM n GROUP BY route_id")
+def _(s, d):
+    return transit.route_distance(_points(s, d))
+
+
+@query("interpolate", _POINTS + """, n AS (SELECT *, row_number() OVER w - 1 AS place, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM pt WINDOW w AS (PARTITION BY route_id ORDER BY seq))
+    SELECT route_id, place::INT AS place, k::INT AS k, round(lat + (coalesce(nlat, lat) - lat) * k / 4, 9) AS lat, round(lon + (coalesce(nlon, lon) - lon) * k / 4, 9) AS lon FROM n, range(0, 4) t(k) WHERE nlat IS NOT NULL OR k = 0""")
+def _(s, d):
+    return transit.interpolate(_points(s, d), 4).withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+@query("circular_slice", _POINTS + """, n AS (SELECT route_id, (seq - 2 + 3) % 3 + 1 AS seq, stop, lat, lon FROM pt) SELECT route_id, seq::INT AS seq, stop, lat, lon FROM n WHERE seq <= 2""")
+def _(s, d):
+    return transit.circular_slice(_points(s, d), 1, 2)
+
+
+@query("segment_traffic", _POINTS + ", w AS (SELECT route_id, seq - 1 AS segment, (sin(3 / 7.0::DOUBLE + 0.95 * (seq - 1)) + 1) / 2 AS w FROM pt WHERE seq < 3) SELECT route_id, segment::INT AS segment, round(w, 6) AS wave, CASE WHEN w < 0.35 THEN 'Low' WHEN w < 0.7 THEN 'Medium' ELSE 'High' END AS traffic FROM w")
+def _(s, d):
+    return transit.segments(_points(s, d), 3)
+
+
+@query("bus_states", _TRIPS + """, w AS (SELECT route_id, bus, (sin(3 / 7.0::DOUBLE + 0.95 * bus) + 1) / 2 AS w FROM od, range(0, 6) t(bus)), x AS (SELECT *, greatest(0, 16 * (w - 0.48)) AS delay FROM w)
+    SELECT route_id, bus::INT AS bus, round((bus / 6.0::DOUBLE + 0.03) % 1, 6) AS progress, round(20 + 36 * (1 - w), 6) AS speed, round(delay, 6) AS delay, CASE WHEN delay >= 4 THEN 'Delayed' WHEN delay >= 1.5 THEN 'Moderate' ELSE 'On Time' END AS status FROM x""")
+def _(s, d):
+    return transit.bus_states(transit.od_routes(X.trips(s, d)), 6, 3).withColumn("progress", F.round("progress", 6))
+
+
+@query("fleet_split", _TRIPS + """, f AS (SELECT route_id, 1000 // count(*) OVER () + (row_number() OVER (ORDER BY route_id) <= 1000 % count(*) OVER ())::INT AS buses FROM od)
+    SELECT route_id, buses::BIGINT AS buses, (coalesce(sum(buses) OVER (ORDER BY route_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::BIGINT AS first_bus FROM f""")
+def _(s, d):
+    return transit.fleet_split(transit.od_routes(X.trips(s, d)), 1000)
+
+
+@query("route_layer", _POINTS + " SELECT route_id, string_agg(lon::VARCHAR || ' ' || lat::VARCHAR, ',' ORDER BY seq) AS path, 4 AS width, '#1f77b4' AS colour FROM pt GROUP BY route_id")
+def _(s, d):
+    return transit.route_layer(_points(s, d)).withColumn("path", F.array_join(F.transform("path", lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ","))
+
+
+@query("skyline", _POINTS + " SELECT route_id, seq, k::INT AS k, round(lat + 0.004 * sin(2 * pi() * k / 8), 6) AS lat, round(lon + 0.004 * cos(2 * pi() * k / 8), 6) AS lon, (20 + (seq * 37 + k * 11) % 60)::INT AS height FROM pt, range(0, 8) t(k)")
+def _(s, d):
+    return transit.skyline(_points(s, d)).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+@query("map_view", _POINTS + ", x AS (SELECT round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(greatest(max(lat) - min(lat), max(lon) - min(lon)), 6) AS span FROM pt) SELECT *, CASE WHEN span > 4 THEN 6 WHEN span > 2 THEN 7 WHEN span > 1 THEN 8 WHEN span > 0.5 THEN 9 WHEN span > 0.2 THEN 10 ELSE 11 END AS zoom FROM x")
+def _(s, d):
+    return transit.map_view(_points(s, d)).withColumns({c: F.round(c, 6) for c in ("lat", "lon", "span")})
+
+
+@query("additional_routes", """WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS p, count(*) OVER () AS n FROM supplier), r AS (SELECT r, k, greatest(2, 8 - r) AS size FROM range(0, 4) a(r), range(0, 8) b(k) WHERE k < greatest(2, 8 - r))
+    SELECT 'X' || (r + 1) AS route_id, (k + 1)::INT AS seq, s_suppkey AS stop_id FROM r JOIN s ON s.p = (r * 8 + CASE WHEN r % 2 = 1 THEN size - 1 - k ELSE k END) % s.n""")
+def _(s, d):
+    return transit.additional_routes(X.table(s, d, "supplier").select(F.col("s_suppkey").alias("stop_id")))
+
+
+@query("event_lag_speed", """WITH e AS (SELECT user_id::VARCHAR AS bus_id, ts, 12.0 + value / 1000 AS lat, 77.0 + (event_id % 97) / 100.0::DOUBLE AS lon FROM events), l AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us FROM e WINDOW w AS (PARTITION BY bus_id ORDER BY ts, lat, lon))
+    SELECT bus_id, ts, round(greatest(least(""" + _haversine("la", "lo", "lat", "lon") + """ / (us / 3.6e9), 110), 0), 4) AS speed FROM l WHERE us > 0""")
+def _(s, d):
+    return transit.derive_speed(X.positions(s, d)).select("bus_id", "ts", F.round("speed", 4).alias("speed"))
+
+
+@query("hourly_avg", "SELECT hour(ts)::INT AS hour, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    return transit.hourly(X.table(s, d, "events"), value="value").withColumn("avg_value", F.round("avg_value", 6))
+
+
+_BANDS = "CASE WHEN value BETWEEN 0 AND 10 THEN '0-10' " + " ".join(f"WHEN value > {a} AND value <= {b} THEN '{a}-{b}'" for a, b in ((10, 20), (20, 30), (30, 40), (40, 50), (50, 60), (60, 80), (80, 120))) + " END"
+
+
+@query("value_bands", "SELECT (p - 1)::INT AS place, b.band, count(e.value) AS n FROM (SELECT unnest(['0-10', '10-20', '20-30', '30-40', '40-50', '50-60', '60-80', '80-120']) AS band, generate_subscripts(['0-10', '10-20', '20-30', '30-40', '40-50', '50-60', '60-80', '80-120'], 1) AS p) b LEFT JOIN events e ON " + _BANDS + " = b.band GROUP BY ALL")
+def _(s, d):
+    return transit.bands(X.table(s, d, "events"), "value")
+
+
+@query("slow_share", "SELECT round(avg(value), 6) AS avg_value, round(avg(CASE WHEN value < 20 THEN 1.0 ELSE 0 END) * 100, 6)::DOUBLE AS slow_share, count(*) FILTER (value >= 40) AS low_traffic, count(*) FILTER (value >= 20 AND value < 40) AS medium_traffic, count(*) FILTER (value < 20) AS high_traffic FROM events")
+def _(s, d):
+    return transit.shares(X.table(s, d, "events"), "value").withColumns({c: F.round(c, 6) for c in ("avg_value", "slow_share")})
+
+
+@query("heat_weight", "SELECT event_id, round(65 - greatest(least(coalesce(CASE WHEN event_id % 5 > 0 THEN value END, 45), 65), 0) + 1, 6) AS weight FROM events")
+def _(s, d):
+    return X.table(s, d, "events").select("event_id", F.round(transit.heat_weight(F.when(F.col("event_id") % 5 > 0, F.col("value"))), 6).alias("weight"))
+
+
+@query("latest_50", "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def _(s, d):
+    return transit.latest(X.table(s, d, "events"), "event_id", "ts").select("event_id", "ts", "user_id")
+
+
+@query("dedupe_clean", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def _(s, d):
+    return transit.dedupe(X.table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("normalize_names", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, upper(substr(sha1(p_name), 1, 8)) AS code FROM part")
+def _(s, d):
+    return X.table(s, d, "part").select("p_partkey", S.slugify(F.col("p_name")).alias("slug"), F.substring(S.route_id(F.col("p_name")), 4, 8).alias("code"))
+
+
+@query("route_name_parts", _TRIPS + " SELECT route_id, origin, destination FROM od WHERE length(route_name) >= 7 AND NOT regexp_matches(route_name, '->\\s*[A-Za-z]\\.?$')")
+def _(s, d):
+    r = transit.od_routes(X.trips(s, d)).filter(transit.good_route_name(F.col("route_name")))
+    a, b = S.route_ends(F.col("route_name"))
+    return r.select("route_id", a.alias("origin"), b.alias("destination"))
+
+
+@query("community_colours", "SELECT p_partkey, ['#1f77b4', '#ff7f0e', '#2ca02c', '#d62728', '#9467bd', '#8c564b', '#e377c2', '#7f7f7f', '#bcbd22', '#17becf', '#aec7e8', '#ffbb78', '#98df8a', '#ff9896', '#c5b0d5', '#c49c94', '#f7b6d2', '#c7c7c7', '#dbdb8d', '#9edae5'][p_size % 20 + 1] AS colour FROM part")
+def _(s, d):
+    return X.table(s, d, "part").select("p_partkey", S.colour(F.col("p_size")).alias("colour"))
+
+
+_H = """WITH RECURSIVE c AS (SELECT s_suppkey AS src, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS dst FROM supplier), u AS MATERIALIZED (SELECT src, dst FROM c WHERE dst IS NOT NULL), e AS MATERIALIZED (SELECT src, dst FROM u UNION ALL SELECT dst, src FROM u), v AS MATERIALIZED (SELECT DISTINCT src AS id FROM e), deg AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM e GROUP BY src)"""
+
+
+@query("route_analysis", _H + _pagerank_sql(5) + " SELECT id AS stop_id, round(r, 6) AS pagerank, (SELECT min(id) FROM v) AS component_id, (id - (SELECT min(id) FROM v))::INT AS distance_from_source FROM r5")
+def _(s, d):
+    return transit.route_analysis(X.suppliers(s, d)).withColumn("pagerank", F.round("pagerank", 6))
+
+
+@query("hub_names", _H + _pagerank_sql(5) + " SELECT id AS stop_id, coalesce(s_name, 'Stop-' || id) AS stop_name, round(r, 6) AS rank_score FROM (SELECT id, round(r, 6) AS r FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10) LEFT JOIN (SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey % 2 = 0) USING (id)")
+def _(s, d):
+    names = X.table(s, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name"))
+    return transit.hubs(iterate.pagerank(X.suppliers(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), names)
+
+
+@query("component_rollup", "SELECT p_brand, p_size // 10 AS size_band, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size // 10)")
+def _(s, d):
+    return X.table(s, d, "part").withColumn("size_band", F.floor(F.col("p_size") / 10).cast("int")).rollup("p_brand", "size_band").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Comparison
+
+
+def _metrics(s: SparkSession, d: str, k: int) -> DataFrame:
+    from meshwork.sources.sinks import metrics
+
+    n = X.table(s, d, "part").count()
+    return metrics(s, {"nodes": n, "avg_degree": 2.0 + 0.01 * k, "triangles": 10 + k} | ({"density": 0.5} if k else {}))
+
+
+@query("metric_compare", "SELECT * FROM (VALUES (0, 'nodes', (SELECT count(*)::DOUBLE FROM part), (SELECT count(*)::DOUBLE FROM part), true, 'matched'), (1, 'avg_degree', 2.0::DOUBLE, 2.01::DOUBLE, true, 'matched'), (2, 'triangles', 10::DOUBLE, 11::DOUBLE, false, 'different'), (3, 'density', NULL, 0.5::DOUBLE, NULL, 'specific')) t(place, metric, a, b, match, status)")
+def _(s, d):
+    return compare.compare_metrics(["nodes", "avg_degree", "triangles", "density"], _metrics(s, d, 0), _metrics(s, d, 1))
+
+
+@query("metric_mismatches", "SELECT * FROM (VALUES ('triangles', 'different'), ('density', 'specific')) t(metric, status)")
+def _(s, d):
+    return compare.not_matching(compare.compare_metrics(["nodes", "avg_degree", "triangles", "density"], _metrics(s, d, 0), _metrics(s, d, 1))).select("metric", "status")
+
+
+@query("timing_compare", "SELECT * FROM (VALUES ('pagerank', 2.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 'b'), ('triangles', 1.0, 1.0, 1.0, 'tie'), ('components', NULL, 3.0, NULL, NULL)) t(algorithm, a, b, speedup, winner)")
+def _(s, d):
+    a = s.createDataFrame([("pagerank", 2.0), ("triangles", 1.0)], "algorithm string, seconds double")
+    b = s.createDataFrame([("pagerank", 1.0), ("triangles", 1.0), ("components", 3.0)], "algorithm string, seconds double")
+    return compare.compare_timings(a, b)
+
+
+@query("topk_overlap", Q + _pagerank_sql(5) + """, a AS (SELECT id FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10), z AS (SELECT id FROM r2 ORDER BY round(r, 6) DESC, id LIMIT 10) SELECT count(*) AS overlap FROM a JOIN z USING (id)""")
+def _(s, d):
+    g = X.sparse(s, d)
+    a, b = (iterate.pagerank(g, max_iter=k).withColumn("pagerank", F.round("pagerank", 6)) for k in (5, 2))
+    return compare.top_overlap(a, b, "pagerank")
+
+
+# Sources over text
+
+
+@query("edge_list_scan", "SELECT DISTINCT l_orderkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst FROM lineitem WHERE l_orderkey <> l_suppkey")
+def _(s, d):
+    lines = X.table(s, d, "lineitem").select(F.concat(F.lit("  "), F.col("l_orderkey").cast("string"), F.lit("\t"), F.col("l_suppkey").cast("string"), F.lit(" x")).alias("value"))
+    return sources.edge_lines(lines.unionByName(s.sql("SELECT explode(array('# note', '', 'one')) AS value"))).distinct()
+
+
+@query("edge_list_bigint", "SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem WHERE l_orderkey <> l_suppkey")
+def _(s, d):
+    lines = X.table(s, d, "lineitem").select(F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("value"))
+    return sources.edge_lines(lines.unionByName(s.sql("SELECT 'src,dst' AS value")), id_type="bigint").distinct()
+
+
+@query("metric_reader", "SELECT p_name AS metric, p_retailprice AS value FROM part WHERE p_partkey % 3 > 0")
+def _(s, d):
+    t = X.table(s, d, "part").select(F.col("p_name").alias("metric"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice").cast("string")).otherwise("N/A").alias("value"))
+    return sources.read_metrics(t)
+
+
+@query("table_records", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _(s, d):
+    return sources.records(X.table(s, d, "orders"), where="o_orderstatus = 'F'", columns=["o_orderkey", "o_totalprice"], order=[F.desc("o_totalprice"), "o_orderkey"], limit=20)
+
+
+@query("collection_counts", " UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS n FROM {t}" for t in ("customer", "events", "nation", "orders", "part", "supplier")))
+def _(s, d):
+    out = None
+    for t in ("customer", "events", "nation", "orders", "part", "supplier"):
+        one = X.table(s, d, t).agg(F.lit(t).alias("collection"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Streams, against their batch meaning
+
+
+@query("stream_tumbling", "SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    e = X.table(s, d, "events")
+    return streams.run(streams.tumbling(streams.read(s, f"{d}/events.parquet*", e.schema), late="1 hour"), "tumbling", "complete")
+
+
+@query("stream_sliding", "SELECT user_id, w AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n FROM (SELECT user_id, value, unnest([date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL")
+def _(s, d):
+    e = X.table(s, d, "events")
+    return streams.run(streams.tumbling(streams.read(s, f"{d}/events.parquet*", e.schema), "2 hours", slide="1 hour", late="1 hour"), "sliding", "complete")
+
+
+@query("stream_session", """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""")
+def _(s, d):
+    e = X.table(s, d, "events")
+    return streams.run(streams.sessions(streams.read(s, f"{d}/events.parquet*", e.schema), late="1 hour"), "session", "complete")
+
+
+@query("stream_dedup", "SELECT DISTINCT event_id, user_id FROM events")
+def _(s, d):
+    e = X.table(s, d, "events")
+    twice = streams.read(s, f"{d}/events.parquet*", e.schema)
+    twice = twice.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streams.run(streams.distinct_events(twice, ["event_id"], "30 days").select("event_id", "user_id"), "dedup")
+
+
+@query("stream_rates", "SELECT event_id, user_id, round((value - lv) / ((epoch_us(ts) - epoch_us(lt)) / 3.6e9), 6) AS rate FROM (SELECT *, lag(value) OVER w AS lv, lag(ts) OVER w AS lt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE ts > lt")
+def _(s, d):
+    e = X.table(s, d, "events")
+    return streams.run(streams.rates(streams.read(s, f"{d}/events.parquet*", e.schema)), "rates").withColumn("rate", F.round("rate", 6))
+
+
+@query("stream_latest", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def _(s, d):
+    e = X.table(s, d, "events")
+    return streams.run(streams.latest(streams.read(s, f"{d}/events.parquet*", e.schema)), "latest", "complete")
