@@ -38,7 +38,7 @@ _INF = 1 << 40
 @dataclass(frozen=True)
 class Costs:
     merge: int = 1
-    relabel: int = 3
+    relabel: int = 6
     insert: int = 4
 
 
@@ -142,14 +142,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tu
 
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 512, costs: Costs | None = None, template: Template | None = None) -> DataFrame:
-    """The repaired conversations, a row for each turn: conv_id, turn, part, role, action, text, rendered.
+    """The repaired conversations, a row for each turn: conv_id, block, pos, turn, role, action, text, rendered.
 
-    ``part`` numbers the rows of one given turn: empty turns that are inserted
-    before it (their text is empty), itself (keep, relabel, merge or
-    merge+relabel), and, after the last turn of a conversation, what closes it.
-    ``rendered`` holds the turn's share of the rendered conversation: put behind
-    each other in the order of turn, row of the turn and part they are the whole;
-    a merged turn's share continues the turn before it.
+    Rows of a conversation stand in the order of block and pos: empty turns that
+    are inserted (their text is empty), the given turns (keep, relabel, merge or
+    merge+relabel), and, after the last, what closes the conversation.
+    ``rendered`` holds the row's share of the rendered conversation: put behind
+    each other in that order they are the whole; a merged turn's share continues
+    the turn before it.
 
     Roles are compared after trimming and lower-casing; unknown and null roles are
     relabelled, null texts count as empty. Turns stand in the order of turn (null
@@ -188,22 +188,28 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
         out: list[tuple] = []
         for rows in _blocks(batches, 8):
             start, stop, last = rows[0][5:]
-            state = start
-            for (c, _, turn, _, text, *_), choice in zip(rows, repair([r[3] for r in rows], start, stop, costs), strict=True):
-                part = 0
+            state, pos, (c, number) = start, 0, rows[0][:2]
+
+            def put(turn: int | None, role: int, action: str, text: str, shown: str) -> None:
+                nonlocal pos
+                out.append((c, number, pos, turn, ROLES[role], action, text, shown))
+                pos += 1
+
+            def opened(role: int) -> str:
+                return (template.close if state else "") + template.open.format(role=ROLES[role])
+
+            for (_, _, turn, _, text, *_), choice in zip(rows, repair([r[3] for r in rows], start, stop, costs), strict=True):
                 for role in choice.inserted:
-                    out.append((c, turn, part, ROLES[role], "insert", "", (template.close if state else "") + template.open.format(role=ROLES[role])))
-                    state, part = role, part + 1
+                    put(turn, role, "insert", "", opened(role))
+                    state = role
                 merge = choice.actions[0] == "merge"
-                shown = template.between + text if merge else (template.close if state else "") + template.open.format(role=ROLES[choice.role]) + text
-                out.append((c, turn, part, ROLES[choice.role], "+".join(choice.actions), text, shown))
+                put(turn, choice.role, "+".join(choice.actions), text, (template.between if merge else opened(choice.role)) + text)
                 state = choice.role
             if last:
-                turn, part = rows[-1][2], part + 1
                 for role in {USER: (ASSISTANT,), SYSTEM: (USER, ASSISTANT)}.get(state, ()):
-                    out.append((rows[0][0], turn, part, ROLES[role], "insert", "", template.close + template.open.format(role=ROLES[role])))
-                    part += 1
-                out.append((rows[0][0], turn, part, "", "close", "", template.close))
+                    put(turn, role, "insert", "", opened(role))
+                    state = role
+                put(turn, START, "close", "", template.close)
             if len(out) >= 2000:
                 yield _table(out)
                 out = []
@@ -211,8 +217,8 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             yield _table(out)
 
     def _table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (_arrow(conv), pa.int64(), pa.int32(), *[pa.string()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "turn", "part", "role", "action", "text", "rendered"])
+        kinds = (_arrow(conv), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "block", "pos", "turn", "role", "action", "text", "rendered"])
 
     dealt = base.select("conv", "block", "turn", "role", "text").repartition("conv", "block")
     costed = dealt.drop("text").sortWithinPartitions("conv", "block", *order[:2]).mapInArrow(first, f"conv {conv}, block long, cost array<bigint>")
@@ -220,7 +226,7 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     states = materialize(states, "chat-states")
     joined = dealt.join(states.select(F.col("conv").alias("c"), F.col("block").alias("b"), "start", "stop", "last"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     joined = joined.select("conv", "block", "turn", "role", "text", "start", "stop", "last").sortWithinPartitions("conv", "block", *order)
-    return joined.mapInArrow(third, f"conv {conv}, turn long, part int, role string, action string, text string, rendered string").withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
+    return joined.mapInArrow(third, f"conv {conv}, block long, pos int, turn long, role string, action string, text string, rendered string").withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -55,17 +55,18 @@ def label_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted(words)[:8]]) if words else tag
 
 
-def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, str]]:
-    """(path of labels, block, raw text) of every text of a page, in order."""
-    stack: list[tuple[str, str]] = []
+def texts(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
+    """(labels of the open elements, their numbers, block, raw text) of every text of a page, in order."""
+    stack: list[tuple[str, str, int]] = []
     path: tuple[str, ...] = ()
+    ids: tuple[int, ...] = ()
     at, block = 0, 0
     raw_end: re.Match | None = None
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield path, block, page[at:end]
+            yield path, ids, block, page[at:end]
         if not m:
             break
         at = m.end()
@@ -75,10 +76,10 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, str]]:
         if tag not in _INLINE:
             block += 1
         if m[1]:
-            names = [t for t, _ in stack]
+            names = [t for t, _, _ in stack]
             if tag in names:
                 del stack[len(names) - 1 - names[::-1].index(tag) :]
-                path = tuple(x for _, x in stack)
+                path, ids = tuple(x for _, x, _ in stack), tuple(n for _, _, n in stack)
             continue
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -86,7 +87,7 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, str]]:
             raw_end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             stop = raw_end.start() if raw_end else len(page)
             if tag == "textarea":
-                yield (*path, tag), block, page[at:stop]
+                yield (*path, tag), (*ids, at), block, page[at:stop]
             at = raw_end.end() if raw_end else len(page)
             continue
         ends = {"p"} if tag not in _INLINE else set()
@@ -96,8 +97,8 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], int, str]]:
                 del stack[k:]
             elif stack[k][0] not in _INLINE:
                 break
-        stack.append((tag, label_of(tag, m[3])))
-        path = tuple(x for _, x in stack)
+        stack.append((tag, label_of(tag, m[3]), at))
+        path, ids = tuple(x for _, x, _ in stack), tuple(n for _, _, n in stack)
 
 
 # A node is [label, flags, pages, chars, constant, children]; flags: 1 optional, 2 repeated.
@@ -160,18 +161,18 @@ def expression(page: str) -> list:
     """The page's own expression: its root's children."""
     root: list = ["", 0, 1, 0, None, []]
     open_: list[list] = [root]
-    now: tuple[str, ...] = ()
+    now: tuple[int, ...] = ()
 
     def close(depth: int) -> None:
         while len(open_) > depth:
             node = open_.pop()
             node[5] = fold(node[5])
 
-    for path, _, text in texts(page):
+    for path, ids, _, text in texts(page):
         if not text.strip():
             continue
         same = 0
-        while same < min(len(path), len(now)) and path[same] == now[same]:
+        while same < min(len(ids), len(now)) and ids[same] == now[same]:
             same += 1
         close(same + 1)
         for label in path[same:]:
@@ -179,7 +180,7 @@ def expression(page: str) -> list:
             open_[-1][5].append(node)
             open_.append(node)
         open_[-1][5].append(_leaf(text))
-        now = path
+        now = ids
     close(1)
     return fold(root[5])
 
@@ -220,7 +221,7 @@ def slots(wrapper: list, pages: int) -> dict[str, int]:
 def extract(page: str, kinds: dict[str, int]) -> str:
     """The page's main text under its host's slots."""
     found: list[tuple[int, int, str]] = []
-    for path, block, text in texts(page):
+    for path, _, block, text in texts(page):
         found.append((kinds.get("\n".join(path), 0), block, text))
     best = 2 if any(k == 2 and t.strip() for k, _, t in found) else 1
     parts: list[str] = []
