@@ -1,0 +1,16 @@
+from meshwork.plans.pipeline import analyse, export
+from meshwork.session import Profile
+from meshwork.sources import edges
+
+
+def test_pipeline(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("1 2\n2 3\n1 3\n4 5\n")
+    g = edges.load_graph(spark, str(tmp_path / "g.txt"))
+    out = analyse(g)
+    assert (out.metrics["nodes"], out.metrics["edges"], out.metrics["triangles"], out.metrics["components"]) == (5, 4, 1, 2)
+    export(spark, out, str(tmp_path / "out"))
+    assert edges.read_table(spark, str(tmp_path / "out" / "component_sizes")).count() == 2
+    fast = analyse(g, Profile(1, 1, True))
+    assert fast.triangles is None
+    export(spark, fast, str(tmp_path / "fast"))
+    assert edges.read_table(spark, str(tmp_path / "fast" / "communities")).first()["result"] == "skipped_fast"
