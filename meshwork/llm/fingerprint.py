@@ -61,25 +61,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= F.size(b), contained(a, b)).otherwise(contained(b, a))
 
 
+_NONE = -(1 << 63)
+
+
 def _previous(keys: DataFrame) -> DataFrame:
-    """To each key (doc_id, copy, n_chars), in descending doc_id, the one before it; to the first the last.
+    """To each (key, crc, copy, n_chars), in descending key, the one before it; to the first the last.
 
     Keys are dealt by range, each range looks back within itself, and its first
     key takes the last of the range before, from a table of one row a range.
     """
-    dealt = keys.repartitionByRange(F.desc_nulls_last("doc_id"), F.asc("copy")).withColumn("part", F.spark_partition_id())
+    dealt = keys.repartitionByRange(F.desc("key"), F.asc("crc"), F.asc("copy")).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "fingerprint-keys")
-    here = F.struct("doc_id", "copy", "n_chars")
-    tails = dealt.groupBy("part").agg(F.max_by(here, F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.col("copy"))).alias("tail"))
+    here = F.struct("key", "crc", "copy", "n_chars")
+    tails = dealt.groupBy("part").agg(F.max_by(here, F.struct(F.bitwise_not("key"), F.col("crc"), F.col("copy"))).alias("tail"))
     by_part = Window.orderBy("part")
     tails = tails.select("part", F.coalesce(F.lag("tail").over(by_part), F.last("tail").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("tail"))
-    within = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.asc("copy"))
+    within = Window.partitionBy("part").orderBy(F.desc("key"), F.asc("crc"), F.asc("copy"))
     before = dealt.withColumn("before", F.lag(here).over(within)).join(F.broadcast(tails), "part")
-    return before.select("doc_id", "copy", F.coalesce("before", "tail").alias("before"))
+    return before.select("key", "crc", "copy", F.coalesce("before", "tail").alias("before"))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id of every row.
 
     The edited text has the last third of the code points replaced by the first as
     many (or all) of the next document's, in descending doc_id; after the last
@@ -91,18 +94,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     before it, a prefix and its sketch, once more. Only Spark's own functions run.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    copies = Window.partitionBy("doc_id").orderBy("crc", "n_chars")
-    keys = base.select("doc_id", "crc", "n_chars").withColumn("copy", F.row_number().over(copies)).drop("crc")
-    before = _previous(keys)
+    base = base.withColumns({"n_chars": F.char_length("text").cast("long"), "crc": F.crc32(F.col("text").cast("binary")), "key": F.coalesce("doc_id", F.lit(_NONE))})
+    copies = Window.partitionBy("key", "crc").orderBy("n_chars", "doc_id")
+    before = _previous(base.select("key", "crc", "n_chars", "doc_id").withColumn("copy", F.row_number().over(copies)).drop("doc_id"))
     own = base.withColumn("sk", F.transform(sketch(F.col("text")), lambda x: (x - (1 << 31)).cast("int"))).withColumn("copy", F.row_number().over(copies))
-    own = own.join(before.select(F.col("doc_id").alias("k"), F.col("copy").alias("c"), "before"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("copy") == F.col("c")))
-    lent = own.select(F.col("before.doc_id").alias("to_id"), F.col("before.copy").alias("to_copy"), F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 3).cast("int")).alias("lent"), F.col("sk").alias("next_sk"))
-    both = own.select("doc_id", "copy", "text", "n_chars", "sk").join(lent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("copy") == F.col("to_copy")))
+    # (key, crc) is the partitioning that windows and joins share; copies of equal rows only filter
+    own = own.join(before.select("key", "crc", F.col("copy").alias("c"), "before"), ["key", "crc"]).filter("copy - c = 0")
+    lent = own.select(F.col("before.key").alias("key"), F.col("before.crc").alias("crc"), F.col("before.copy").alias("c"), F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 3).cast("int")).alias("lent"), F.col("sk").alias("next_sk"), F.col("doc_id").alias("next_id"))
+    both = own.select("key", "crc", "doc_id", "copy", "text", "n_chars", "sk").join(lent, ["key", "crc"]).filter("copy - c = 0")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("lent"))
-    both = both.select("doc_id", "n_chars", _unsigned("sk").alias("sk"), _unsigned("next_sk").alias("next_sk"), edited.alias("edited"))
-    both = both.select("doc_id", "n_chars", "sk", "next_sk", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sk"))
-    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sk")).alias("fingerprint"), text_of(F.col("edited_sk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"))
+    both = both.select("doc_id", "n_chars", "next_id", _unsigned("sk").alias("sk"), _unsigned("next_sk").alias("next_sk"), edited.alias("edited"))
+    both = both.select("doc_id", "n_chars", "next_id", "sk", "next_sk", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sk"))
+    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sk")).alias("fingerprint"), text_of(F.col("edited_sk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"), "next_id")
 
 
 def _unsigned(name: str) -> Column:
