@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ class PieceModel:
     """Pieces, scores and kinds of a SentencePiece model file, and its segmentation."""
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-    #: Segmented words that a worker remembers at most.
+    #: Segmented words, and pairs of pieces, that a worker remembers at most: the first it meets, so the frequent ones.
     MOST = 500_000
 
     def __init__(self, path: str) -> None:
@@ -69,9 +70,9 @@ class PieceModel:
         return parts
 
     def _may_follow(self, left: str, right: str) -> bool:
-        if len(self.pairs) > self.MOST:
-            self.pairs.clear()
-        ok = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        ok = self.merged(left + right) == [left, right]
+        if len(self.pairs) < self.MOST:
+            self.pairs[left, right] = ok
         return ok
 
     def viterbi(self, text: str) -> Iterator[str]:
@@ -136,9 +137,7 @@ class PieceModel:
             coded = known.get(word)
             if coded is None:
                 coded = np.array([i for p in self.viterbi(word) for i in self.ids_of(p)], dtype="<u4").tobytes()
-                if len(word) <= 32:
-                    if len(known) >= self.MOST:
-                        known.clear()
+                if len(word) <= 32 and len(known) < self.MOST:
                     known[word] = coded
             out.append(coded)
         return b"".join(out)
@@ -156,6 +155,12 @@ class PieceModel:
         return self._decoded
 
 
+@lru_cache(maxsize=2)
+def model_of(path: str) -> PieceModel:
+    """The worker's model: it and what it remembers outlive a task."""
+    return PieceModel(path)
+
+
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False) -> DataFrame:
     """id, n_ids and, as asked for, ids (array) and digests of the ids and of the text decoded again.
 
@@ -167,7 +172,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     fields = [("id", kind), ("n_ids", "long"), *([("ids", "array<int>")] if ids else []), *([("ids_crc32", "long"), ("decoded_crc32", "long"), ("round_trip", "boolean")] if digest else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(path)
+        model = model_of(path)
         for batch in slices(batches, 512):
             texts = batch.column(1).to_pylist()
             coded = [model.encode(t or "") for t in texts]
@@ -187,7 +192,7 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(path)
+        model = model_of(path)
         for batch in slices(batches, 512):
             texts = [model.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
