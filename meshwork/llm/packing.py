@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,9 @@ class CachedEncoder:
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 ids = [t.id for t in model.tokenize(word)] if word.isascii() else bare.encode(word, add_special_tokens=False).ids
-                if len(self) >= most:
-                    self.clear()
-                self[word] = coded = np.array(ids, dtype="<u4").tobytes()
+                coded = np.array(ids, dtype="<u4").tobytes()
+                if len(self) < most:
+                    self[word] = coded
                 return coded
 
         self.whole, self.known, self.end = whole, Words(), np.uint32(end_id).tobytes()
@@ -67,6 +68,12 @@ class CachedEncoder:
         return b"".join(map(self.known.__getitem__, self.WORDS.findall(text.lower()))) + self.end
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int) -> CachedEncoder:
+    """The worker's encoder: it and what it remembers outlive a task."""
+    return CachedEncoder(path, end_id)
+
+
 def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.
 
@@ -75,7 +82,7 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(path, end_id)
+        encode = encoder_of(path, end_id)
         for batch in slices(batches, 512):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
