@@ -6,7 +6,8 @@ without unions of its own. Expressions of one host are aligned one after the
 other: elements with equal labels merge, what one side lacks becomes optional,
 one against many becomes repeated, and texts that differ become slots. The
 outcome, the host's wrapper, says for each text slot whether its texts are main
-text; a page's main text is what its slots of that kind hold.
+text. Each page is matched against its host's wrapper, place by place, and its main
+text is what its slots of that kind hold, inside of articles too.
 
 Merging wrappers is the operation that merges pages. So tasks merge the pages
 they hold, and a second step merges one partial wrapper a task and host: a host
@@ -15,6 +16,7 @@ with a third of all pages sends no more rows than others.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -185,6 +187,7 @@ def expression(page: str) -> list:
     return fold(root[5])
 
 
+@functools.lru_cache(1 << 16)
 def _out(label: str, inside: bool) -> bool:
     tag, *words = label.split(" ")
     if tag in ("html", "body", "main"):
@@ -194,40 +197,114 @@ def _out(label: str, inside: bool) -> bool:
     return tag in _OUT or tag == "header" and not inside or any(w in _OUT_WORDS for w in words)
 
 
-def slots(wrapper: list, pages: int) -> dict[str, int]:
-    """Path -> 2 (text of an article), 1 (text that varies, outside), 0 (neither) for every text slot.
+@functools.lru_cache(1 << 16)
+def _main(label: str) -> bool:
+    tag, *words = label.split(" ")
+    return tag in _MAIN or any(w in _MAIN_WORDS for w in words)
+
+
+def slots(wrapper: list, pages: int) -> list:
+    """The wrapper as [label, flags, kind of a text slot or children of an element] nodes.
 
-    Outside of articles a slot counts if its text differs between the host's
-    pages, or the host has too few to tell, and it isn't mostly links.
+    Kinds: 2 varies within an article, 3 is fixed there, 1 varies outside and isn't
+    under a link, 0 is neither. A slot is fixed if its text is the same on most of
+    the host's pages and the host has enough to tell.
     """
-    out: dict[str, int] = {}
 
-    def walk(nodes: list, path: tuple[str, ...], dropped: bool, inside: bool, linked: bool) -> None:
-        for label, _, seen, _, constant, children in nodes:
+    def walk(nodes: list, dropped: bool, inside: bool, linked: bool) -> list:
+        out = []
+        for label, flags, seen, _, constant, children in nodes:
             if label == "#":
                 fixed = constant is not None and seen >= 3 and seen * 2 > pages
-                key = "\n".join(path)
-                kind = 0 if dropped else 2 if inside else int(not linked and not fixed)
-                out[key] = max(out.get(key, 0), kind)
+                out.append([label, flags, 0 if dropped else (3 if fixed else 2) if inside else int(not linked and not fixed)])
                 continue
-            tag, *words = label.split(" ")
-            within = inside or tag in _MAIN or any(w in _MAIN_WORDS for w in words)
-            walk(children, (*path, label), dropped or _out(label, inside), within, linked or tag == "a")
+            out.append([label, flags, walk(children, dropped or _out(label, inside), inside or _main(label), linked or label.split(" ", 1)[0] == "a")])
+        return out
+
+    return walk(wrapper, False, False, False)
+
+
+def positions(wrapper: list, labels: list[str]) -> list[int]:
+    """The wrapper's node for each of a page's neighbours, -1 for none: as many as can be, then as few optional ones as can be.
 
-    walk(wrapper, (), False, False, False)
+    Nodes come in order; a repeated node, or up to three of them in a row, can come again.
+    """
+    by: dict[str, list[int]] = {}
+    for j, node in enumerate(wrapper):
+        by.setdefault(node[0], []).append(j)
+    if all(len(js) == 1 for js in by.values()):
+        return [by.get(x, (-1,))[0] for x in labels]
+    # last[j]: the best way that ends at node j, as (matched, required, way before, neighbour, node).
+    start: tuple = (0, 0, None, -1, -1)
+    last: list[tuple | None] = [None] * len(wrapper)
+    for i, label in enumerate(labels):
+        new, before, at = [], start, 0
+        for j in by.get(label, ()):
+            for k in range(at, j):
+                if last[k] is not None and last[k][:2] > before[:2]:
+                    before = last[k]
+            at, way = j, before
+            for k in range(j, min(j + 3, len(wrapper))):
+                if not wrapper[k][1] & 2:
+                    break
+                if last[k] is not None and last[k][:2] > way[:2]:
+                    way = last[k]
+            new.append((way[0] + 1, way[1] + (not wrapper[j][1] & 1), way, i, j))
+        for x in new:
+            if last[x[4]] is None or x[:2] > last[x[4]][:2]:
+                last[x[4]] = x
+    out = [-1] * len(labels)
+    way = max((x for x in last if x is not None), key=lambda x: x[:2], default=start)
+    while way[2] is not None:
+        out[way[3]] = way[4]
+        way = way[2]
     return out
 
 
-def extract(page: str, kinds: dict[str, int]) -> str:
-    """The page's main text under its host's slots."""
-    found: list[tuple[int, int, str]] = []
-    for path, _, block, text in texts(page):
-        found.append((kinds.get("\n".join(path), 0), block, text))
-    best = 2 if any(k == 2 and t.strip() for k, _, t in found) else 1
+def kinds_of(found: list[tuple], wrapper: list) -> list[int]:
+    """The kind of each of a page's texts: that of the slot at its place in the host's wrapper."""
+    root: list = []
+    open_: list[list] = [root]
+    now: tuple[int, ...] = ()
+    for at, (path, ids, _, text) in enumerate(found):
+        if not text.strip():
+            continue
+        same = 0
+        while same < min(len(ids), len(now)) and ids[same] == now[same]:
+            same += 1
+        del open_[same + 1 :]
+        for label in path[same:]:
+            open_[-1].append((label, []))
+            open_.append(open_[-1][-1][1])
+        open_[-1].append(("#", at))
+        now = ids
+    kinds = [0] * len(found)
+
+    def walk(nodes: list, known: list, dropped: bool, inside: bool) -> None:
+        for (label, held), j in zip(nodes, positions(known, [x[0] for x in nodes]), strict=True):
+            if label == "#":  # a text without a slot counts as one that varies
+                kinds[held] = known[j][2] if j >= 0 else 0 if dropped else 2 if inside else 1
+            else:
+                walk(held, known[j][2] if j >= 0 else [], dropped or _out(label, inside), inside or _main(label))
+
+    walk(root, wrapper, False, False)
+    return kinds
+
+
+def extract(page: str, wrapper: list) -> str:
+    """The page's main text under its host's slots.
+
+    Fixed texts of an article are its text only if it has no other: the host's
+    pages then are copies, of which nothing can be told.
+    """
+    read = list(texts(page))
+    found = [(kind, block, text) for kind, (_, _, block, text) in zip(kinds_of(read, wrapper), read, strict=True)]
+    held = {k for k, _, t in found if t.strip()}
+    best = next((k for k in (2, 3) if k in held), 1)
     parts: list[str] = []
     last = None
     for kind, block, text in found:
-        if kind == best:
+        if kind == best or not text.strip():
             if block != last:
                 parts.append("\0")
                 last = block
@@ -241,7 +318,7 @@ def host_of(url: str) -> F.Column:
 
 
 def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", flush: int = 500) -> DataFrame:
-    """host and its text slots' kinds (JSON), from all of its pages."""
+    """host and its wrapper with each text slot's kind (JSON), from all of its pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +354,7 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
             yield given()
 
     parts = rows.mapInArrow(partial, "host string, pages long, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host").mapInArrow(whole, "host string, slots string")
+    return parts.repartition("host").sortWithinPartitions("host", "pages", "wrapper").mapInArrow(whole, "host string, slots string")
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -292,13 +369,13 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(url_col).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, kinds = None, {}
+        host, known_slots = None, []
         for batch in slices(batches, 64):
             out = []
             for text, h, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if h != host:
-                    host, kinds = h, json.loads(s)
-                out.append(extract(text, kinds))
+                    host, known_slots = h, json.loads(s)
+                out.append(extract(text, known_slots))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.join(known, "host").select("page_id", "url", "html", "host", "slots").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -316,6 +316,36 @@ def test_wrapper_folds_and_aligns():
     assert p[5][0][4] is None and ul[5][0][5][0][4] == "x"
 
 
+def host_texts(*pages):
+    """Each page's main text under the wrapper of all pages, as one host."""
+    whole = None
+    for p in pages:
+        own = html.expression(p)
+        whole = own if whole is None else html.align(whole, own)
+    known = html.slots(whole, len(pages))
+    return [html.extract(p, known) for p in pages]
+
+
+def test_wrapper_decides_within_articles():
+    pages = [f"<article><h1>Title {n}</h1><p>Story {n}</p><div class=offer>Try our app</div><p>Ending {n}</p></article>" for n in "abcd"]
+    assert host_texts(*pages) == [f"Title {n} Story {n} Ending {n}" for n in "abcd"]
+    assert host_texts(*pages[:1] * 4) == ["Title a Story a Try our app Ending a"] * 4  # copies tell nothing
+
+
+def test_slots_are_places():
+    """Two slots with the same labels above them: the first is fixed, the second varies."""
+    pages = [f"<body><p>Welcome</p><div>News {n}</div><p>Told {n}</p></body>" for n in "abcd"]
+    assert host_texts(*pages) == [f"News {n} Told {n}" for n in "abcd"]
+    lacking = "<body><div>News e</div><p>Told e</p></body>"
+    assert host_texts(*pages, lacking)[-1] == "News e Told e"
+
+
+def test_positions_repeat_groups():
+    wrapper = [["h", 2, []], ["p", 2, []], ["hr", 0, []], ["p", 1, []], ["i", 0, []]]
+    assert html.positions(wrapper, ["h", "p", "h", "p", "hr", "i"]) == [0, 1, 0, 1, 2, 4]
+    assert html.positions(wrapper, ["h", "p", "hr", "p", "x", "i"]) == [0, 1, 2, 3, -1, 4]
+
+
 # chats
 
 
