@@ -45,6 +45,9 @@ _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertisements banne
 _MAIN = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("main article articlebody".split())
 
+#: Outside of articles, the share of link characters above which a block is mostly links: a menu has little besides.
+LINKS = 0.8
+
 #: A folded element of more distinct children keeps them by label, without order.
 WIDEST = 60
 
@@ -207,21 +210,38 @@ def slots(wrapper: list, pages: int) -> list:
     """The wrapper as [label, flags, kind of a text slot or children of an element] nodes.
 
     Kinds: 2 varies within an article, 3 is fixed there, 1 varies outside and isn't
-    under a link, 0 is neither. A slot is fixed if its text is the same on most of
-    the host's pages and the host has enough to tell.
+    mostly links, 0 is neither. A slot is fixed if its text is the same on most of
+    the host's pages and the host has enough to tell. The slots between two block
+    tags go together: none is fixed beside one that varies, and all are links if
+    more than LINKS of their characters on all pages are.
     """
+    runs: list[list[tuple[list, int, bool, bool, bool, bool]]] = [[]]
 
     def walk(nodes: list, dropped: bool, inside: bool, linked: bool) -> list:
         out = []
-        for label, flags, seen, _, constant, children in nodes:
+        for label, flags, seen, chars, constant, children in nodes:
             if label == "#":
-                fixed = constant is not None and seen >= 3 and seen * 2 > pages
-                out.append([label, flags, 0 if dropped else (3 if fixed else 2) if inside else int(not linked and not fixed)])
+                out.append([label, flags, 0])
+                if not dropped:
+                    fixed = constant is not None and seen >= 3 and seen * 2 > pages
+                    runs[-1].append((out[-1], chars, inside, linked, fixed, constant is None))
                 continue
-            out.append([label, flags, walk(children, dropped or _out(label, inside), inside or _main(label), linked or label.split(" ", 1)[0] == "a")])
+            tag = label.split(" ", 1)[0]
+            if tag not in _INLINE:
+                runs.append([])
+            out.append([label, flags, walk(children, dropped or _out(label, inside), inside or _main(label), linked or tag == "a")])
+            if tag not in _INLINE:
+                runs.append([])
         return out
 
-    return walk(wrapper, False, False, False)
+    out = walk(wrapper, False, False, False)
+    for run in runs:
+        varies = any(v for *_, v in run)
+        links = sum(n for _, n, _, linked, _, _ in run if linked) > LINKS * sum(n for _, n, *_ in run)
+        for node, _, inside, _, fixed, _ in run:
+            fixed = fixed and not varies
+            node[2] = (3 if fixed else 2) if inside else int(not links and not fixed)
+    return out
 
 
 def positions(wrapper: list, labels: list[str]) -> list[int]:

@@ -340,6 +340,14 @@ def test_slots_are_places():
     assert host_texts(*pages, lacking)[-1] == "News e Told e"
 
 
+def test_links_of_kept_blocks_stay():
+    """Outside of articles a block goes only if hardly any of its characters are outside of links."""
+    assert host_texts("<div class=content><p>See <a>the annual report</a> for more</p></div>") == ["See the annual report for more"]
+    menu = "<div><a>One page</a> | <a>Another</a></div><ul><li><a>Third {n}</a></ul>"
+    pages = [f"<body>{menu.format(n=n)}<p>By <a>them</a>: news of {n}</p></body>" for n in "abcd"]
+    assert host_texts(*pages) == [f"By them: news of {n}" for n in "abcd"]
+
+
 def test_positions_repeat_groups():
     wrapper = [["h", 2, []], ["p", 2, []], ["hr", 0, []], ["p", 1, []], ["i", 0, []]]
     assert html.positions(wrapper, ["h", "p", "h", "p", "hr", "i"]) == [0, 1, 0, 1, 2, 4]
