@@ -17,6 +17,7 @@ with a third of all pages sends no more rows than others.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -48,8 +49,8 @@ _MAIN_WORDS = frozenset("main article articlebody".split())
 #: Outside of articles, the share of link characters above which a block is mostly links: a menu has little besides.
 LINKS = 0.8
 
-#: A folded element of more distinct children keeps them by label, without order.
-WIDEST = 60
+#: Bits of the table that an alignment keeps at once; above, one side is halved first.
+TABLE_BITS = 1 << 26
 
 
 def label_of(tag: str, attributes: str) -> str:
@@ -57,7 +58,7 @@ def label_of(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
     words = {w for k, v in _NAMED.findall(attributes) if k.lower() in ("class", "id", "role", "itemprop") for w in _WORD.findall(v.lower())}
-    return " ".join([tag, *sorted(words)[:8]]) if words else tag
+    return " ".join([tag, *sorted(words)]) if words else tag
 
 
 def texts(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
@@ -107,12 +108,13 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, st
 
 
 # A node is [label, flags, pages, chars, constant, children]; flags: 1 optional, 2 repeated.
-# A text slot's label is "#"; constant is its text as long as all agree, else None.
+# A text slot's label is "#"; constant is its text, or of a long text its
+# digest, as long as all agree, else None.
 
 
 def _leaf(text: str) -> list:
     text = " ".join(text.split())
-    return ["#", 0, 1, len(text), text if len(text) <= 200 else None, []]
+    return ["#", 0, 1, len(text), text if len(text) <= 200 else "\0" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), []]
 
 
 def merge(a: list, b: list, *, apart: bool = True) -> list:
@@ -135,30 +137,69 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each of a's labels: the bits k for which b[: k + 1] has no more in common with a so far than b[:k]."""
+    of: dict[str, int] = {}
+    for k, x in enumerate(b):
+        of[x] = of.get(x, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a:
+        hit = row & of.get(x, 0)
+        row = (row + hit | row - hit) & whole
+        yield row
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places in a and in b of a longest common subsequence, by bit rows; a is halved while their table is large."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    first = [(k, k) for k in range(head)]
+    last = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+        half = len(x) // 2
+        left, right = 0, 0
+        for left in _rows(x[:half], y):
+            pass
+        for right in _rows(x[half:][::-1], y[::-1]):
+            pass
+        best = have = (~right & (1 << len(y)) - 1).bit_count()
+        cut = 0
+        for k in range(len(y)):
+            have += (~left >> k & 1) - (~right >> len(y) - 1 - k & 1)
+            if have > best:
+                best, cut = have, k + 1
+        pairs = common(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in common(x[half:], y[cut:])]
+    else:
+        rows, pairs = list(_rows(x, y)), []
+        i, j = len(x), len(y)
+        while i and j:
+            if rows[i - 1] >> j - 1 & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                j -= 1
+                pairs.append((i, j))
+        pairs.reverse()
+    return first + [(i + head, j + head) for i, j in pairs] + last
+
+
 def align(a: list, b: list, *, apart: bool = True) -> list:
     """The alignment of two sequences of nodes; what one side lacks is optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [merge(x, y, apart=apart) for x, y in zip(a, b, strict=True)]
-    if max(len(a), len(b)) > WIDEST:
-        by: dict[str, list] = {}
-        for x in a + b:
-            by[x[0]] = merge(by[x[0]], x, apart=apart) if x[0] in by else x
-        return [[x[0], x[1] | 3, *x[2:]] for x in by.values()]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j], apart=apart))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | 1, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1] | 1, *b[j][2:]])
-            j += 1
+    for to_i, to_j in [*common([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[x[0], x[1] | 1, *x[2:]] for x in a[i:to_i] + b[j:to_j]]
+        if to_i < len(a):
+            out.append(merge(a[to_i], b[to_j], apart=apart))
+        i, j = to_i + 1, to_j + 1
     return fold(out) if apart else out
 
 

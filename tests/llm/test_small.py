@@ -348,6 +348,39 @@ def test_links_of_kept_blocks_stay():
     assert host_texts(*pages) == [f"By them: news of {n}" for n in "abcd"]
 
 
+def test_long_fixed_texts_go():
+    notice = "All rights are reserved and so on. " * 10
+    assert host_texts(*[f"<body><div>{notice}</div><p>Story {n}</p></body>" for n in "abcd"]) == [f"Story {n}" for n in "abcd"]
+    assert host_texts(*[f"<body><div>{notice}{n}</div></body>" for n in "abcd"]) == [f"{notice}{n}" for n in "abcd"]
+
+
+def test_labels_keep_all_words():
+    utility = "aa bb cc dd ee ff gg hh ii"
+    assert host_texts(f"<div class='{utility} sidebar'>Side</div><div class='{utility} main'><p>Story</p></div><p>Other</p>") == ["Story"]
+
+
+def test_wide_elements_align_exactly():
+    """Of 100 neighbours with unlike labels and two with the same, each keeps its own slot."""
+    pages = ["<body>" + "".join(f"<div class=c{chr(97 + k // 10)}{chr(97 + k % 10)}>{k} {n}</div>" for k in range(100) if k % 7 != ord(n) - 97) + f"<p>Fixed</p><hr><div class=z>z {n}</div><p>Story {n}</p></body>" for n in "abcd"]
+    for text, n in zip(host_texts(*pages), "abcd", strict=True):
+        assert "Fixed" not in text and text.endswith(f"z {n} Story {n}")
+
+
+@pytest.mark.parametrize("bits", [0, 50, 1 << 26])
+def test_common_is_longest(monkeypatch, bits):
+    monkeypatch.setattr(html, "TABLE_BITS", bits)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (["pqrst"[k] for k in rng.integers(0, 5, rng.integers(0, 40))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = html.common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
 def test_positions_repeat_groups():
     wrapper = [["h", 2, []], ["p", 2, []], ["hr", 0, []], ["p", 1, []], ["i", 0, []]]
     assert html.positions(wrapper, ["h", "p", "h", "p", "hr", "i"]) == [0, 1, 0, 1, 2, 4]
