@@ -408,7 +408,7 @@ def _(s, d):
 
 @query("node_embeddings")
 def _(s, d):
-    model = embeddings.word_vectors(embeddings.local_walks(X.sparse(s, d), length=20, per_vertex=4), size=16, window=5, rounds=1)
+    model = embeddings.word_vectors(embeddings.walks(X.sparse(s, d), length=20, per_vertex=4), size=16, window=5, rounds=1)
     return embeddings.vectors(model).select("id", F.size(embeddings.vector_to_array("vector")).alias("dims"))
 
 

@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.operators import centrality, community, graph, iterate, linkpred, resilience
+from meshwork.operators import centrality, community, embeddings, graph, iterate, linkpred, resilience
 from meshwork.operators.graph import Graph
+from meshwork.plans import catalog
 
 
 def make(spark, pairs, extra=()):
@@ -154,3 +155,17 @@ def test_sample_is_repeatable(spark):
     v = spark.range(100).select(F.col("id"))
     a, b = (sorted(r[0] for r in centrality.sample(x, rows=10).collect()) for x in (v, v.repartition(7)))
     assert a == b and len(a) == 10
+
+
+def test_node_embeddings_take_distributed_walks(spark, monkeypatch):
+    g, lengths, walk = make(spark, CLIQUES), [], embeddings.walks
+
+    def walks(of, **settings):
+        out = walk(of, **settings | {"length": 4, "per_vertex": 2})
+        lengths.append([len(r["walk"]) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(embeddings, "walks", walks)
+    monkeypatch.setattr(catalog.X, "sparse", lambda s, d: g)
+    rows = catalog.QUERIES["node_embeddings"](spark, "").collect()
+    assert lengths == [[4] * 16] and sorted(r["id"] for r in rows) == [str(k) for k in sorted(r["id"] for r in g.vertices.collect())]
