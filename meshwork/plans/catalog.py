@@ -364,7 +364,7 @@ def _(s, d):
     FROM cn LEFT JOIN n3 USING (u, v) JOIN deg x ON x.id = u JOIN deg y ON y.id = v JOIN b p ON p.id = u JOIN b q ON q.id = v""")
 def _(s, d):
     g = X.sparse(s, d)
-    out = linkpred.features(g, linkpred.two_hop_pairs(g), X.brands(s, d), most=2)
+    out = linkpred.features(g, linkpred.two_hop_pairs(g), X.brands(s, d))
     return out.withColumns({"katz": F.round("katz", 9), **{c: F.round(c, 6) for c in ("jaccard", "adamic_adar", "resource_allocation")}})
 
 
@@ -385,17 +385,17 @@ def _(s, d):
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(g, rows, most=2).join(rows, ["u", "v"]).persist()
-    return linkpred.train(data, trees=20, boosts=10, rounds=50)[0].select("model", F.round("auc", 6).alias("auc"))
+    data = linkpred.features(g, rows).join(rows, ["u", "v"]).persist()
+    return linkpred.train(data)[0].select("model", F.round("auc", 6).alias("auc"))
 
 
 @query("predicted_links")
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(g, rows, most=2).join(rows, ["u", "v"]).persist()
-    _, model = linkpred.train(data, trees=10, boosts=5, rounds=20)
-    return linkpred.predict(model, linkpred.features(g, linkpred.two_hop_pairs(g), most=2))
+    data = linkpred.features(g, rows).join(rows, ["u", "v"]).persist()
+    _, model = linkpred.train(data)
+    return linkpred.predict(model, linkpred.features(g, linkpred.two_hop_pairs(g)))
 
 
 # Embeddings

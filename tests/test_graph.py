@@ -169,3 +169,29 @@ def test_node_embeddings_take_distributed_walks(spark, monkeypatch):
     monkeypatch.setattr(catalog.X, "sparse", lambda s, d: g)
     rows = catalog.QUERIES["node_embeddings"](spark, "").collect()
     assert lengths == [[4] * 16] and sorted(r["id"] for r in rows) == [str(k) for k in sorted(r["id"] for r in g.vertices.collect())]
+
+
+@pytest.mark.parametrize("name", ["link_features", "link_models", "predicted_links"])
+def test_link_queries_use_the_defaults(spark, monkeypatch, name):
+    """Distances up to 4 hops are told apart, and training isn't shortened."""
+    g, calls, features = make(spark, [(k, k + 1) for k in range(1, 8)]), [], linkpred.features
+    far = spark.createDataFrame([(1, 4, 0), (1, 5, 0), (1, 7, 0)], "u long, v long, label int")
+    found = []
+
+    def kept(of, pairs, *args, **settings):
+        calls.append(settings)
+        found.append({(r["u"], r["v"]): r["path_distance"] for r in features(of, far, *args, **settings).collect()})
+        return features(of, pairs, *args, **settings)
+
+    def train(rows, **settings):
+        calls.append(settings)
+        return spark.createDataFrame([("none", 0.5)], "model string, auc double"), None
+
+    monkeypatch.setattr(linkpred, "features", kept)
+    monkeypatch.setattr(linkpred, "train", train)
+    monkeypatch.setattr(linkpred, "predict", lambda model, rows: rows)
+    monkeypatch.setattr(linkpred, "dataset", lambda of: far)
+    monkeypatch.setattr(catalog.X, "sparse", lambda s, d: g)
+    monkeypatch.setattr(catalog.X, "brands", lambda s, d: None)
+    catalog.QUERIES[name](spark, "")
+    assert found and all(x == {(1, 4): 3, (1, 5): 4, (1, 7): 5} for x in found) and not any(calls)
