@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one made for this application."""
+    """The folder of spark.checkpoint.dir; in local mode, where that is unset (tests), one made for this application."""
     sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir", ""):
+    if found := sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", ""):
         return found.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     if sc.applicationId not in _own:
         made = tempfile.mkdtemp(prefix="meshwork-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -24,8 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` as a written table: cuts the lineage of a loop, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, label)[0]
+
+
+class Rounds:
+    """The tables of a loop: once a round's table is written, that of the round before under its label goes."""
+
+    def __init__(self) -> None:
+        self._last: dict[str, str] = {}
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = _written(df, label)
+        spark, old = df.sparkSession, self._last.get(label)
+        if old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(old)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._last[label] = path
+        return out
