@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph, degrees, top
-from meshwork.store import cut
+from meshwork.store import Rounds, cut
 
 
 def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None, reset: float = 0.15, most: int = 200) -> DataFrame:
@@ -34,36 +34,44 @@ def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None,
 
 def label_propagation(g: Graph, max_iter: int = 5) -> DataFrame:
     """id, label after synchronous rounds; each vertex takes its neighbours' commonest label, of several the smallest."""
-    labels = g.vertices.withColumn("label", F.col("id"))
+    rounds, labels = Rounds(), g.vertices.withColumn("label", F.col("id"))
     for _ in range(max_iter):
         votes = g.edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("id").agg(F.max("n").alias("n")).join(votes, ["id", "n"]).groupBy("id").agg(F.min("label").alias("won"))
-        labels = cut(labels.join(best, "id", "left").select("id", F.coalesce("won", "label").alias("label")), "labels")
+        best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("won"))
+        labels = rounds.cut(labels.join(best, "id", "left").select("id", F.coalesce("won", "label").alias("label")), "labels")
     return labels
 
 
-def connected_components(g: Graph) -> DataFrame:
-    """id, component: the smallest id that edges reach, whichever way they point.
+def stars(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """node, component of every end of a pair that isn't its component's smallest: that smallest node.
 
     Alternates two star rounds until nothing changes, a logarithmic number of
-    them on paths. Minima combine on the map side and hot vertices meet theirs in
-    an equi-join, so no vertex's neighbours are gathered.
+    them on paths: every node hangs its larger neighbours under its smallest one,
+    then its smaller neighbours and itself. Minima combine on the map side and hot
+    nodes meet theirs in an equi-join, which adaptive execution splits, so no
+    node's neighbours are gathered.
     """
-    e = cut(g.edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    rounds = Rounds()
+    e = rounds.cut(pairs.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars")
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = rounds.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.filter("u <> v").distinct(), "stars")
+        e = rounds.cut(small.filter("u <> v").distinct(), "stars")
         if (after := mark(e)) == before:
-            return g.vertices.join(e.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
 
 
+def connected_components(g: Graph) -> DataFrame:
+    """id, component: the smallest id that edges reach, whichever way they point."""
+    return g.vertices.join(stars(g.edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def group_sizes(labels: DataFrame, label: str) -> DataFrame:
     return labels.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
 
