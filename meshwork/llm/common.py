@@ -1,46 +1,30 @@
-"""Shared pieces of the training-data operators: tables, the shared folder, text normalisation."""
+"""Shared pieces of the training-data operators: tables, text normalisation, samples, bounded batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.store import cut as materialize
+
+__all__ = ["LOWER", "UPPER", "arrow_map", "ascii_lower", "id_crc", "materialize", "picked", "slices", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
+#: Bytes of a batch that goes to Python, and of the rows that become Python objects at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one made for this application."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", ""):
-        return found.rstrip("/")
-    if sc.applicationId not in _own_dirs:
-        made = tempfile.mkdtemp(prefix="meshwork-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _own_dirs[sc.applicationId] = f"file://{made}"
-    return _own_dirs[sc.applicationId]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -51,8 +35,30 @@ def id_crc(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ``rows`` rows at most, so that Python holds few texts at once."""
+def picked(share: float, *columns: str) -> Column:
+    """Whether a hash of the columns falls into a share of all 63-bit numbers: no share above 0 is too small to pick any."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("picked"), *columns), 1) < F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow``; the session's bound on the bytes of a batch becomes BATCH_BYTES where it is Spark's own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and ``most`` bytes of texts (one row at least), so that Python holds few at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(size)
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
+            end = min(batch.num_rows, at + rows, max(at + 1, fits))
+            yield batch.slice(at, end - at)
+            at = end

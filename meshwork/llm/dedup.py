@@ -11,7 +11,8 @@ from meshwork.llm.common import ascii_lower, materialize
 
 
 def sha256_hex(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """The digest of a text that isn't null; said to be never null, so that no filter computes it a second time."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -64,8 +65,21 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat an id and a text, one."""
-    keep = winners(docs, id_col=id_col, text_col=text_col, salts=salts).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
-    mine = docs.withColumn("__mine", sha256_hex(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    same = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__mine") == F.col("__digest"))
-    return mine.join(keep, same, "left_semi").dropDuplicates([id_col, "__mine"]).drop("__mine")
+    """The documents that stay, with all their columns.
+
+    Texts are equal as in ``duplicate_groups``, and the row with the largest id
+    stays; a null id only where no other has the text. Of rows that repeat an id
+    and a text one stays, whichever. An empty table gives no rows; other columns
+    have any name but those that begin with two underscores.
+
+    The winners are written narrow, without texts. Rows that repeat an id are then
+    merged, on the map side first, under the same keys by which rows find their
+    winners, so whole documents are shuffled once more and a hot id sends one row
+    a task.
+    """
+    of = lambda c: {"__none": F.col(c).isNull(), "__id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    keys = ["__none", "__id", "__digest"]
+    best = winners(docs, id_col=id_col, text_col=text_col, salts=salts).select("keep_id", F.col("digest").alias("__digest"))
+    best = materialize(best, "dedup-winners").withColumns(of("keep_id")).select(keys).distinct()
+    once = docs.withColumns({**of(id_col), "__digest": sha256_hex(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))}).dropDuplicates(keys)
+    return once.join(best, keys).select(docs.columns)  # an inner join: Catalyst would move a semi-join before the merging

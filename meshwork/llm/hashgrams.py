@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+#: Code points hashed at once.
+BLOCK = 1 << 18
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 

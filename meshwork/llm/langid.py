@@ -11,11 +11,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import arrow_map, picked, slices
 from meshwork.llm.hashgrams import blocks, char_grams
 
 ORDERS = (1, 2, 3)
 BITS = 15
-#: Documents to learn from, about: a hash of the id picks them where there are more.
+#: Documents to learn from, about: a hash picks them where there are more.
 TRAIN_ROWS = 20_000
 #: N-grams that the confidence counts at most: a long text is no surer than one of so many.
 TRUST = 100
@@ -61,7 +62,7 @@ class LanguageModel:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for batch in batches:
+    for batch in slices(batches, 1024):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs])
@@ -82,15 +83,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Learns from the rows where ``learn`` holds and the language and text are given.
 
-    Of more than ``train_rows`` such rows a hash of the id picks about that many.
-    Each task sums its n-grams, Spark adds the tables, and the driver gets
-    2**15 counts a language, whatever the input.
+    Of more than ``train_rows`` such rows a hash of the id and text picks about
+    that many, at any size. Each task sums its n-grams, Spark adds the tables, and
+    the driver gets 2**15 counts a language, whatever the input. Rows that repeat
+    count as often as they stand there; an empty table gives a model without
+    languages.
     """
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = min(1.0, train_rows / max(1, rows.count()))
     if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
-    summed = rows.select(lang_col, text_col).mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        rows = rows.filter(picked(share, id_col, text_col))
+    summed = arrow_map(rows.select(lang_col, text_col), _counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = tuple(sorted(summed["lang"].unique()))
     counts, docs_of = np.zeros((1 << BITS, len(names))), np.ones(len(names))
     for i, x in enumerate(names):
@@ -107,7 +110,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     """id, lang_pred, score of every row.
 
     A null text, or one without a letter, is ``und`` with score 0. Texts are read
-    whole, however long, in blocks of a million code points. Equal texts get equal
+    whole, however long, in blocks of bounded size. Equal texts get equal
     results; an empty table gives no rows; without any language to learn, all is
     ``und``. The broadcast model is 2**15 floats a language.
     """
@@ -115,21 +118,25 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             named, score = shared.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def accept(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` or more, with all their columns, in one pass."""
+    """The documents whose language is known with a score of ``least`` or more, with all their columns, in one pass.
+
+    Null texts and texts without a letter go. Rows that repeat stay or go together;
+    an empty table gives no rows; columns of any name or type pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             named, score = shared.value.score(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and bool(s >= least) for x, s in zip(named, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import materialize, slices
+from meshwork.llm.common import arrow_map, materialize, slices
 
 CAPACITY = 4096
 #: Pieces that one task packs together.
@@ -22,7 +22,7 @@ GROUP = 2048
 #: Open sequences of a first-round group go to the second round if they miss more tokens than this.
 SLACK = 8
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 _LATIN = [chr(i) for i in range(0x180)]
@@ -38,7 +38,8 @@ class CachedEncoder:
     whole tokenizer.
     """
 
-    MOST = 400_000
+    #: Distinct words that a worker remembers at most: the first it meets, so the frequent ones.
+    MOST = 150_000
     WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
     OTHER = re.compile("[^\x00-\x1b\x20-\u017f]|\u0130|<\\|")
 
@@ -78,21 +79,26 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.
 
     Null counts as empty: its one piece is the end id. Only documents of more than
-    ``capacity`` ids are cut, into full pieces and a rest.
+    ``capacity`` ids are cut, into full pieces and a rest. Ids of any type pass
+    through, null ones too; repeated rows give pieces of their own; an empty table
+    gives none; other columns are ignored.
     """
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(path, end_id)
         for batch in slices(batches, 512):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((row, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            rows, *columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECES)
+    kind = dict(docs.dtypes)[id_col]
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_col), run, f"doc_id {kind}, {PIECES}")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -162,7 +168,8 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
 def _round(pieces: DataFrame, rows: int, capacity: int) -> DataFrame:
     groups = max(1, -(-rows // GROUP))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("tag"), F.lit(groups))).repartition("grp").sortWithinPartitions("grp", F.desc("length"), "tag")
-    return dealt.mapInArrow(lambda batches: _pack(batches, capacity), _PLACED)
+    kind = dict(pieces.dtypes)["doc_id"]
+    return dealt.mapInArrow(lambda batches: _pack(batches, capacity), f"doc_id {kind}, {_PLACED}")
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import arrow_map, picked, slices
 from meshwork.llm.hashgrams import blocks, char_grams, word_grams
 
 ORDERS = (2, 3)
@@ -52,7 +53,7 @@ class QualityModel:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, distinct features, their counts) of each document."""
-    for batch in batches:
+    for batch in slices(batches, 256):
         texts = batch.column(2).to_pylist()
         for k in range(len(texts)):
             h = np.concatenate([x for _, x in features([texts[k]])] or [np.zeros(0, np.uint32)])
@@ -86,18 +87,21 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = DIM,
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Learns from the labels where ``learn`` (over the id) holds.
 
-    Of more than ``train_rows`` such labels a hash of the id picks about that many.
-    Texts become feature counts on the executors; the driver gets at most 2**15
-    counts for each of those documents. Without labels of both kinds the model
-    says their share for every text (a half without any).
+    Of more than ``train_rows`` such labels a hash of the id picks about that many,
+    at any size. Of labels that clash over one id the smallest holds; an id that
+    several documents have stands for the smallest of their texts (null counts as
+    empty). Texts become feature counts on the executors; the driver gets at most
+    2**15 counts for each picked id. Without labels of both kinds the model says
+    their share for every text (a half without any).
     """
-    known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("__label")).dropDuplicates([id_col])
+    known = labels.filter(learn & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("__label"))
     share = min(1.0, train_rows / max(1, known.count()))
     if share < 1:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.join(known, id_col).select(F.col(id_col).alias("id"), "__label", F.col(text_col).alias("text"))
+        known = known.filter(picked(share, id_col))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = named.join(known.withColumnRenamed(id_col, "id"), "id").groupBy("id").agg(F.min("__label").alias("label"), F.min("text").alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    found = rows.mapInArrow(_sparse, f"id {kind}, label int, ids array<int>, n array<int>").toArrow().sort_by("id")
+    found = arrow_map(rows, _sparse, f"id {kind}, label int, ids array<int>, n array<int>").toArrow().sort_by("id")
     examples = [(i.values.to_numpy(zero_copy_only=False), n.values.to_numpy(zero_copy_only=False).astype(np.float64), y) for i, n, y in zip(found["ids"], found["n"], found["label"].to_pylist(), strict=True)]
     if len({y for _, _, y in examples}) < 2:
         p = (sum(y for _, _, y in examples) + 1) / (len(examples) + 2)
@@ -106,24 +110,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
 
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row; null counts as empty. Texts are read whole; the broadcast is 2**15 floats."""
+    """id and score (0 to 1) of every row.
+
+    Null counts as empty, and an empty text has the score of the bias alone. Texts
+    are read whole, in blocks of bounded size. Equal texts get equal scores; an
+    empty table gives no rows; other columns are ignored. The broadcast is 2**15
+    floats.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def accept(docs: DataFrame, model: QualityModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that score ``least`` or more, with all their columns, in one pass."""
+    """The documents that score ``least`` or more, with all their columns, in one pass.
+
+    Null counts as empty. Rows that repeat stay or go together; an empty table
+    gives no rows; columns of any name or type pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import slices
+from meshwork.llm.common import arrow_map, slices
 
 SPACE = "▁"
 
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 columns += [pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([zlib.crc32(b.encode("utf-8", "surrogatepass")) for b in back], pa.int64()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), text_col), run, ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -197,4 +197,4 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
             texts = [model.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return arrow_map(encoded.select(F.col(id_col).alias("id"), ids_col), run, f"id {kind}, text string").withColumnRenamed("id", id_col)
