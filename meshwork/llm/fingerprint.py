@@ -62,23 +62,49 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 _NONE = -(1 << 63)
+#: Copies of one row that a task writes out on its own; those of larger groups are dealt in chunks of as many.
+COPIES = 4096
 
 
 def _previous(keys: DataFrame) -> DataFrame:
-    """To each (key, crc, copy, n_chars), in descending key, the one before it; to the first the last.
+    """To each (key, crc, sha, n_chars, copies), in descending key, the one before it; to the first the last.
 
     Keys are dealt by range, each range looks back within itself, and its first
     key takes the last of the range before, from a table of one row a range.
     """
-    dealt = keys.repartitionByRange(F.desc("key"), F.asc("crc"), F.asc("copy")).withColumn("part", F.spark_partition_id())
+    dealt = keys.repartitionByRange(F.desc("key"), F.asc("crc"), F.asc("sha")).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "fingerprint-keys")
-    here = F.struct("key", "crc", "copy", "n_chars")
-    tails = dealt.groupBy("part").agg(F.max_by(here, F.struct(F.bitwise_not("key"), F.col("crc"), F.col("copy"))).alias("tail"))
+    here = F.struct("key", "sha", "n_chars")
+    tails = dealt.groupBy("part").agg(F.max_by(here, F.struct(F.bitwise_not("key"), F.col("crc"), F.col("sha"))).alias("tail"))
     by_part = Window.orderBy("part")
     tails = tails.select("part", F.coalesce(F.lag("tail").over(by_part), F.last("tail").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("tail"))
-    within = Window.partitionBy("part").orderBy(F.desc("key"), F.asc("crc"), F.asc("copy"))
+    within = Window.partitionBy("part").orderBy(F.desc("key"), F.asc("crc"), F.asc("sha"))
     before = dealt.withColumn("before", F.lag(here).over(within)).join(F.broadcast(tails), "part")
-    return before.select("key", "crc", "copy", F.coalesce("before", "tail").alias("before"))
+    return before.select("key", "sha", "n_chars", "copies", F.coalesce("before", "tail").alias("before"))
+
+
+def _texts(base: DataFrame) -> DataFrame:
+    """key, sha, text, sk: each text of an id once, with its sketch in 32-bit numbers."""
+    return base.groupBy("key", "sha").agg(F.min("text").alias("text")).withColumn("sk", F.transform(sketch(F.col("text")), lambda x: (x - (1 << 31)).cast("int")))
+
+
+def _head(text: str, n_chars: str) -> Column:
+    """What a text lends to one of ``n_chars`` code points: as many of its first as that has in a third."""
+    return F.substring(text, F.lit(1), F.floor(F.col(n_chars) / 3).cast("int"))
+
+
+def _sketched(own: DataFrame) -> DataFrame:
+    """The columns of the result and ``copies`` from key, text, n_chars, sk, copies and lent, next_sk, next_id."""
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("lent"))
+    both = own.select(F.nullif(F.col("key"), F.lit(_NONE)).alias("doc_id"), "n_chars", "next_id", "copies", _unsigned("sk").alias("sk"), _unsigned("next_sk").alias("next_sk"), edited.alias("edited"))
+    both = both.select("doc_id", "n_chars", "next_id", "copies", "sk", "next_sk", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sk"))
+    near = (likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sk")).alias("fingerprint"), text_of(F.col("edited_sk")).alias("edited_fingerprint"), *near, "next_id", "copies")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``copies`` says."""
+    return rows.withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,25 +113,37 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The edited text has the last third of the code points replaced by the first as
     many (or all) of the next document's, in descending doc_id; after the last
     comes the first, and rows of one id stand in the order of their texts'
-    checksums, without an id last. Null counts as empty. A single document is its
-    own next one; an empty table gives no rows.
+    checksums, without an id last. Ids are whole numbers. Null counts as empty. A
+    single document is its own next one; an empty table gives no rows; other
+    columns are ignored. Texts of any length are sketched whole.
 
-    Texts are shuffled once, with their sketches; what a document lends to the one
-    before it, a prefix and its sketch, once more. Only Spark's own functions run.
+    Rows that repeat an id and a text have one answer but for the last of them, as
+    the others are followed by their like: they are merged, on the map side first,
+    and written out again, large groups in chunks that are dealt to all tasks.
+
+    Texts are shuffled once; what a document lends to the one before it, a prefix
+    and its sketch, once more. Only Spark's own functions run.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumns({"n_chars": F.char_length("text").cast("long"), "crc": F.crc32(F.col("text").cast("binary")), "key": F.coalesce("doc_id", F.lit(_NONE))})
-    copies = Window.partitionBy("key", "crc").orderBy("n_chars", "doc_id")
-    before = _previous(base.select("key", "crc", "n_chars", "doc_id").withColumn("copy", F.row_number().over(copies)).drop("doc_id"))
-    own = base.withColumn("sk", F.transform(sketch(F.col("text")), lambda x: (x - (1 << 31)).cast("int"))).withColumn("copy", F.row_number().over(copies))
-    # (key, crc) is the partitioning that windows and joins share; copies of equal rows only filter
-    own = own.join(before.select("key", "crc", F.col("copy").alias("c"), "before"), ["key", "crc"]).filter("copy - c = 0")
-    lent = own.select(F.col("before.key").alias("key"), F.col("before.crc").alias("crc"), F.col("before.copy").alias("c"), F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 3).cast("int")).alias("lent"), F.col("sk").alias("next_sk"), F.col("doc_id").alias("next_id"))
-    both = own.select("key", "crc", "doc_id", "copy", "text", "n_chars", "sk").join(lent, ["key", "crc"]).filter("copy - c = 0")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.col("lent"))
-    both = both.select("doc_id", "n_chars", "next_id", _unsigned("sk").alias("sk"), _unsigned("next_sk").alias("next_sk"), edited.alias("edited"))
-    both = both.select("doc_id", "n_chars", "next_id", "sk", "next_sk", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sk"))
-    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("sk")).alias("fingerprint"), text_of(F.col("edited_sk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"), "next_id")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.select(F.coalesce("doc_id", F.lit(_NONE)).alias("key"), "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"))
+    narrow = base.select("key", "sha", F.crc32(F.col("text").cast("binary")).alias("crc"), F.char_length("text").cast("long").alias("n_chars"))
+    before = _previous(narrow.groupBy("key", "crc", "sha", "n_chars").agg(F.count(F.lit(1)).alias("copies")))
+    own = _texts(base).join(before, ["key", "sha"])
+    next_id = F.nullif(F.col("key"), F.lit(_NONE)).alias("next_id")
+    lent = own.select(F.col("before.key").alias("key"), F.col("before.sha").alias("sha"), _head("text", "before.n_chars").alias("lent"), F.col("sk").alias("next_sk"), next_id)
+    both = own.join(lent, ["key", "sha"])
+    last = F.struct("lent", "next_sk", "next_id", F.lit(1).cast("long").alias("copies"))
+    like = F.struct(_head("text", "n_chars").alias("lent"), F.col("sk").alias("next_sk"), next_id, (F.col("copies") - 1).alias("copies"))
+    ways = F.when(F.col("copies").between(2, COPIES), F.array(last, like)).otherwise(F.array(last))
+    out = _repeated(_sketched(both.select("key", "text", "n_chars", "sk", F.explode(ways).alias("way")).select("key", "text", "n_chars", "sk", "way.*")))
+    large = materialize(before.filter(F.col("copies") > COPIES).select("key", "sha", "n_chars", "copies"), "fingerprint-large")
+    if large.isEmpty():
+        return out
+    most = _texts(base.join(large.select("key", "sha"), ["key", "sha"], "left_semi")).join(large, ["key", "sha"])
+    most = _sketched(most.select("key", "text", "n_chars", "sk", _head("text", "n_chars").alias("lent"), F.col("sk").alias("next_sk"), next_id, (F.col("copies") - 1).alias("copies")))
+    most = materialize(most, "fingerprint-copies").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    most = most.withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("chunk") * COPIES))
+    return out.unionByName(_repeated(most.repartition("doc_id", "edited_sha256", "chunk").drop("chunk")))
 
 
 def _unsigned(name: str) -> Column:
