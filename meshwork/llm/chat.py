@@ -10,8 +10,8 @@ A step of the programme is a matrix of costs between states, and such matrices
 multiply (with minimum and plus), so a long conversation is cut into blocks of
 turns: a first pass makes each block's matrix, a second walks the few block
 matrices of each conversation forth and back for the states between blocks, and a
-third repairs each block between its two states. No task ever holds more than one
-block of turns with their texts.
+third repairs each block between its two states. No task ever holds the texts of
+more than one chunk of a block, whose size is bounded by rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from meshwork.llm.common import materialize
+from meshwork.llm.common import arrow_map, materialize, slices
 
 #: States: nothing yet, and the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -128,17 +129,19 @@ def repair(roles: list[str | None], start: int, stop: int, costs: Costs) -> list
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """The rows of each run of equal (conv, block), which stand in columns 0 and 1."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(number in its block, rows) of chunks of at most ``most`` rows of equal (conv, block), which stand in columns 0 and 1."""
     held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
-            if held and held[0][:2] != row[:2]:
-                yield held
+    chunk = 0
+    for batch in slices(batches, 4096):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (len(held) == most or held[0][:2] != row[:2]):
+                yield chunk, held
+                chunk = chunk + 1 if held[0][:2] == row[:2] else 0
                 held = []
             held.append(row)
     if held:
-        yield held
+        yield chunk, held
 
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 512, costs: Costs | None = None, template: Template | None = None) -> DataFrame:
@@ -155,50 +158,63 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     relabelled, null texts count as empty. Turns stand in the order of turn (null
     first), then role and text; rows that repeat are turns of their own. Ties go
     to fewer insertions. Rows without a conversation id are one conversation. An
-    empty table gives no rows. A conversation of any length is repaired in blocks
-    of ``block`` turn numbers.
+    empty table gives no rows. Conversation ids of any type that sorts pass through;
+    other columns are ignored.
+
+    A conversation is dealt into blocks of ``block`` turn numbers, and a block into
+    chunks of as many rows in their order: however many rows have one turn number
+    or none, a task that repairs them holds one chunk.
     """
     costs, template = costs or Costs(), template or Template()
     conv = dict(turns.dtypes)[conv_col]
+    kind = to_arrow_type(turns.schema[conv_col].dataType)
     base = turns.select(F.col(conv_col).alias("conv"), F.floor(F.coalesce(F.col(turn_col), F.lit(-1)) / block).alias("block"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.trim(role_col)).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "text"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, 4):
+        for chunk, rows in _runs(batches, block):
             cost = product([r[3] for r in rows], costs).ravel().tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], _arrow(conv)), pa.array([rows[0][1]], pa.int64()), pa.array([cost], pa.list_(pa.int64()))], names=["conv", "block", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], kind), pa.array([rows[0][1]], pa.int64()), pa.array([chunk], pa.int64()), pa.array([cost], pa.list_(pa.int64()))], names=["conv", "block", "chunk", "cost"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            for rows in _blocks(batches, 3):
-                if held and held[0][0] != rows[0][0]:
-                    yield held
-                    held = []
-                held += rows
-            if held:
-                yield held
-
-        for rows in runs():
-            states = walk([np.array(c, dtype=np.int64).reshape(4, 4) for _, _, c in rows], costs)
-            last = [k == len(rows) - 1 for k in range(len(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], _arrow(conv)), pa.array([r[1] for r in rows], pa.int64()), pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32()), pa.array(last)], names=["conv", "block", "start", "stop", "last"])
+        def states() -> pa.RecordBatch:
+            found = walk(held, costs)
+            at = np.array(places, dtype=np.int64)
+            last = np.arange(len(at)) == len(at) - 1
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(at), kind), *(pa.array(x) for x in (at[:, 0], at[:, 1], np.array(found[:-1], np.int32), np.array(found[1:], np.int32), last))], names=["conv", "block", "chunk", "start", "stop", "last"])
+
+        name, places, held = None, [], []
+        for batch in slices(batches, 4096):
+            for c, number, chunk, cost in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if held and c != name:
+                    yield states()
+                    places, held = [], []
+                name = c
+                places.append((number, chunk))
+                held.append(np.array(cost, dtype=np.int64).reshape(4, 4))
+        if held:
+            yield states()
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in _blocks(batches, 8):
-            start, stop, last = rows[0][5:]
-            state, pos, (c, number) = start, 0, rows[0][:2]
+        group: tuple | None = None
+        ways: list[tuple[int, int, bool]] = []  # of the block's chunks: the states before and after, and whether it ends the conversation
+        held: list[tuple] = []
+        done = pos = size = 0
+
+        def repaired() -> None:
+            nonlocal pos, done, held, size
+            (state, stop, last), rows = ways[done], held
 
             def put(turn: int | None, role: int, action: str, text: str, shown: str) -> None:
-                nonlocal pos
-                out.append((c, number, pos, turn, ROLES[role], action, text, shown))
-                pos += 1
+                nonlocal pos, size
+                out.append((*group, pos, turn, ROLES[role], action, text, shown))
+                pos, size = pos + 1, size + len(text) + 100
 
             def opened(role: int) -> str:
                 return (template.close if state else "") + template.open.format(role=ROLES[role])
 
-            for (_, _, turn, _, text, *_), choice in zip(rows, repair([r[3] for r in rows], start, stop, costs), strict=True):
+            for (turn, _, text), choice in zip(rows, repair([r[1] for r in rows], state, stop, costs), strict=True):
                 for role in choice.inserted:
                     put(turn, role, "insert", "", opened(role))
                     state = role
@@ -210,24 +226,37 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
                     put(turn, role, "insert", "", opened(role))
                     state = role
                 put(turn, START, "close", "", template.close)
-            if len(out) >= 2000:
-                yield _table(out)
-                out = []
+            done, held = done + 1, []
+
+        for batch in slices(batches, 4096):
+            for c, number, chunk, start, stop, last, turn, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c, number) != group or len(held) == block:
+                    if held:
+                        repaired()
+                    if (c, number) != group:
+                        group, ways, done, pos = (c, number), [], 0, 0
+                if chunk is not None:
+                    ways.append((start, stop, last))
+                else:
+                    held.append((turn, role, text))
+                if size > 1 << 22:
+                    yield _table(out)
+                    out, size = [], 0
+        if held:
+            repaired()
         if out:
             yield _table(out)
 
     def _table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (_arrow(conv), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 4)
+        kinds = (kind, pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4)
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "block", "pos", "turn", "role", "action", "text", "rendered"])
 
-    dealt = base.select("conv", "block", "turn", "role", "text").repartition("conv", "block")
-    costed = dealt.drop("text").sortWithinPartitions("conv", "block", *order[:2]).mapInArrow(first, f"conv {conv}, block long, cost array<bigint>")
-    states = costed.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(second, f"conv {conv}, block long, start int, stop int, last boolean")
-    states = materialize(states, "chat-states")
-    joined = dealt.join(states.select(F.col("conv").alias("c"), F.col("block").alias("b"), "start", "stop", "last"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    joined = joined.select("conv", "block", "turn", "role", "text", "start", "stop", "last").sortWithinPartitions("conv", "block", *order)
-    return joined.mapInArrow(third, f"conv {conv}, block long, pos int, turn long, role string, action string, text string, rendered string").withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    base = base.select("conv", "block", "turn", "role", "text")
+    roles = base.drop("text").repartition("conv", "block").sortWithinPartitions("conv", "block", *order[:2])
+    costed = arrow_map(roles, first, f"conv {conv}, block long, chunk long, cost array<bigint>")
+    states = arrow_map(costed.repartition("conv").sortWithinPartitions("conv", "block", "chunk"), second, f"conv {conv}, block long, chunk long, start int, stop int, last boolean")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    states = materialize(states, "chat-states").withColumns({"turn": F.lit(None).cast("long"), "role": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    both = states.unionByName(base.select("conv", "block", none("chunk", "long"), none("start", "int"), none("stop", "int"), none("last", "boolean"), "turn", "role", "text"))
+    dealt = both.repartition("conv", "block").sortWithinPartitions("conv", "block", F.asc_nulls_last("chunk"), *order)
+    return arrow_map(dealt, third, f"conv {conv}, block long, pos long, turn long, role string, action string, text string, rendered string").withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
