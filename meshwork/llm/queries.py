@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import chat, dedup, fingerprint, html, jaccard, langid, packing, quality, sentencepiece, sharding
 from meshwork.llm.common import LOWER, UPPER, id_crc, table
+from meshwork.store import shared_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,7 +30,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.assign(table(spark, sf_dir, "documents"), 24)
+    store = f"{shared_dir(spark)}/shard-map-{zlib.crc32(sf_dir.encode()):08x}"
+    placed, _ = sharding.assign(table(spark, sf_dir, "documents"), 24, store)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import bisect
-import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from meshwork.llm.common import materialize
 
@@ -16,8 +15,8 @@ SLOTS = 4096
 
 
 def virtual_slot(doc_id: str, crc: str, slots: int = SLOTS) -> Column:
-    """The record's slot, the same at every size and shard count. Rows without an id spread by their text."""
-    return F.pmod(F.xxhash64(F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(crc))), F.lit(slots)).cast("int")
+    """The record's slot by its id and its text's checksum, the same at every size and shard count: a repeated id spreads by its texts."""
+    return F.pmod(F.xxhash64(F.col(doc_id), F.col(crc)), F.lit(slots)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -80,14 +79,27 @@ class SlotMap:
         return SlotMap(self.version + 1, self.shards + 1, tuple(owner))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at ``path``."""
-        spark.sql(f"SELECT {self.version} AS version, {self.shards} AS shards, '{json.dumps(self.owner)}' AS owner").write.mode("append").parquet(path)
+        """Adds this version to the table at ``path``: version, shards, virtual_slot, shard. A version that is there already is refused."""
+        rows = spark.range(1).select(F.lit(self.shards).alias("shards"), F.posexplode(F.expr(f"array({','.join(map(str, self.owner))})")).alias("virtual_slot", "shard"))
+        rows.coalesce(1).write.parquet(f"{path}/version={self.version}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> SlotMap:
-        """The newest version in the table at ``path``."""
-        row = spark.read.parquet(path).orderBy(F.desc("version")).first()
-        return SlotMap(row["version"], row["shards"], tuple(json.loads(row["owner"])))
+    def table(spark: SparkSession, path: str, version: int) -> DataFrame:
+        """virtual_slot, shard of one stored version."""
+        return spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest version in the table at ``path``; none where there is no table."""
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        newest = stored.agg(F.max("version")).first()[0]
+        rows = stored.filter(F.col("version") == newest).orderBy("virtual_slot").collect()  # one row a slot
+        return SlotMap(int(newest), rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
 def records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -105,29 +117,39 @@ def slot_weights(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[i
     return size, count
 
 
-def _lookup(values: list[int], kind: str) -> Column:
-    return F.get(F.expr(f"array({','.join(f'{v}{kind}' for v in values)})"), F.col("virtual_slot"))
-
-
-def assign(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Puts every document into a shard so that the shards hold nearly equal bytes.
+def assign(docs: DataFrame, shards: int, store: str, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+    """Puts every document into a shard so that the shards hold nearly equal bytes; returns the rows and the map's version.
 
-    Records hash into ``slots`` virtual slots; the map from slots to shards, given
-    or fresh, is rebalanced by the bytes measured in each slot and returned as its
-    next version. Rows come back with shard and slot, their place in the shard
-    (from 0, gapless): rows are numbered within their virtual slot, and the slots
-    of a shard stand behind each other, so no task sees more than one slot at once.
+    Records hash into ``slots`` virtual slots. The newest version of the map from
+    slots to shards in the table at ``store``, or a fresh one where there is none
+    of as many slots and shards, is rebalanced by the bytes measured in each slot;
+    if that moves any slot the outcome is stored as the next version. Rows take
+    their shard from the stored table. They come back with shard and slot, their
+    place in the shard (from 0, gapless): rows are numbered within their virtual
+    slot, and the slots of a shard stand behind each other, so no task sees more
+    than one slot at once.
 
-    Null texts have size 8; repeated rows are separate records; an empty table
-    gives no rows. Only Spark's own functions touch the rows.
+    Null texts have size 8; texts of any length count whole; repeated rows are
+    separate records; rows that repeat an id spread by their texts; an empty table
+    gives no rows; other columns are ignored. Only Spark's own functions touch the
+    rows.
     """
+    spark = docs.sparkSession
     rows = materialize(records(docs, id_col=id_col, text_col=text_col, slots=slots), "shard-records")
     size, count = slot_weights(rows, slots)
-    edited = (slot_map or SlotMap.fresh(shards, slots)).rebalance(size)
-    start, filled = [0] * slots, [0] * shards
-    for slot, shard in enumerate(edited.owner):
-        start[slot] = filled[shard]
-        filled[shard] += count[slot]
+    known = SlotMap.load(spark, store)
+    if known is None or (known.shards, len(known.owner)) != (shards, slots):
+        known = SlotMap((known.version if known else 0) + 1, shards, SlotMap.fresh(shards, slots).owner)
+        known.save(spark, store)
+    edited = known.rebalance(size)
+    if edited.owner == known.owner:
+        edited = known
+    else:
+        edited.save(spark, store)
+    # slots, and so the rows that are broadcast, are as many as ``slots`` says
+    filled = spark.range(1).select(F.posexplode(F.expr(f"array({','.join(f'{n}L' for n in count)})")).alias("virtual_slot", "rows"))
+    behind = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    places = SlotMap.table(spark, store, edited.version).join(filled, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(behind), F.lit(0)).alias("start"))
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("shard", _lookup(list(edited.owner), "")).withColumn("slot", _lookup(start, "L") + F.row_number().over(within) - 1)
-    return placed, edited
+    placed = rows.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(places), "virtual_slot")
+    return placed.withColumn("slot", F.col("start") + F.col("place")).drop("start", "place"), edited
