@@ -21,13 +21,15 @@ import hashlib
 import html
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import materialize, slices
+from meshwork.llm.common import arrow_map, materialize, slices
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?/][^>]*>""", re.S)
 _NAMED = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -61,18 +63,61 @@ def label_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted(words)]) if words else tag
 
 
-def texts(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
-    """(labels of the open elements, their numbers, block, raw text) of every text of a page, in order."""
-    stack: list[tuple[str, str, int]] = []
-    path: tuple[str, ...] = ()
-    ids: tuple[int, ...] = ()
+#: What ``events`` gives: an element opens (label), the innermost one closes, a text (block, raw text).
+OPEN, CLOSE, TEXT = range(3)
+
+
+class _Open:
+    """The open elements: their names, how often each is open, and the places of those that aren't inline."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.number: Counter[str] = Counter()
+        self.solid: list[int] = []
+
+    def push(self, tag: str) -> None:
+        if tag not in _INLINE:
+            self.solid.append(len(self.names))
+        self.names.append(tag)
+        self.number[tag] += 1
+
+    def cut(self, depth: int) -> int:
+        """Closes down to ``depth`` elements; how many those are."""
+        gone = len(self.names) - depth
+        for tag in self.names[depth:]:
+            self.number[tag] -= 1
+        del self.names[depth:]
+        while self.solid and self.solid[-1] >= depth:
+            self.solid.pop()
+        return gone
+
+    def end(self, tag: str) -> int:
+        """An end tag closes the innermost element of its name and all within; one without an element closes none."""
+        if not self.number[tag]:
+            return 0
+        depth = len(self.names) - 1
+        while self.names[depth] != tag:
+            depth -= 1
+        return self.cut(depth)
+
+    def start(self, tag: str) -> int:
+        """What a start tag closes: open elements that it ends, behind inline ones."""
+        ends = _ENDS.get(tag, set()) | (set() if tag in _INLINE else {"p"})
+        gone = 0
+        while self.solid and self.names[self.solid[-1]] in ends:
+            gone += self.cut(self.solid[-1])
+        return gone
+
+
+def events(page: str) -> Iterator[tuple[int, str | int, str]]:
+    """The page as (OPEN, label, ""), (CLOSE, number of elements, "") and (TEXT, block, raw text), in order and in linear time."""
+    open_ = _Open()
     at, block = 0, 0
-    raw_end: re.Match | None = None
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield path, ids, block, page[at:end]
+            yield TEXT, block, page[at:end]
         if not m:
             break
         at = m.end()
@@ -82,29 +127,34 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, st
         if tag not in _INLINE:
             block += 1
         if m[1]:
-            names = [t for t, _, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
-                path, ids = tuple(x for _, x, _ in stack), tuple(n for _, _, n in stack)
+            if gone := open_.end(tag):
+                yield CLOSE, gone, ""
             continue
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in _RAW:
-            raw_end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            stop = raw_end.start() if raw_end else len(page)
+            found = _raw_end(tag).search(page, at)
+            stop = found.start() if found else len(page)
             if tag == "textarea":
-                yield (*path, tag), (*ids, at), block, page[at:stop]
-            at = raw_end.end() if raw_end else len(page)
+                yield OPEN, tag, ""
+                yield TEXT, block, page[at:stop]
+                yield CLOSE, 1, ""
+            at = found.end() if found else len(page)
             continue
-        ends = {"p"} if tag not in _INLINE else set()
-        ends |= _ENDS.get(tag, set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-            elif stack[k][0] not in _INLINE:
-                break
-        stack.append((tag, label_of(tag, m[3]), at))
-        path, ids = tuple(x for _, x, _ in stack), tuple(n for _, _, n in stack)
+        if gone := open_.start(tag):
+            yield CLOSE, gone, ""
+        open_.push(tag)
+        yield OPEN, label_of(tag, m[3]), ""
+
+
+@functools.lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
+def deep() -> None:
+    """Lets trees be as deep as pages are: calls among Python functions take no C stack."""
+    sys.setrecursionlimit(1 << 30)
 
 
 # A node is [label, flags, pages, chars, constant, children]; flags: 1 optional, 2 repeated.
@@ -204,33 +254,61 @@ def align(a: list, b: list, *, apart: bool = True) -> list:
 
 
 def expression(page: str) -> list:
-    """The page's own expression: its root's children."""
+    """The page's own expression: its root's children. Elements without text are left out."""
     root: list = ["", 0, 1, 0, None, []]
-    open_: list[list] = [root]
-    now: tuple[int, ...] = ()
-
-    def close(depth: int) -> None:
-        while len(open_) > depth:
-            node = open_.pop()
+    path: list[list | str] = [root]  # open elements: nodes, and labels of those that had no text yet
+    made = 1
+
+    def close() -> None:
+        nonlocal made
+        node = path.pop()
+        if made > len(path):
+            made = len(path)
             node[5] = fold(node[5])
 
-    for path, ids, _, text in texts(page):
-        if not text.strip():
-            continue
-        same = 0
-        while same < min(len(ids), len(now)) and ids[same] == now[same]:
-            same += 1
-        close(same + 1)
-        for label in path[same:]:
-            node = [label, 0, 1, 0, None, []]
-            open_[-1][5].append(node)
-            open_.append(node)
-        open_[-1][5].append(_leaf(text))
-        now = ids
-    close(1)
+    for kind, value, text in events(page):
+        if kind == OPEN:
+            path.append(value)
+        elif kind == CLOSE:
+            for _ in range(value):
+                close()
+        elif text.strip():
+            for k in range(made, len(path)):
+                path[k] = [path[k], 0, 1, 0, None, []]
+                path[k - 1][5].append(path[k])
+            made = len(path)
+            path[-1][5].append(_leaf(text))
+    while len(path) > 1:
+        close()
     return fold(root[5])
 
 
+def written(nodes: list) -> str:
+    """Nodes, whose last entry holds their children or a value, as JSON of one flat list with their depths."""
+    flat: list = []
+    todo = [(0, x) for x in reversed(nodes)]
+    while todo:
+        depth, node = todo.pop()
+        held = isinstance(node[-1], list)
+        flat.append([depth, held, *(node[:-1] if held else node)])
+        if held:
+            todo += [(depth + 1, x) for x in reversed(node[-1])]
+    return json.dumps(flat)
+
+
+def read(text: str) -> list:
+    """The nodes that ``written`` wrote."""
+    under: list[list] = [[]]
+    for depth, held, *node in json.loads(text):
+        if held:
+            node.append([])
+        del under[depth + 1 :]
+        under[-1].append(node)
+        if held:
+            under.append(node[-1])
+    return under[0]
+
+
 @functools.lru_cache(1 << 16)
 def _out(label: str, inside: bool) -> bool:
     tag, *words = label.split(" ")
@@ -238,7 +316,9 @@ def _out(label: str, inside: bool) -> bool:
         return False
     if tag == "article":  # comments are often articles of their own; other words name what belongs to the article
         return "comment" in words
-    return tag in _OUT or tag == "header" and not inside or any(w in _OUT_WORDS for w in words)
+    if tag in _OUT or tag == "header" and not inside:  # an article's own header has its title
+        return True
+    return not (inside and tag in _INLINE) and any(w in _OUT_WORDS for w in words)  # within an article inline elements are words of its sentences
 
 
 @functools.lru_cache(1 << 16)
@@ -322,26 +402,26 @@ def positions(wrapper: list, labels: list[str]) -> list[int]:
     return out
 
 
-def kinds_of(found: list[tuple], wrapper: list) -> list[int]:
-    """The kind of each of a page's texts: that of the slot at its place in the host's wrapper."""
+def kinds_of(page: list[tuple[int, str | int, str]], wrapper: list) -> list[int]:
+    """The kind of each of a page's texts (of its events): that of the slot at its place in the host's wrapper."""
     root: list = []
     open_: list[list] = [root]
-    now: tuple[int, ...] = ()
-    for at, (path, ids, _, text) in enumerate(found):
-        if not text.strip():
-            continue
-        same = 0
-        while same < min(len(ids), len(now)) and ids[same] == now[same]:
-            same += 1
-        del open_[same + 1 :]
-        for label in path[same:]:
-            open_[-1].append((label, []))
-            open_.append(open_[-1][-1][1])
-        open_[-1].append(("#", at))
-        now = ids
-    kinds = [0] * len(found)
+    n = 0
+    for kind, value, text in page:
+        if kind == OPEN:
+            open_.append([])
+            open_[-2].append((value, open_[-1]))
+        elif kind == CLOSE:
+            del open_[len(open_) - value :]
+        else:
+            if text.strip():
+                open_[-1].append(("#", n))
+            n += 1
+    kinds = [0] * n
+    bare = _without_text(root)
 
     def walk(nodes: list, known: list, dropped: bool, inside: bool) -> None:
+        nodes = [x for x in nodes if x[0] == "#" or id(x[1]) not in bare]
         for (label, held), j in zip(nodes, positions(known, [x[0] for x in nodes]), strict=True):
             if label == "#":  # a text without a slot counts as one that varies
                 kinds[held] = known[j][2] if j >= 0 else 0 if dropped else 2 if inside else 1
@@ -352,14 +432,26 @@ def kinds_of(found: list[tuple], wrapper: list) -> list[int]:
     return kinds
 
 
+def _without_text(root: list) -> set[int]:
+    """The identities of the child lists of elements without any text."""
+    order: list[list] = [root]
+    for nodes in order:
+        order += [held for label, held in nodes if label != "#"]
+    bare: set[int] = set()
+    for nodes in reversed(order):
+        if all(label != "#" and id(held) in bare for label, held in nodes):
+            bare.add(id(nodes))
+    return bare
+
+
 def extract(page: str, wrapper: list) -> str:
     """The page's main text under its host's slots.
 
     Fixed texts of an article are its text only if it has no other: the host's
     pages then are copies, of which nothing can be told.
     """
-    read = list(texts(page))
-    found = [(kind, block, text) for kind, (_, _, block, text) in zip(kinds_of(read, wrapper), read, strict=True)]
+    parsed = list(events(page))
+    found = [(kind, block, text) for kind, (block, text) in zip(kinds_of(parsed, wrapper), [x[1:] for x in parsed if x[0] == TEXT], strict=True)]
     held = {k for k, _, t in found if t.strip()}
     best = next((k for k in (2, 3) if k in held), 1)
     parts: list[str] = []
@@ -378,44 +470,52 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", flush: int = 500) -> DataFrame:
-    """host and its wrapper with each text slot's kind (JSON), from all of its pages."""
+def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", flush: int = 16 << 20) -> DataFrame:
+    """host and its wrapper with each text slot's kind (JSON), from all of its pages.
+
+    A task gives out the partial wrappers it holds once the longest page of each
+    of their hosts come to ``flush`` characters.
+    """
     rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         held: dict[str, tuple[int, list]] = {}
+        longest: dict[str, int] = {}
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([json.dumps(w) for _, w in held.values()], pa.string())], names=["host", "pages", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([written(w) for _, w in held.values()], pa.string())], names=["host", "pages", "wrapper"])
 
         for batch in slices(batches, 64):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = expression(page)
                 n, w = held.get(host, (0, None))
                 held[host] = (n + 1, own if w is None else align(w, own))
-            if len(held) > flush:
+                longest[host] = max(len(page), longest.get(host, 1000))
+            if sum(longest.values()) > flush:
                 yield given()
-                held = {}
+                held, longest = {}, {}
         if held:
             yield given()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         host, n, w = None, 0, None
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(slots(w, n))], pa.string())], names=["host", "slots"])
+            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([written(slots(w, n))], pa.string())], names=["host", "slots"])
 
         for batch in slices(batches, 64):
             for h, k, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if h != host and w is not None:
                     yield given()
                     n, w = 0, None
-                host, n, w = h, n + k, json.loads(text) if w is None else align(w, json.loads(text))
+                host, n, w = h, n + k, read(text) if w is None else align(w, read(text))
         if w is not None:
             yield given()
 
-    parts = rows.mapInArrow(partial, "host string, pages long, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host", "pages", "wrapper").mapInArrow(whole, "host string, slots string")
+    parts = arrow_map(rows, partial, "host string, pages long, wrapper string")
+    return arrow_map(parts.repartition("host").sortWithinPartitions("host", "pages", "wrapper"), whole, "host string, slots string")
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -423,20 +523,22 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     A null or empty page has the empty text. Pages without a host share one
     wrapper. Pages that are cut off, unclosed elements and stray tags are read as
-    they come. Repeated rows repeat their results; an empty table gives no rows.
+    they come, in time linear in the page, however long or deep. Repeated rows
+    repeat their results; an empty table gives no rows; other columns are ignored.
     """
     known = materialize(wrappers(pages, url_col=url_col, html_col=html_col), "html-wrappers")
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(url_col).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         host, known_slots = None, []
         for batch in slices(batches, 64):
             out = []
             for text, h, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if h != host:
-                    host, known_slots = h, json.loads(s)
+                    host, known_slots = h, read(s)
                 out.append(extract(text, known_slots))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(known, "host").select("page_id", "url", "html", "host", "slots").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return arrow_map(rows.join(known, "host").select("page_id", "url", "html", "host", "slots"), run, f"page_id {kind}, url string, text string, n_chars long")
