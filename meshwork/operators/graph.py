@@ -126,14 +126,13 @@ def wedges_closed(g: Graph) -> DataFrame:
     that closes them in an equi-join.
     """
     deg = degrees(g, "simple")
-    one = g.pairs()
     d1, d2 = (deg.select(F.col("id").alias(c), F.col("degree").alias(f"d_{c}")) for c in ("src", "dst"))
-    one = one.join(d1, "src").join(d2, "dst")
-    up = F.struct("d_src", "src") < F.struct("d_dst", "dst")
-    oriented = one.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.greatest("d_src", "d_dst").alias("d"))
-    left = oriented.select("a", "b", F.struct("d", "b").alias("kb"))
-    right = oriented.select("a", F.col("b").alias("c"), F.struct("d", "b").alias("kc"))
-    wedge = left.join(right, "a").filter(F.struct(F.col("kb.d"), F.col("kb.b")) < F.struct(F.col("kc.d"), F.col("kc.b"))).select("a", "b", "c")
+    one = g.pairs().join(d1, "src").join(d2, "dst")
+    up = (F.col("d_src") < F.col("d_dst")) | ((F.col("d_src") == F.col("d_dst")) & (F.col("src") < F.col("dst")))
+    oriented = cut(one.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.greatest("d_src", "d_dst").alias("d")), "oriented")
+    right = oriented.select("a", F.col("b").alias("c"), F.col("d").alias("dc"))
+    rising = (F.col("d") < F.col("dc")) | ((F.col("d") == F.col("dc")) & (F.col("b") < F.col("c")))
+    wedge = oriented.join(right, "a").filter(rising).select("a", "b", "c")
     close = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"))
     return wedge.join(close, ["b", "c"], "left_semi").select("a", "b", "c")
 

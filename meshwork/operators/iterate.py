@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from meshwork.operators.graph import Graph, degrees, top
 from meshwork.store import Rounds, cut
 
+#: Levels of ``hops`` that stand as tables of their own before they join the others.
+MERGE = 8
+
 
 def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None, reset: float = 0.15, most: int = 200) -> DataFrame:
     """id, pagerank; ranks start at 1 and sum to the number of vertices if all have out-edges.
@@ -18,12 +21,11 @@ def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None,
         raise ValueError("give max_iter or tol")
     out = degrees(g, "out").filter("degree > 0").select(F.col("id").alias("src"), "degree")
     edges = cut(g.edges.join(out, "src"), "pagerank-edges")
-    ranks = g.vertices.withColumn("pagerank", F.lit(1.0))
+    rounds, ranks = Rounds(), g.vertices.withColumn("pagerank", F.lit(1.0))
     for k in range(max_iter if max_iter is not None else most):
         sent = edges.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
         after = g.vertices.join(sent, "id", "left").select("id", (reset + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        if tol is not None or k % 4 == 3:
-            after = cut(after, "pagerank")
+        after = rounds.cut(after, "pagerank-odd" if k % 2 else "pagerank")  # as a table its size is known, so that edges move only if ranks are many
         if tol is not None:
             change = after.join(ranks.withColumnRenamed("pagerank", "was"), "id").agg(F.max(F.abs(F.col("pagerank") - F.col("was")))).first()[0]
             if change is None or change < tol:
@@ -81,33 +83,31 @@ def size_profile(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("size") > 10).alias("over_ten"), F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("largest"))
 
 
-#: Levels that one job of ``hops`` looks ahead.
-AHEAD = 3
-
-
 def hops(g: Graph, sources: DataFrame, *, most: int | None = None, toward: bool = True) -> DataFrame:
     """landmark, id, distance in hops for the rows (id) of ``sources``; what can't be reached is absent.
 
     ``toward``: from each vertex to the landmark along the edges. All landmarks
-    share each round's joins; a round takes a few levels from the frontier only.
+    share each round's joins; a round extends the frontier by one level.
     """
     step = g.edges.select(F.col("dst").alias("at"), F.col("src").alias("id")) if toward else g.edges.select(F.col("src").alias("at"), F.col("dst").alias("id"))
-    seen = frontier = cut(sources.select(F.col("id").alias("landmark"), "id", F.lit(0).alias("distance")), "hops")
-    d = 0
+    rounds = Rounds()
+    seen = frontier = rounds.cut(sources.select(F.col("id").alias("landmark"), "id", F.lit(0).alias("distance")), "hops-seen")
+    d, levels = 0, []
     while most is None or d < most:
-        levels, front = [], frontier
-        for _ in range(AHEAD if most is None else min(AHEAD, most - d)):
-            d += 1
-            front = front.select("landmark", F.col("id").alias("at")).join(step, "at").select("landmark", "id").distinct().join(seen, ["landmark", "id"], "left_anti")
-            levels.append(front.withColumn("distance", F.lit(d)))
-        new = levels[0]
-        for level in levels[1:]:
-            new = new.unionByName(level)
-        new = cut(new.groupBy("landmark", "id").agg(F.min("distance").alias("distance")), "hops")
-        frontier = new.filter(F.col("distance") == d)
-        seen = cut(seen.unionByName(new), "hops") if d % (8 * AHEAD) == 0 else seen.unionByName(new)
+        d += 1
+        reached = frontier.select("landmark", F.col("id").alias("at")).join(step, "at").select("landmark", "id").distinct()
+        for known in [seen, *levels]:
+            reached = reached.join(known, ["landmark", "id"], "left_anti")
+        frontier = cut(reached.withColumn("distance", F.lit(d)), "hops")
         if frontier.isEmpty():
             break
+        levels.append(frontier)
+        if len(levels) == MERGE:
+            for level in levels:
+                seen = seen.unionByName(level)
+            seen, levels = rounds.cut(seen, "hops-seen"), []
+    for level in levels:
+        seen = seen.unionByName(level)
     return seen
 
 

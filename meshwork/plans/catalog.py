@@ -41,6 +41,8 @@ _TRI = """, tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM
         t AS MATERIALIZED (SELECT v.id, coalesce(n, 0)::BIGINT AS t FROM v LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY id) USING (id))"""
 _DIST = ", h(landmark, id, distance) AS (SELECT id, id, 0 FROM {sources} UNION SELECT h.landmark, e.dst, h.distance + 1 FROM h JOIN e ON h.id = e.src WHERE h.distance < {most}), dist AS MATERIALIZED (SELECT landmark, id, min(distance) AS distance FROM h GROUP BY ALL)"
 _REACH = ", r(id, c) AS (SELECT id, id FROM v UNION SELECT e.dst, r.c FROM r JOIN e ON r.id = e.src), comp AS MATERIALIZED (SELECT id, min(c) AS component FROM r GROUP BY id)"
+#: The same by rounds of minima: the co-purchase graph of all lines is far less than 12 hops wide.
+_NEAR = ", m0 AS (SELECT id, id AS component FROM v)" + "".join(f", m{k + 1} AS MATERIALIZED (SELECT id, min(component) AS component FROM (SELECT * FROM m{k} UNION ALL SELECT e.dst, component FROM e JOIN m{k} ON id = e.src) GROUP BY id)" for k in range(12)) + ", comp AS (SELECT * FROM m12)"
 
 
 def _pagerank_sql(n: int) -> str:
@@ -60,14 +62,14 @@ def _lpa_sql(n: int) -> str:
 # Graph construction and structure
 
 
-@query("edges_symmetric", Q + " SELECT src, dst FROM e")
+@query("edges_symmetric", P + " SELECT src, dst FROM e")
 def _(s, d):
-    return X.sparse(s, d).edges.select("src", "dst")
+    return X.parts(s, d).edges.select("src", "dst")
 
 
-@query("vertices", Q + " SELECT id FROM v")
+@query("vertices", P + " SELECT id FROM v")
 def _(s, d):
-    return X.sparse(s, d).vertices
+    return X.parts(s, d).vertices
 
 
 @query("graph_summary", P + " SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM u) AS edges, 2.0::DOUBLE * (SELECT count(*) FROM u) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)) AS density")
@@ -122,9 +124,9 @@ def _(s, d):
     return graph.triangle_total(graph.triangles(X.parts(s, d)))
 
 
-@query("clustering_local", Q + _TRI + " SELECT id, round(2.0 * t / (2 * d * (2 * d - 1)), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id)")
+@query("clustering_local", P + _TRI + " SELECT id, round(2.0 * t / (2 * d * (2 * d - 1)), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id)")
 def _(s, d):
-    return graph.local_clustering(X.sparse(s, d)).withColumn("clustering", F.round("clustering", 9))
+    return graph.local_clustering(X.parts(s, d)).withColumn("clustering", F.round("clustering", 9))
 
 
 @query("clustering_global", P + _TRI + """ SELECT (SELECT count(*) FROM tri) AS triangles, sum(2 * d * (2 * d - 1) // 2)::BIGINT AS triples,
@@ -133,20 +135,20 @@ def _(s, d):
     return graph.clustering(X.parts(s, d)).withColumns({c: F.round(c, 9) for c in ("global_clustering", "avg_local_clustering")})
 
 
-@query("mutual_motif", Q + " SELECT src, dst FROM u")
+@query("mutual_motif", P + " SELECT src, dst FROM u")
 def _(s, d):
-    return graph.mutual_motif(X.sparse(s, d).edges)
+    return graph.mutual_motif(X.parts(s, d).edges)
 
 
-@query("network_preview", Q + """, f AS (SELECT src, dst FROM e ORDER BY src, dst LIMIT 900), n AS (SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM f) GROUP BY id ORDER BY k DESC, id LIMIT 70)
+@query("network_preview", P + """, f AS (SELECT src, dst FROM e ORDER BY src, dst LIMIT 900), n AS (SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM f) GROUP BY id ORDER BY k DESC, id LIMIT 70)
     SELECT src, dst FROM f WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) ORDER BY src, dst LIMIT 180""")
 def _(s, d):
-    return graph.preview(X.sparse(s, d).edges)
+    return graph.preview(X.parts(s, d).edges)
 
 
-@query("id_dictionary", Q + " SELECT count(*) AS ids, count(*) AS codes, (SELECT count(*) FROM e) AS edges FROM v")
+@query("id_dictionary", P + " SELECT count(*) AS ids, count(*) AS codes, (SELECT count(*) FROM e) AS edges FROM v")
 def _(s, d):
-    codes, e = graph.encode(X.sparse(s, d).edges)
+    codes, e = graph.encode(X.parts(s, d).edges)
     return codes.agg(F.count(F.lit(1)).alias("ids"), F.countDistinct("code").alias("codes")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("edges"))))
 
 
@@ -168,9 +170,9 @@ def _(s, d):
     return iterate.pagerank(X.parts(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6))
 
 
-@query("pagerank_top100", Q + _pagerank_sql(5) + " SELECT id, round(r, 6) AS pagerank FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 100")
+@query("pagerank_top100", P + _pagerank_sql(5) + " SELECT id, round(r, 6) AS pagerank FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 100")
 def _(s, d):
-    return graph.top(iterate.pagerank(X.sparse(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), "pagerank", 100)
+    return graph.top(iterate.pagerank(X.parts(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), "pagerank", 100)
 
 
 @query("pagerank_tol")
@@ -178,49 +180,49 @@ def _(s, d):
     return iterate.pagerank(graph.path_graph(s), tol=1e-4)
 
 
-@query("label_propagation_5", Q + _lpa_sql(5) + " SELECT id, label FROM l5")
+@query("label_propagation_5", P + _lpa_sql(5) + " SELECT id, label FROM l5")
 def _(s, d):
-    return iterate.label_propagation(X.sparse(s, d), 5)
+    return iterate.label_propagation(X.parts(s, d), 5)
 
 
-@query("community_sizes", Q + _lpa_sql(5) + " SELECT label, count(*) AS size FROM l5 GROUP BY label ORDER BY size DESC, label LIMIT 5")
+@query("community_sizes", P + _lpa_sql(5) + " SELECT label, count(*) AS size FROM l5 GROUP BY label ORDER BY size DESC, label LIMIT 5")
 def _(s, d):
-    return graph.top(iterate.group_sizes(iterate.label_propagation(X.sparse(s, d), 5), "label"), "size", 5, "label")
+    return graph.top(iterate.group_sizes(iterate.label_propagation(X.parts(s, d), 5), "label"), "size", 5, "label")
 
 
-@query("connected_components", Q + _REACH + " SELECT id, component FROM comp")
+@query("connected_components", P + _NEAR + " SELECT id, component FROM comp")
 def _(s, d):
-    return iterate.connected_components(X.sparse(s, d))
+    return iterate.connected_components(X.parts(s, d))
 
 
-@query("component_profile", Q + _REACH + ", z AS (SELECT component, count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS groups, count(*) FILTER (size > 10) AS over_ten, count(*) FILTER (size = 1) AS singletons, max(size) AS largest FROM z")
+@query("component_profile", P + _NEAR + ", z AS (SELECT component, count(*) AS size FROM comp GROUP BY component) SELECT count(*) AS groups, count(*) FILTER (size > 10) AS over_ten, count(*) FILTER (size = 1) AS singletons, max(size) AS largest FROM z")
 def _(s, d):
-    return iterate.size_profile(iterate.group_sizes(iterate.connected_components(X.sparse(s, d)), "component"))
+    return iterate.size_profile(iterate.group_sizes(iterate.connected_components(X.parts(s, d)), "component"))
 
 
-@query("giant_component", Q + _REACH + " SELECT max(n) AS giant_size FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
+@query("giant_component", P + _NEAR + " SELECT max(n) AS giant_size FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
 def _(s, d):
-    return resilience.giant_component(X.sparse(s, d))
+    return resilience.giant_component(X.parts(s, d))
 
 
 _TOP3 = ", top3 AS MATERIALIZED (SELECT id FROM deg ORDER BY d DESC, id LIMIT 3)"
 
 
-@query("shortest_paths_landmarks", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT landmark, id, distance FROM dist")
+@query("shortest_paths_landmarks", P + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT landmark, id, distance FROM dist")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     return iterate.hops(g, iterate.landmarks(g, "degree", 3))
 
 
-@query("path_stats", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT count(*) AS paths, max(distance) AS diameter, round(avg(distance), 6) AS avg_distance FROM dist")
+@query("path_stats", P + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT count(*) AS paths, max(distance) AS diameter, round(avg(distance), 6) AS avg_distance FROM dist")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     return iterate.path_stats(iterate.hops(g, iterate.landmarks(g, "degree", 3))).withColumn("avg_distance", F.round("avg_distance", 6))
 
 
-@query("distance_maps", Q + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT id, string_agg(landmark || '=' || distance, ',' ORDER BY landmark) AS distances FROM dist GROUP BY id")
+@query("distance_maps", P + _TOP3 + _DIST.format(sources="top3", most=60) + " SELECT id, string_agg(landmark || '=' || distance, ',' ORDER BY landmark) AS distances FROM dist GROUP BY id")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     m = iterate.distance_maps(iterate.hops(g, iterate.landmarks(g, "degree", 3)))
     pairs = F.transform(F.array_sort(F.map_entries("distances")), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string")))
     return m.select("id", F.array_join(pairs, ",").alias("distances"))
@@ -250,17 +252,17 @@ def _core_sql(n: int) -> str:
     out = ", c0 AS (SELECT id, d AS c FROM deg)"
     for k in range(n):
         out += f", c{k + 1} AS MATERIALIZED (SELECT id, max(least(n, c)) AS c FROM (SELECT e.src AS id, c, row_number() OVER (PARTITION BY e.src ORDER BY c DESC) AS n FROM e JOIN c{k} ON c{k}.id = e.dst) GROUP BY id)"
-    return Q + out + f" SELECT id, c AS coreness FROM c{n}"
+    return P + out + f" SELECT id, c AS coreness FROM c{n}"
 
 
 @query("kcore", _core_sql(24))
 def _(s, d):
-    return iterate.k_core(X.sparse(s, d))
+    return iterate.k_core(X.parts(s, d))
 
 
 @query("core_distribution", _core_sql(24).rsplit(" SELECT id", 1)[0] + " SELECT c AS coreness, count(*) AS count FROM c24 GROUP BY c")
 def _(s, d):
-    return iterate.k_core(X.sparse(s, d)).groupBy("coreness").agg(F.count(F.lit(1)).alias("count"))
+    return iterate.k_core(X.parts(s, d)).groupBy("coreness").agg(F.count(F.lit(1)).alias("count"))
 
 
 # Centralities
@@ -325,15 +327,15 @@ def _(s, d):
     return community.profile(X.parts(s, d), X.brands(s, d))
 
 
-@query("bridge_nodes", Q + _BRAND + " SELECT src AS id, cs AS community, count(DISTINCT cd) AS bridge_score, array_to_string(list_sort(list(DISTINCT cd)), ',') AS connects_to FROM eb WHERE cs <> cd GROUP BY src, cs")
+@query("bridge_nodes", P + _BRAND + " SELECT src AS id, cs AS community, count(DISTINCT cd) AS bridge_score, array_to_string(list_sort(list(DISTINCT cd)), ',') AS connects_to FROM eb WHERE cs <> cd GROUP BY src, cs")
 def _(s, d):
-    return community.bridges(X.sparse(s, d), X.brands(s, d)).withColumn("connects_to", F.array_join("connects_to", ","))
+    return community.bridges(X.parts(s, d), X.brands(s, d)).withColumn("connects_to", F.array_join("connects_to", ","))
 
 
-@query("community_jaccard", Q + _BRAND + """, k AS (SELECT c FROM b GROUP BY c ORDER BY count(*) DESC, c LIMIT 20), n AS MATERIALIZED (SELECT DISTINCT cs, cd FROM eb WHERE cs <> cd AND cs IN (SELECT c FROM k)), z AS (SELECT cs, count(*) AS n FROM n GROUP BY cs)
+@query("community_jaccard", P + _BRAND + """, k AS (SELECT c FROM b GROUP BY c ORDER BY count(*) DESC, c LIMIT 20), n AS MATERIALIZED (SELECT DISTINCT cs, cd FROM eb WHERE cs <> cd AND cs IN (SELECT c FROM k)), z AS (SELECT cs, count(*) AS n FROM n GROUP BY cs)
     SELECT x.cs AS community_a, y.cs AS community_b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*))::DOUBLE, 4) AS jaccard FROM n x JOIN n y ON x.cd = y.cd AND x.cs < y.cs JOIN z p ON p.cs = x.cs JOIN z q ON q.cs = y.cs GROUP BY x.cs, y.cs""")
 def _(s, d):
-    return community.similarity(X.sparse(s, d), X.brands(s, d))
+    return community.similarity(X.parts(s, d), X.brands(s, d))
 
 
 @query("community_members", "SELECT p_brand AS community, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_brand")
@@ -368,12 +370,12 @@ def _(s, d):
     return out.withColumns({"katz": F.round("katz", 9), **{c: F.round(c, 6) for c in ("jaccard", "adamic_adar", "resource_allocation")}})
 
 
-@query("link_positives", Q + " SELECT src AS u, dst AS v FROM u ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst LIMIT (SELECT (count(*) * 0.2)::DOUBLE::INT FROM u WHERE true)")
+@query("link_positives", P + " SELECT src AS u, dst AS v FROM u ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst LIMIT (SELECT (count(*) * 0.2)::DOUBLE::INT FROM u WHERE true)")
 def _(s, d):
-    return linkpred.dataset(X.sparse(s, d)).filter("label = 1").select("u", "v")
+    return linkpred.dataset(X.parts(s, d)).filter("label = 1").select("u", "v")
 
 
-ORACLE_SQL["link_positives"] = Q + " SELECT u, v FROM (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst) AS n FROM u) WHERE n <= floor((SELECT count(*) FROM u) * 0.2)"
+ORACLE_SQL["link_positives"] = P + " SELECT u, v FROM (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst) AS n FROM u) WHERE n <= floor((SELECT count(*) FROM u) * 0.2)"
 
 
 @query("link_dataset")
@@ -470,9 +472,9 @@ def _(s, d):
     return resilience.vulnerability(g, centrality.sample(g.vertices, rows=20))
 
 
-@query("average_clustering", Q + _TRI + _SAMPLE.format(n=300) + " SELECT round(avg(CASE WHEN d >= 2 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id) WHERE id IN (SELECT id FROM sm)")
+@query("average_clustering", P + _TRI + _SAMPLE.format(n=300) + " SELECT round(avg(CASE WHEN d >= 2 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id) WHERE id IN (SELECT id FROM sm)")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     return resilience.average_clustering(g, centrality.sample(g.vertices, rows=300)).withColumn("clustering", F.round("clustering", 9))
 
 
