@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from meshwork.operators.graph import Graph, degrees, top
 from meshwork.store import Rounds, cut
 
-#: Levels of ``hops`` that stand as tables of their own before they join the others.
-MERGE = 8
+#: Tables of levels that ``hops`` keeps before they join the others; levels that a job takes from a frontier of at most so many rows.
+MERGE, AHEAD, FEW = 4, 4, 10_000
 
 
 def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None, reset: float = 0.15, most: int = 200) -> DataFrame:
@@ -87,27 +87,33 @@ def hops(g: Graph, sources: DataFrame, *, most: int | None = None, toward: bool
     """landmark, id, distance in hops for the rows (id) of ``sources``; what can't be reached is absent.
 
     ``toward``: from each vertex to the landmark along the edges. All landmarks
-    share each round's joins; a round extends the frontier by one level.
+    share each round's joins. A round extends the frontier by one level, or, while
+    that is small, by several in one job.
     """
     step = g.edges.select(F.col("dst").alias("at"), F.col("src").alias("id")) if toward else g.edges.select(F.col("src").alias("at"), F.col("dst").alias("id"))
     rounds = Rounds()
     seen = frontier = rounds.cut(sources.select(F.col("id").alias("landmark"), "id", F.lit(0).alias("distance")), "hops-seen")
-    d, levels = 0, []
+    d, rows, tables = 0, frontier.count(), []
     while most is None or d < most:
-        d += 1
-        reached = frontier.select("landmark", F.col("id").alias("at")).join(step, "at").select("landmark", "id").distinct()
-        for known in [seen, *levels]:
-            reached = reached.join(known, ["landmark", "id"], "left_anti")
-        frontier = cut(reached.withColumn("distance", F.lit(d)), "hops")
-        if frontier.isEmpty():
+        front, new = frontier, None
+        for _ in range(min(AHEAD if rows <= FEW else 1, AHEAD if most is None else most - d)):
+            d += 1
+            front = front.select("landmark", F.col("id").alias("at")).join(step, "at").select("landmark", "id").distinct()
+            for known in [seen, *tables]:
+                front = front.join(known, ["landmark", "id"], "left_anti")
+            level = front.withColumn("distance", F.lit(d))
+            new = level if new is None else new.unionByName(level)
+        new = cut(new.groupBy("landmark", "id").agg(F.min("distance").alias("distance")), "hops")
+        frontier = new.filter(F.col("distance") == d)
+        tables.append(new)
+        if (rows := frontier.count()) == 0:
             break
-        levels.append(frontier)
-        if len(levels) == MERGE:
-            for level in levels:
-                seen = seen.unionByName(level)
-            seen, levels = rounds.cut(seen, "hops-seen"), []
-    for level in levels:
-        seen = seen.unionByName(level)
+        if len(tables) == MERGE:
+            for t in tables:
+                seen = seen.unionByName(t)
+            seen, tables = rounds.cut(seen, "hops-seen"), []
+    for t in tables:
+        seen = seen.unionByName(t)
     return seen
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -77,12 +77,11 @@ def _order(*parts) -> F.Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def dataset(g: Graph, *, share: float = 0.2, seed: int = 42, exclude_own_edge: bool = False) -> DataFrame:
+def dataset(g: Graph, *, share: float = 0.2, seed: int = 42) -> DataFrame:
     """u, v, label: a share of the edges, and as many pairs without an edge, both in md5 order.
 
     Pairs without an edge come from pairing each vertex with the next ones in two
     seeded orders, so no cross join is made; the number of positives bounds them.
-    ``exclude_own_edge`` is for features: see ``without``.
     """
     one = g.pairs().select(F.col("src").alias("u"), F.col("dst").alias("v"))
     n = int(one.count() * share)
@@ -126,3 +125,11 @@ def train(rows: DataFrame, *, seed: int = 42, trees: int = 100, boosts: int = 50
 def predict(model, rows: DataFrame, k: int = 50) -> DataFrame:
     """The k pairs of the highest probability of a link."""
     return model.transform(rows).select("u", "v", vector_to_array("probability")[1].alias("probability")).orderBy(F.desc("probability"), "u", "v").limit(k)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshwork.operators.centrality import sample
 from meshwork.operators.graph import Graph, degrees, triangles
 from meshwork.operators.iterate import connected_components, hops
-from meshwork.store import cut
+from meshwork.store import Rounds, cut
 
 
 def giant_component(g: Graph) -> DataFrame:
@@ -47,6 +47,11 @@ def _keyed(g: Graph, removal: DataFrame, steps: DataFrame) -> Graph:
     return Graph(left.select(key("id").alias("id")), e.select(key("src").alias("src"), key("dst").alias("dst")))
 
 
+def _giants(keyed: Graph) -> DataFrame:
+    """step, giant, remaining: the largest component and the vertices of each step of a ``_keyed`` graph."""
+    return connected_components(keyed).groupBy(F.col("id.step").alias("step"), "component").agg(F.count(F.lit(1)).alias("size")).groupBy("step").agg(F.max("size").alias("giant"), F.sum("size").alias("remaining"))
+
+
 def attack_curve(g: Graph, order: DataFrame, steps: int = 20) -> DataFrame:
     """step, removed, remaining, giant_size, giant_share of an attack that removes ids in ``order`` (id, place from 1), in equal steps."""
     n = g.vertices.count()
@@ -54,7 +59,7 @@ def attack_curve(g: Graph, order: DataFrame, steps: int = 20) -> DataFrame:
     removal = cut(order.select("id", (F.floor((F.col("place") - 1) / per) + 1).cast("int").alias("gone_at")), "attack")
     all_steps = g.vertices.sparkSession.range(0, -(-n // per) + 1).select(F.col("id").cast("int").alias("step"))
     keyed = _keyed(g, removal, all_steps)
-    sizes = connected_components(keyed).groupBy(F.col("id.step").alias("step"), "component").agg(F.count(F.lit(1)).alias("size")).groupBy("step").agg(F.max("size").alias("giant"), F.sum("size").alias("remaining"))
+    sizes = _giants(keyed)
     out = all_steps.join(sizes, "step", "left").select("step", F.coalesce("remaining", F.lit(0)).cast("long").alias("remaining"), F.coalesce("giant", F.lit(0)).cast("long").alias("giant_size"))
     return out.select("step", (F.lit(n) - F.col("remaining")).cast("long").alias("removed"), "remaining", "giant_size", F.round(F.col("giant_size") / n, 4).alias("giant_share"))
 
@@ -89,16 +94,19 @@ def adaptive_attack(g: Graph, steps: int = 20, stop: float = 0.8) -> DataFrame:
 
 
 def cascade(g: Graph, *, share: float = 0.05, slack: float = 2.0, most: int = 50, seed: int = 42, cumulative: bool = True) -> DataFrame:
-    """round, new_failures, failed: loads equal degrees, capacities ``slack`` times that; failed vertices pass their load on.
+    """round, new_failures, failed, giant_share, survival_rate: loads equal degrees, capacities ``slack`` times that; failed vertices pass their load on.
 
     Each round every failed vertex (or only the new ones) gives its load, in equal
-    parts, to its neighbours that still stand.
+    parts, to its neighbours that still stand. The shares are those of the largest
+    component and of all vertices that stand after the round, all rounds' components
+    in one computation.
     """
+    rounds = Rounds()
     deg = cut(degrees(g, "simple"), "cascade")
+    n = deg.count()
     first = sample(g.vertices, share=share, seed=seed).withColumn("hit", F.lit(True))
-    state = cut(deg.join(first, "id", "left").select("id", F.col("degree").cast("double").alias("load"), (F.col("degree") * slack).alias("capacity"), "degree", F.when(F.col("hit"), 0).cast("int").alias("failed_at")), "cascade")
-    count = state.filter("failed_at IS NOT NULL").count()
-    rows = [(0, count, count)]
+    state = rounds.cut(deg.join(first, "id", "left").select("id", F.col("degree").cast("double").alias("load"), (F.col("degree") * slack).alias("capacity"), "degree", F.when(F.col("hit"), 0).cast("int").alias("failed_at")), "cascade")
+    last = 0
     for r in range(1, most + 1):
         giving = state.filter("failed_at IS NOT NULL" if cumulative else f"failed_at = {r - 1}").select(F.col("id").alias("src"), "degree")
         open_ = g.edges.join(state.filter("failed_at IS NULL").select(F.col("id").alias("dst")), "dst", "left_semi").join(giving, "src")
@@ -106,13 +114,30 @@ def cascade(g: Graph, *, share: float = 0.05, slack: float = 2.0, most: int = 50
         got = open_.join(parts, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("degree") / F.col("n")).alias("more"))
         state = state.join(got, "id", "left").withColumn("load", F.col("load") + F.coalesce("more", F.lit(0.0))).drop("more")
         fails = F.col("failed_at").isNull() & (F.col("load") > F.col("capacity"))
-        state = cut(state.withColumn("failed_at", F.when(fails, r).otherwise(F.col("failed_at"))), "cascade")
+        state = rounds.cut(state.withColumn("failed_at", F.when(fails, r).otherwise(F.col("failed_at"))), "cascade")
         new = state.filter(F.col("failed_at") == r).count()
         if not new:
             break
-        count += new
-        rows.append((r, new, count))
-    return g.vertices.sparkSession.createDataFrame(rows, "round int, new_failures long, failed long")
+        last = r
+    every = g.vertices.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("step"))
+    fallen = cut(state.select("id", F.coalesce("failed_at", F.lit(last + 1)).alias("gone_at")), "cascade")
+    giants = _giants(_keyed(g, fallen, every))
+    new = fallen.filter(F.col("gone_at") <= last).groupBy(F.col("gone_at").alias("step")).agg(F.count(F.lit(1)).alias("new_failures"))
+    out = every.join(new, "step", "left").join(giants, "step", "left").select(F.col("step").alias("round"), F.coalesce("new_failures", F.lit(0)).cast("long").alias("new_failures"), (n - F.coalesce("remaining", F.lit(0))).cast("long").alias("failed"), F.coalesce("giant", F.lit(0)).alias("giant"))
+    return out.select("round", "new_failures", "failed", (F.col("giant") / max(1, n)).alias("giant_share"), ((n - F.col("failed")) / max(1, n)).alias("survival_rate"))
+
+
+def step_efficiency(g: Graph, order: DataFrame, steps: int = 20, *, rows: int = 100, seed: int = 42) -> DataFrame:
+    """step, efficiency: the mean of 1/distance over reachable pairs from a sample of what each step of an attack leaves, in one computation."""
+    n = g.vertices.count()
+    per = max(1, n // steps)
+    removal = cut(order.select("id", (F.floor((F.col("place") - 1) / per) + 1).cast("int").alias("gone_at")), "attack")
+    all_steps = g.vertices.sparkSession.range(0, -(-n // per) + 1).select(F.col("id").cast("int").alias("step"))
+    keyed = _keyed(g, removal, all_steps)
+    rank = F.row_number().over(Window.partitionBy("id.step").orderBy(F.md5(F.concat(F.col("id.id").cast("string"), F.lit(f":{seed}"))), "id"))
+    some = keyed.vertices.withColumn("n", rank).filter(F.col("n") <= rows).select("id")
+    found = hops(keyed, some, toward=False).filter("distance > 0").groupBy(F.col("landmark.step").alias("step")).agg(F.avg(1.0 / F.col("distance")).alias("efficiency"))
+    return all_steps.join(found, "step", "left").select("step", F.coalesce("efficiency", F.lit(0.0)).alias("efficiency"))
 
 
 def vulnerability(g: Graph, probes: DataFrame | None = None, rows: int = 200) -> DataFrame:

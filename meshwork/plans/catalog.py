@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions import scalars as S
-from meshwork.operators import centrality, community, compare, embeddings, graph, iterate, linkpred, resilience, transit
+from meshwork.operators import centrality, community, compare, embeddings, graph, iterate, linkpred, resilience, stops, transit
 from meshwork.plans import fixtures as X
 from meshwork.sources import edges as sources
 from meshwork.streaming import events as streams
@@ -175,11 +175,6 @@ def _(s, d):
     return graph.top(iterate.pagerank(X.parts(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), "pagerank", 100)
 
 
-@query("pagerank_tol")
-def _(s, d):
-    return iterate.pagerank(graph.path_graph(s), tol=1e-4)
-
-
 @query("label_propagation_5", P + _lpa_sql(5) + " SELECT id, label FROM l5")
 def _(s, d):
     return iterate.label_propagation(X.parts(s, d), 5)
@@ -228,9 +223,10 @@ def _(s, d):
     return m.select("id", F.array_join(pairs, ",").alias("distances"))
 
 
-@query("shortest_path_trace", "SELECT (a - 100)::INT AS step, a AS id FROM range(101, 131) t(a)")
+@query("shortest_path_trace", "SELECT (row_number() OVER (ORDER BY s_suppkey))::INT AS step, s_suppkey AS id FROM supplier")
 def _(s, d):
-    return iterate.trace(graph.path_graph(s), 101, 130)
+    ends = X.table(s, d, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    return iterate.trace(X.suppliers(s, d), ends[0], ends[1])
 
 
 @query("eigenvector_20")
@@ -387,7 +383,7 @@ def _(s, d):
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(g, rows).join(rows, ["u", "v"]).persist()
+    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"]).persist()
     return linkpred.train(data)[0].select("model", F.round("auc", 6).alias("auc"))
 
 
@@ -395,7 +391,7 @@ def _(s, d):
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(g, rows).join(rows, ["u", "v"]).persist()
+    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"]).persist()
     _, model = linkpred.train(data)
     return linkpred.predict(model, linkpred.features(g, linkpred.two_hop_pairs(g)))
 
@@ -645,17 +641,109 @@ def _(s, d):
     return transit.route_analysis(X.suppliers(s, d)).withColumn("pagerank", F.round("pagerank", 6))
 
 
-@query("hub_names", _H + _pagerank_sql(5) + " SELECT id AS stop_id, coalesce(s_name, 'Stop-' || id) AS stop_name, round(r, 6) AS rank_score FROM (SELECT id, round(r, 6) AS r FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10) LEFT JOIN (SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey % 2 = 0) USING (id)")
+@query("hub_names", _H + _pagerank_sql(5) + " SELECT id AS stop_id, s_name AS stop_name, round(r, 6) AS rank_score FROM (SELECT id, round(r, 6) AS r FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10) JOIN supplier ON s_suppkey = id")
 def _(s, d):
-    names = X.table(s, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name"))
+    names = X.table(s, d, "supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name"))
     return transit.hubs(iterate.pagerank(X.suppliers(s, d), max_iter=5).withColumn("pagerank", F.round("pagerank", 6)), names)
 
 
+def _pagerank_tol_sql(most: int) -> str:
+    changes = " UNION ALL ".join(f"SELECT {k + 1} AS k, max(abs(a.r - b.r)) AS change FROM r{k + 1} a JOIN r{k} b USING (id)" for k in range(most))
+    rows = " UNION ALL ".join(f"SELECT {k + 1} AS k, id, r FROM r{k + 1}" for k in range(most))
+    return _H + _pagerank_sql(most) + f", ch AS MATERIALIZED ({changes}), al AS MATERIALIZED ({rows}) SELECT id, round(r, 6) AS pagerank FROM al WHERE k = (SELECT min(k) FROM ch WHERE change < 1e-3)"
+
+
+@query("pagerank_tol", _pagerank_tol_sql(40))
+def _(s, d):
+    return iterate.pagerank(X.suppliers(s, d), tol=1e-3).withColumn("pagerank", F.round("pagerank", 6))
+
+
 @query("component_rollup", "SELECT p_brand, p_size // 10 AS size_band, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size // 10)")
 def _(s, d):
     return X.table(s, d, "part").withColumn("size_band", F.floor(F.col("p_size") / 10).cast("int")).rollup("p_brand", "size_band").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STOPS = _POINTS + """, st AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first.a, first.b, stop_name) AS stop_id, stop_name, lat, lon FROM (SELECT stop AS stop_name, lat, lon, min({'a': route_id, 'b': seq}) AS first FROM pt GROUP BY stop, lat, lon))"""
+
+
+@query("stop_catalog", _STOPS + " SELECT * FROM st")
+def _(s, d):
+    return stops.stop_catalog(_points(s, d))
+
+
+def _legs(s: SparkSession, d: str) -> DataFrame:
+    o = X.table(s, d, "nation")
+    return o.select(F.col("n_nationkey").alias("place"), (F.pmod(F.col("n_nationkey") * 7, F.lit(25)) + 1).alias("src"), (F.pmod(F.col("n_nationkey") * 11, F.lit(40)) + 1).alias("dst"), (F.col("n_regionkey") * 1.5).alias("cost"))
+
+
+_LEGS = ", lg AS (SELECT n_nationkey AS place, n_nationkey * 7 % 25 + 1 AS src, n_nationkey * 11 % 40 + 1 AS dst, (n_regionkey * 1.5)::DOUBLE AS cost FROM nation)"
+_ORDER = _STOPS + _LEGS + ", f AS (SELECT stop_id, min(p) AS p FROM (SELECT src AS stop_id, place * 2 AS p FROM lg UNION ALL SELECT dst, place * 2 + 1 FROM lg) WHERE stop_id IN (SELECT stop_id FROM st) GROUP BY stop_id), ro AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY p NULLS LAST, stop_id))::INT AS seq, stop_id FROM st LEFT JOIN f USING (stop_id))"
+
+
+@query("route_order", _ORDER + " SELECT seq, stop_id FROM ro")
+def _(s, d):
+    return stops.route_order(stops.stop_catalog(_points(s, d)), _legs(s, d))
+
+
+@query("route_from_graph", _ORDER + ", z AS (SELECT arg_min(stop_name, seq) || ' -> ' || arg_max(stop_name, seq) AS route_name FROM ro JOIN st USING (stop_id)) SELECT 'R101' AS route_id, route_name, seq, stop_name AS stop, lat, lon, stop_id FROM ro JOIN st USING (stop_id), z")
+def _(s, d):
+    return stops.route_from_graph(stops.stop_catalog(_points(s, d)), _legs(s, d))
+
+
+@query("fallback_route_names", _POINTS + ", n AS (SELECT *, CASE WHEN trip_count % 3 = 0 THEN ' ' WHEN trip_count % 3 = 1 THEN route_id ELSE route_name END AS given FROM pt) SELECT route_id, seq, CASE WHEN trim(given) = '' OR given = route_id THEN first(stop) OVER w || ' -> ' || last(stop) OVER w ELSE given END AS route_name FROM n WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def _(s, d):
+    k = F.col("trip_count") % 3
+    given = _points(s, d).withColumn("route_name", F.when(k == 0, " ").when(k == 1, F.col("route_id")).otherwise(F.col("route_name")))
+    return stops.fill_route_names(given).select("route_id", "seq", "route_name")
+
+
+@query("path_steps", _H + " SELECT (row_number() OVER (ORDER BY s_suppkey))::INT AS step, s_name AS stop_name, s_suppkey AS stop_id FROM supplier")
+def _(s, d):
+    sup = X.table(s, d, "supplier")
+    from pyspark.sql import Window
+
+    steps = sup.select(F.row_number().over(Window.orderBy("s_suppkey")).alias("step"), F.col("s_suppkey").alias("id"))
+    return stops.named_steps(steps.withColumnRenamed("id", "stop_id"), sup.select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name")))
+
+
+@query("path_preview", "WITH x AS (SELECT 1)" + _LEGS + " SELECT (place + 1)::INT AS step, src, dst, cost FROM lg ORDER BY place LIMIT 12")
+def _(s, d):
+    return stops.first_legs(_legs(s, d))
+
+
+@query("find_routes", _TRIPS + " SELECT route_id, route_name, trip_count FROM od WHERE origin = 'NATION_3' AND (contains(lower(route_name), 'on_1') OR contains(lower(route_id), 'on_1') OR contains(lower(destination), 'on_1'))")
+def _(s, d):
+    return stops.find_routes(transit.od_routes(X.trips(s, d)), "On_1", "NATION_3").select("route_id", "route_name", "trip_count")
+
+
+@query("city_match", "SELECT n_nationkey, n_name FROM nation WHERE regexp_full_match(n_name, 'nation_7', 'i')")
+def _(s, d):
+    return X.table(s, d, "nation").filter(stops.is_city(F.col("n_name"), "Nation_7")).select("n_nationkey", "n_name")
+
+
+@query("per_bus", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS avg_speed FROM events GROUP BY user_id")
+def _(s, d):
+    return stops.per_bus(X.table(s, d, "events"), "user_id", "value").withColumn("avg_speed", F.round("avg_speed", 6))
+
+
+@query("dedup_counts", "SELECT (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS rows_out")
+def _(s, d):
+    return stops.dedup_counts(X.table(s, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("imputed_places", """WITH kn AS (SELECT n_name AS city, 12.0 + n_nationkey * 0.37 AS lat, 75.0 + (n_nationkey * 7 % 25) * 0.21 AS lon FROM nation WHERE n_regionkey > 0),
+    pr AS MATERIALIZED (SELECT n_name AS a, lead(n_name, 3) OVER (ORDER BY n_nationkey) AS b FROM nation), bo AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT a AS city, b AS near FROM pr UNION ALL SELECT b, a FROM pr)), k0 AS (SELECT city, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM kn)"""
+    + "".join(f""", k{k + 1} AS MATERIALIZED (SELECT * FROM k{k} UNION ALL SELECT bo.city, avg(lat) + (('0x' || substr(sha1(bo.city), 1, 4))::INT / 65535.0::DOUBLE - 0.5) * 0.18, avg(lon) + (('0x' || substr(sha1(bo.city), 5, 4))::INT / 65535.0::DOUBLE - 0.5) * 0.18 FROM bo JOIN k{k} n ON n.city = bo.near WHERE bo.city NOT IN (SELECT city FROM k{k}) GROUP BY bo.city)""" for k in range(3))
+    + " SELECT city, round(lat, 6) AS lat, round(lon, 6) AS lon FROM k3")
+def _(s, d):
+    from pyspark.sql import Window
+
+    n = X.table(s, d, "nation")
+    pairs = n.select(F.col("n_name").alias("origin"), F.lead("n_name", 3).over(Window.orderBy("n_nationkey")).alias("destination")).filter("destination IS NOT NULL")
+    known = X.cities(s, d).join(n.filter("n_regionkey > 0").select(F.col("n_name").alias("city")), "city", "left_semi")
+    return transit.synthesize_coordinates(pairs, known).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
 # Comparison
 
 
