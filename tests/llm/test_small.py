@@ -183,6 +183,52 @@ def test_quality(spark, docs, empty):
     assert quality.fit(docs, labels.limit(0), F.lit(True)).score(["x"])[0] == 0.5
 
 
+def test_samples_never_run_dry(spark):
+    """A tiny share of many rows picks about as many as asked for; labels that clash count as the smallest."""
+    from meshwork.llm.common import picked
+
+    rows = spark.range(1 << 22)
+    assert 5 <= rows.filter(picked(40 / (1 << 22), "id")).count() <= 120
+    assert spark.range(10).filter(picked(1.0, "id")).count() == 10
+    texts = spark.createDataFrame([(k, "good calm words" if k % 2 else "BAD!!! WORDS!!!") for k in range(60)], "doc_id long, text string")
+    labels = texts.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    twice = labels.union(labels.withColumn("quality", F.lit(1)))
+    same = quality.fit(texts, twice, F.lit(True))
+    assert np.array_equal(same.margin, quality.fit(texts.union(texts), labels, F.lit(True)).margin)
+
+
+def test_language_counts_equal_plain_ones(spark):
+    """The model's log-probabilities from plain counts of the same hashed n-grams."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("abc abd", "x"), ("bcd", "y"), ("ABC", "x"), ("", "y"), (None, "x"), ("zz", None)])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    plain = {"x": Counter(), "y": Counter()}
+    for _, t, lang in rows:
+        if t is not None and lang:
+            for order in langid.ORDERS:
+                for k in range(len(t) - order + 1):
+                    (codes, _, live), = blocks([t.lower()[k : k + order]], 0)
+                    plain[lang][int(char_grams(codes, live, order, langid.BITS)[1][0])] += 1
+    assert model.languages == ("x", "y")
+    for i, lang in enumerate(model.languages):
+        total = sum(plain[lang].values()) + 0.5 * (1 << langid.BITS)
+        want = np.log((np.array([plain[lang][b] for b in range(1 << langid.BITS)]) + 0.5) / total)
+        assert np.allclose(model.log_prob[:, i], want, atol=1e-5)
+
+
+def test_training_step_equals_dense_gradients():
+    """One step of gradient descent against dense matrices."""
+    ids, n = np.array([1, 5, 9]), np.array([2.0, 1.0, 1.0])
+    got = quality.train([(ids, n, 1)], epochs=1)
+    rng = np.random.default_rng(quality.SEED)
+    table = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BITS, quality.DIM))
+    x = np.zeros(1 << quality.BITS)
+    x[ids] = n / n.sum()
+    error = np.array([0.5, -0.5])  # of two equal outputs, label 1
+    layer = -quality.RATE * np.outer(x @ table, error)
+    assert np.allclose(got.margin, table @ (layer[:, 1] - layer[:, 0]), atol=1e-6)  # the layer starts at nought, so the table stays
+    assert got.bias == pytest.approx(quality.RATE * 0.1)
+
+
 def test_blocks_cover_long_texts(monkeypatch):
     import meshwork.llm.hashgrams as h
 
@@ -217,8 +263,10 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_jaccard_families(spark):
-    """Families of many more members than a small bucket, about the threshold."""
+@pytest.mark.parametrize("held", [8, 512])
+def test_jaccard_families(spark, monkeypatch, held):
+    """Families of many more members than a small bucket, about the threshold, in one part of a hub or in several."""
+    monkeypatch.setattr(jaccard, "HELD", held)
     rng = np.random.default_rng(3)
     rows = []
     for f in range(3):
