@@ -39,7 +39,7 @@ class CachedEncoder:
     """
 
     #: Distinct words that a worker remembers at most: the first it meets, so the frequent ones.
-    MOST = 300_000
+    MOST = 400_000
     WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
     OTHER = re.compile("[^\x00-\x1b\x20-\u017f]|\u0130|<\\|")
 
