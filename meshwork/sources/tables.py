@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from meshwork.sources.edges import read_table
 
-#: The raw tables: file, the columns that must be there, and the types of those that aren't text.
+#: The raw tables, to be replaced by a caller whose files are named otherwise: file, the columns that must be there, and the types of those that aren't text.
 RAW: dict[str, tuple[str, list[str], dict[str, str]]] = {
-    "stops": ("synthetic_bus_stops.csv", ["stop_id", "stop_name"], {"stop_id": "long", "latitude": "double", "longitude": "double"}),
-    "routes": ("cleaned_bus.csv", [], {}),
+    "stops": ("stops.csv", ["stop_id", "stop_name"], {"stop_id": "long", "latitude": "double", "longitude": "double"}),
+    "routes": ("routes.csv", [], {}),
     "gps": ("gps.csv", [], {}),
-    "weather": ("Bangalore_Weather_Data.csv", [], {}),
-    "schedule": ("scheduling.csv", [], {}),
-    "capacity": ("synthetic_bus_capacity.csv", [], {}),
+    "weather": ("weather.csv", [], {}),
+    "schedule": ("schedule.csv", [], {}),
+    "capacity": ("capacity.csv", [], {}),
 }
 
 

@@ -42,7 +42,7 @@ def test_names_and_precedence(spark):
 
 def test_tables(spark, tmp_path):
     (tmp_path / "raw").mkdir()
-    (tmp_path / "raw" / "synthetic_bus_stops.csv").write_text("stop_id,stop_name,latitude,longitude\n1,A,1.5,x\n1,A,1.5,x\n,B,1,1\n")
+    (tmp_path / "raw" / "stops.csv").write_text("stop_id,stop_name,latitude,longitude\n1,A,1.5,x\n1,A,1.5,x\n,B,1,1\n")
     rows = tables.to_parquet(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     assert rows == {"stops": 1}
     row = spark.read.parquet(str(tmp_path / "out" / "stops")).first()
