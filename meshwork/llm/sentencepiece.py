@@ -27,8 +27,66 @@ from meshwork.llm.common import arrow_map, slices
 SPACE = "▁"
 
 
+def wire(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol-buffers message: number, and an integer or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, message[at : at + size]
+            at += size
+
+
+def unlike(model: bytes) -> list[str]:
+    """What of a model file this module wouldn't encode as the library does; none if it does.
+
+    The public format holds pieces in field 1 (their kind in 3: 1 normal, 4 user
+    defined, 5 unused), the trainer's settings in 2 (kind of model in 3: 1 unigram,
+    2 BPE; blanks as suffix in 24), the normaliser's in 3 (table of characters in 2,
+    first blank added in 3, blanks removed in 4, blanks escaped in 5), and those for
+    decoding in 5.
+    """
+    kinds: set[int] = set()
+    trainer, normal, decoding = {}, {}, {}
+    for number, value in wire(model):
+        if number == 1:
+            kinds.add(dict(wire(value)).get(3, 1))
+        elif number in (2, 3, 5):
+            (trainer if number == 2 else normal if number == 3 else decoding).update(wire(value))
+    tests = {
+        "not a BPE model": trainer.get(3, 1) != 2,
+        "user-defined pieces": 4 in kinds,
+        "unused pieces": 5 in kinds,
+        "blanks as suffix": bool(trainer.get(24, 0)),
+        "a table of characters": bool(normal.get(2)) or bool(decoding.get(2)),
+        "no blank in front": not normal.get(3, 1),
+        "blanks removed": bool(normal.get(4, 1)),
+        "blanks kept as they are": not normal.get(5, 1),
+    }
+    return [what for what, found in tests.items() if found]
+
+
 class PieceModel:
-    """Pieces, scores and kinds of a SentencePiece model file, and its segmentation."""
+    """Pieces, scores and kinds of a SentencePiece model file, and its segmentation.
+
+    Raises ValueError for models that would be encoded otherwise than by the
+    library: kinds other than BPE, user-defined or unused pieces, normalisation.
+    """
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
     #: Segmented words, and pairs of pieces, that a worker remembers at most: the first it meets, so the frequent ones.
@@ -37,6 +95,9 @@ class PieceModel:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
+        with open(path, "rb") as file:
+            if found := unlike(file.read()):
+                raise ValueError(f"{path}: {', '.join(found)}")
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -133,7 +194,8 @@ class PieceModel:
         if not text:
             return b""
         known, out = self.known, []
-        for word in self.words.findall(SPACE + text.replace(" ", SPACE)):
+        for found in self.words.finditer(SPACE + text.replace(" ", SPACE)):
+            word = found.group()
             coded = known.get(word)
             if coded is None:
                 coded = np.array([i for p in self.viterbi(word) for i in self.ids_of(p)], dtype="<u4").tobytes()

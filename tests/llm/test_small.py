@@ -387,6 +387,18 @@ def test_viterbi_commits_early():
     assert Watched.seen < 200
 
 
+def test_models_encoded_otherwise_are_refused(tmp_path):
+    """Messages may be appended to: each addition turns the public model into one of another kind."""
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    assert sentencepiece.unlike(model) == []
+    for added, what in ((b"\x12\x02\x18\x01", "not a BPE model"), (b"\x0a\x02\x18\x04", "user-defined pieces"), (b"\x0a\x02\x18\x05", "unused pieces"), (b"\x1a\x02\x20\x01", "blanks removed"), (b"\x1a\x03\x12\x01x", "a table of characters")):
+        assert sentencepiece.unlike(model + added) == [what]
+        (tmp_path / "m.model").write_bytes(model + added)
+        with pytest.raises(ValueError, match=what):
+            sentencepiece.PieceModel(str(tmp_path / "m.model"))
+
+
 # pages
 
 
