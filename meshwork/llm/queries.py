@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm import chat, dedup, fingerprint, html, jaccard, langid, packing, quality, sentencepiece, sharding
+from meshwork.llm import chat, decontam, dedup, fingerprint, html, jaccard, kmeans, langid, packing, quality, sentencepiece, sharding, spelling
 from meshwork.llm.common import LOWER, UPPER, id_crc, table
 from meshwork.store import shared_dir
 
@@ -75,6 +75,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspelt=199)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontam.hit_words()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,9 +100,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op11_spelling": op11_spelling,
+    "op12_clusters": op12_clusters,
+    "op13_decontamination": op13_decontamination,
 }
 
+def _clusters_sql(rounds: int = kmeans.ROUNDS) -> str:
+    """The rounds of ``kmeans.cluster`` unrolled, over one row a component."""
+    assigned = """d{r} AS MATERIALIZED (SELECT vec_id, c, sum((v.q - m.q) * (v.q - m.q)) AS d FROM v JOIN m{r} m USING (dim) GROUP BY vec_id, c),
+        a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY vec_id),"""
+    moved = """m{s} AS MATERIALIZED (SELECT m.c, m.dim, coalesce((t.total - ((t.total % t.n) + t.n) % t.n) // t.n, m.q) AS q FROM m{r} m
+            LEFT JOIN (SELECT c, dim, sum(q)::BIGINT AS total, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY c, dim) t USING (c, dim)),"""
+    steps = "".join(assigned.format(r=r) + moved.format(r=r, s=r + 1) for r in range(rounds)) + assigned.format(r=rounds)
+    return f"""
+        WITH kept AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+                      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS dim, floor(1024 * unnest(x))::BIGINT AS q FROM kept),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 8),
+        m0 AS MATERIALIZED (SELECT c, dim, q FROM v JOIN f USING (vec_id)),
+        {steps}
+        s AS (SELECT c, sum(d) AS inertia FROM a{rounds} GROUP BY c),
+        h AS (SELECT c, sha256(string_agg(q::VARCHAR, ',' ORDER BY dim)) AS digest FROM m{rounds} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, s.inertia::BIGINT AS cluster_inertia, (SELECT sum(inertia)::BIGINT FROM s) AS inertia, h.digest AS centroid_sha256
+        FROM a{rounds} JOIN s USING (c) JOIN h USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_clusters": _clusters_sql(),
+    "op13_decontamination": rf"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS MATERIALIZED (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS words
+            FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)),
+        runs AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS words
+            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+        hits AS MATERIALIZED (SELECT doc_id, item_id, k, size FROM runs JOIN windows USING (size, words)),
+        hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(items.list, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
