@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph, degrees, top
 from meshwork.store import Rounds, cut
 
-#: Tables of levels that ``hops`` keeps before they join the others; levels that a job takes from a frontier of at most so many rows.
-MERGE, AHEAD, FEW = 4, 4, 10_000
+#: Tables of levels that ``hops`` keeps before they join the others; levels that a job takes from a frontier that doesn't grow and has at most so many rows.
+MERGE, AHEAD, FEW = 4, 4, 1_000
 
 
 def pagerank(g: Graph, *, max_iter: int | None = None, tol: float | None = None, reset: float = 0.15, most: int = 200) -> DataFrame:
@@ -54,17 +54,16 @@ def stars(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     node's neighbours are gathered.
     """
     rounds = Rounds()
-    e = rounds.cut(pairs.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars")
-    mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = mark(e)
+    mark = (F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("u", "v")).alias("sum"))
+    e, before = rounds.observed(pairs.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars", *mark)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = rounds.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = rounds.cut(small.filter("u <> v").distinct(), "stars")
-        if (after := mark(e)) == before:
+        e, after = rounds.observed(small.filter("u <> v").distinct(), "stars", *mark)
+        if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = after
 
@@ -83,32 +82,41 @@ def size_profile(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("size") > 10).alias("over_ten"), F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("largest"))
 
 
-def hops(g: Graph, sources: DataFrame, *, most: int | None = None, toward: bool = True) -> DataFrame:
+def hops(g: Graph, sources: DataFrame, *, most: int | None = None, toward: bool = True, rounds: Rounds | None = None) -> DataFrame:
     """landmark, id, distance in hops for the rows (id) of ``sources``; what can't be reached is absent.
 
     ``toward``: from each vertex to the landmark along the edges. All landmarks
-    share each round's joins. A round extends the frontier by one level, or, while
-    that is small, by several in one job.
+    share each round's joins. A round extends the frontier by one level, or, along
+    chains, where the frontier is small and doesn't grow, by several in one job.
+    With ``rounds`` a later search with the same drops this one's tables.
     """
-    step = g.edges.select(F.col("dst").alias("at"), F.col("src").alias("id")) if toward else g.edges.select(F.col("src").alias("at"), F.col("dst").alias("id"))
-    rounds = Rounds()
-    seen = frontier = rounds.cut(sources.select(F.col("id").alias("landmark"), "id", F.lit(0).alias("distance")), "hops-seen")
-    d, rows, tables = 0, frontier.count(), []
-    while most is None or d < most:
+    ends = ("dst", "src") if toward else ("src", "dst")
+    step = g.edges.select(F.col(ends[0]).alias("at"), F.col(ends[1]).alias("to"))
+    return _levels(step, sources.select(F.col("id").alias("landmark"), "id"), ["landmark"], most=most, rounds=rounds)
+
+
+def _levels(step: DataFrame, sources: DataFrame, keys: list[str], *, most: int | None = None, open_: Column | None = None, rounds: Rounds | None = None) -> DataFrame:
+    """keys, id, distance from ``sources`` (keys, id) along ``step`` (at, to); ``open_`` says with whose keys a row of step can be passed."""
+    rounds, same = rounds or Rounds(), [*keys, "id"]
+    seen = frontier = rounds.cut(sources.select(*same, F.lit(0).alias("distance")), "hops-seen")
+    d, was, tables = 0, 0, []
+    rows = frontier.count()
+    while rows and (most is None or d < most):
         front, new = frontier, None
-        for _ in range(min(AHEAD if rows <= FEW else 1, AHEAD if most is None else most - d)):
+        for _ in range(min(AHEAD if rows <= min(was, FEW) else 1, AHEAD if most is None else most - d)):
             d += 1
-            front = front.select("landmark", F.col("id").alias("at")).join(step, "at").select("landmark", "id").distinct()
+            front = front.select(*keys, F.col("id").alias("at")).join(step, "at")
+            front = (front if open_ is None else front.filter(open_)).select(*keys, F.col("to").alias("id")).distinct()
             for known in [seen, *tables]:
-                front = front.join(known, ["landmark", "id"], "left_anti")
+                front = front.join(known, same, "left_anti")
             level = front.withColumn("distance", F.lit(d))
             new = level if new is None else new.unionByName(level)
-        new = cut(new.groupBy("landmark", "id").agg(F.min("distance").alias("distance")), "hops")
+        label = f"hops-{len(tables)}"
+        new = rounds.cut(new.groupBy(same).agg(F.min("distance").alias("distance")), label if len(tables) < MERGE - 1 else "hops-last")
         frontier = new.filter(F.col("distance") == d)
         tables.append(new)
-        if (rows := frontier.count()) == 0:
-            break
-        if len(tables) == MERGE:
+        was, rows = rows, frontier.count()
+        if len(tables) == MERGE and rows:
             for t in tables:
                 seen = seen.unionByName(t)
             seen, tables = rounds.cut(seen, "hops-seen"), []
@@ -145,11 +153,12 @@ def trace(g: Graph, start: int, stop: int) -> DataFrame:
     # each vertex's best neighbour one step nearer to the start; the walk back follows these pointers, doubling them
     near = g.edges.select(F.col("src").alias("prev"), F.col("dst").alias("id")).join(dist, "id").join(dist.select(F.col("id").alias("prev"), F.col("distance").alias("before")), "prev")
     back = near.filter("before = distance - 1").groupBy("id").agg(F.min("prev").alias("prev"))
-    on, jump, reach = cut(dist.filter(F.col("id") == stop), "trace"), cut(back, "trace"), 1
+    rounds, reach = Rounds(), 1
+    on, jump = rounds.cut(dist.filter(F.col("id") == stop), "trace-on"), rounds.cut(back, "trace-jump")
     while reach <= row["distance"]:
         more = on.join(jump, "id").select(F.col("prev").alias("id"), (F.col("distance") - reach).alias("distance"))
-        on = cut(on.unionByName(more), "trace")
-        jump = cut(jump.join(jump.select(F.col("id").alias("prev"), F.col("prev").alias("far")), "prev").select("id", F.col("far").alias("prev")), "trace")
+        on = rounds.cut(on.unionByName(more), "trace-on")
+        jump = rounds.cut(jump.join(jump.select(F.col("id").alias("prev"), F.col("prev").alias("far")), "prev").select("id", F.col("far").alias("prev")), "trace-jump")
         reach *= 2
     return on.select((F.col("distance") + 1).cast("int").alias("step"), "id")
 
@@ -157,11 +166,11 @@ def trace(g: Graph, start: int, stop: int) -> DataFrame:
 def eigenvector(g: Graph, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """id, eigenvector: power iteration from 1/N, normalised each round."""
     n = g.vertices.count()
-    scores = g.vertices.withColumn("eigenvector", F.lit(1.0 / max(1, n)))
-    for _ in range(max_iter):
+    rounds, scores = Rounds(), g.vertices.withColumn("eigenvector", F.lit(1.0 / max(1, n)))
+    for k in range(max_iter):
         got = g.edges.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("eigenvector").alias("x"))
-        after = cut(g.vertices.join(got, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), "eigen")
-        norm = after.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
+        after, sums = rounds.observed(g.vertices.join(got, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), "eigen-odd" if k % 2 else "eigen", F.sum(F.col("x") * F.col("x")).alias("square"))
+        norm = (sums["square"] or 0.0) ** 0.5
         if norm == 0:
             break
         after = after.select("id", (F.col("x") / norm).alias("eigenvector"))
@@ -178,17 +187,16 @@ def k_core(g: Graph, most: int = 100_000) -> DataFrame:
     A vertex's neighbours are counted by estimate, capped at the vertex's own,
     before they are ranked, so a hub sorts as many rows as it has levels.
     """
-    est = cut(degrees(g, "simple").withColumnRenamed("degree", "core"), "core")
+    rounds = Rounds()
+    est = rounds.cut(degrees(g, "simple").withColumnRenamed("degree", "core"), "core")
     for _ in range(most):
         near = g.edges.join(est.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").join(est.select(F.col("id").alias("src"), "core"), "src")
         level = near.groupBy(F.col("src").alias("id"), "core", F.least("c", "core").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-        from pyspark.sql import Window
-
         above = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("l")).rowsBetween(Window.unboundedPreceding, 0))
         h = level.withColumn("above", above).groupBy("id").agg(F.max(F.least("l", "above")).alias("h"))
-        after = cut(est.join(h, "id", "left").select("id", F.coalesce("h", F.lit(0)).cast("long").alias("core"), (F.coalesce("h", F.lit(0)) != F.col("core")).alias("moved")), "core")
-        stable = after.filter("moved").isEmpty()
+        after = est.join(h, "id", "left").select("id", F.coalesce("h", F.lit(0)).cast("long").alias("core"), (F.coalesce("h", F.lit(0)) != F.col("core")).alias("moved"))
+        after, sums = rounds.observed(after, "core", F.count_if("moved").alias("moved"))
         est = after.drop("moved")
-        if stable:
+        if not sums["moved"]:
             break
     return est.withColumnRenamed("core", "coreness")

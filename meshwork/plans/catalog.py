@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions import scalars as S
-from meshwork.operators import centrality, community, compare, embeddings, graph, iterate, linkpred, resilience, stops, transit
+from meshwork.operators import centrality, community, compare, embeddings, forest, graph, iterate, linkpred, resilience, stops, transit
 from meshwork.plans import fixtures as X
 from meshwork.sources import edges as sources
 from meshwork.streaming import events as streams
@@ -265,38 +265,97 @@ def _(s, d):
 
 
 _SAMPLE = ", sm AS MATERIALIZED (SELECT id FROM v ORDER BY md5(concat(id::VARCHAR, ':42')), id LIMIT {n})"
+_SHARE = ", sm AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(concat(id::VARCHAR, ':42')), id) AS n FROM v) WHERE n <= greatest(1, floor((SELECT count(*) FROM v) * {share})))"
 
 
-@query("closeness_sampled", Q + _SAMPLE.format(n=60) + _DIST.format(sources="sm", most=60) + """, k AS (SELECT id, count(*) AS n, sum(distance) AS s FROM dist WHERE distance > 0 GROUP BY id)
-    SELECT v.id, round(coalesce(n::DOUBLE * n / (((SELECT count(*) FROM v) - 1) * s), 0), 9) AS closeness FROM v LEFT JOIN k USING (id)""")
+def _brandes_sql(levels: int) -> str:
+    """Levels f0, f1, ... of a search from sm with path counts, and b1, b2, ... with dependencies."""
+    out = ", f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS paths FROM sm), n0 AS (SELECT s, id FROM f0)"
+    for k in range(levels):
+        out += f", f{k + 1} AS MATERIALIZED (SELECT f.s, e.dst AS id, sum(paths) AS paths FROM f{k} f JOIN e ON e.src = f.id LEFT JOIN n{k} n ON n.s = f.s AND n.id = e.dst WHERE n.s IS NULL GROUP BY f.s, e.dst)"
+        out += f", n{k + 1} AS MATERIALIZED (SELECT * FROM n{k} UNION ALL SELECT s, id FROM f{k + 1})"
+    out += f", b{levels} AS (SELECT *, 0.0::DOUBLE AS delta FROM f{levels})"
+    for k in range(levels - 1, 0, -1):
+        out += f", b{k} AS MATERIALIZED (SELECT f.s, f.id, f.paths, f.paths * coalesce(x, 0) AS delta FROM f{k} f LEFT JOIN (SELECT b.s, e.src AS id, sum((1 + delta) / paths) AS x FROM b{k + 1} b JOIN e ON e.dst = b.id GROUP BY b.s, e.src) USING (s, id))"
+    parts = " UNION ALL ".join(f"SELECT id, delta FROM b{k}" for k in range(1, levels + 1))
+    return out + f", btw AS MATERIALIZED (SELECT id, coalesce(d, 0) * ((SELECT count(*) FROM v)::DOUBLE / (SELECT count(*) FROM sm) / (((SELECT count(*) FROM v) - 1) * ((SELECT count(*) FROM v) - 2))) AS betweenness FROM v LEFT JOIN (SELECT id, sum(delta) AS d FROM ({parts}) GROUP BY id) USING (id))"
+
+
+def _levels_sql(levels: int, sources: str = "sm") -> str:
+    """dist(landmark, id, distance) of a search from ``sources``, level by level."""
+    out = f", h0 AS MATERIALIZED (SELECT id AS landmark, id, 0 AS distance FROM {sources}), p0 AS (SELECT * FROM h0)"
+    for k in range(levels):
+        out += f", h{k + 1} AS MATERIALIZED (SELECT DISTINCT h.landmark, e.dst AS id, {k + 1} AS distance FROM h{k} h JOIN e ON e.src = h.id LEFT JOIN p{k} p ON p.landmark = h.landmark AND p.id = e.dst WHERE p.id IS NULL)"
+        out += f", p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} UNION ALL SELECT * FROM h{k + 1})"
+    return out + f", dist AS (SELECT * FROM p{levels})"
+
+
+#: Levels that a search over the graph of all lines needs at most.
+_WIDE = 6
+_CLOSE = """, k AS (SELECT id, count(*) AS n, sum(distance) AS s FROM dist WHERE distance > 0 GROUP BY id),
+    cls AS MATERIALIZED (SELECT v.id, coalesce(n::DOUBLE * n / (((SELECT count(*) FROM v) - 1) * s), 0) AS closeness FROM v LEFT JOIN k USING (id))"""
+
+
+@query("closeness_sampled", P + _SHARE.format(share=0.1) + _levels_sql(_WIDE) + _CLOSE + " SELECT id, round(closeness, 9) AS closeness FROM cls")
 def _(s, d):
-    g = X.sparse(s, d)
-    return centrality.closeness(g, centrality.sample(g.vertices, rows=60)).withColumn("closeness", F.round("closeness", 9))
+    g = X.parts(s, d)
+    return centrality.closeness(g, centrality.sample(g.vertices, share=0.1)).withColumn("closeness", F.round("closeness", 9))
 
 
-@query("global_efficiency", Q + _SAMPLE.format(n=60) + _DIST.format(sources="sm", most=60) + " SELECT round(avg(1.0 / distance), 9)::DOUBLE AS efficiency FROM dist WHERE distance > 0")
+@query("closeness_full", Q + _levels_sql(40, "v") + _CLOSE + " SELECT id, round(closeness, 9) AS closeness FROM cls")
 def _(s, d):
-    g = X.sparse(s, d)
-    return resilience.global_efficiency(g, centrality.sample(g.vertices, rows=60)).withColumn("efficiency", F.round("efficiency", 9))
+    return centrality.closeness(X.sparse(s, d)).withColumn("closeness", F.round("closeness", 9))
 
 
-@query("betweenness_sampled")
+@query("global_efficiency", P + _SAMPLE.format(n=200) + _levels_sql(_WIDE) + " SELECT round(avg(1.0 / distance), 9)::DOUBLE AS efficiency FROM dist WHERE distance > 0")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
+    return resilience.global_efficiency(g, centrality.sample(g.vertices, rows=200)).withColumn("efficiency", F.round("efficiency", 9))
+
+
+@query("harmonic_efficiency", Q + _levels_sql(40, "v") + " SELECT round(sum(1.0 / distance) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 9)::DOUBLE AS efficiency FROM dist WHERE distance > 0")
+def _(s, d):
+    return resilience.global_efficiency(X.sparse(s, d), denominator="all").withColumn("efficiency", F.round("efficiency", 9))
+
+
+@query("betweenness_sampled", P + _SHARE.format(share=0.05) + _brandes_sql(_WIDE) + " SELECT id, round(betweenness, 9) AS betweenness FROM btw")
+def _(s, d):
+    g = X.parts(s, d)
     return centrality.betweenness(g, centrality.sample(g.vertices, share=0.05)).withColumn("betweenness", F.round("betweenness", 9))
 
 
+@query("betweenness_full")
+def _(s, d):
+    return centrality.betweenness(X.sparse(s, d)).withColumn("betweenness", F.round("betweenness", 9))
+
+
 @query("burt_constraint", P + """, w AS (SELECT a.src AS i, b.dst AS j, sum(1.0::DOUBLE / d) AS x FROM e a JOIN e b ON a.dst = b.src JOIN deg ON deg.id = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst GROUP BY ALL)
     SELECT e.src AS id, round(sum(((1 + coalesce(x, 0)) / d) ** 2), 6) AS "constraint", round(1 - sum(((1 + coalesce(x, 0)) / d) ** 2), 6) AS broker FROM e LEFT JOIN w ON w.i = e.src AND w.j = e.dst JOIN deg ON deg.id = e.src GROUP BY e.src""")
 def _(s, d):
     return centrality.burt_constraint(X.parts(s, d)).withColumns({c: F.round(c, 6) for c in ("constraint", "broker")})
 
 
-@query("influence_score")
+def _converged_sql(rounds: int, tol: float = 1e-6) -> str:
+    """eig: power iteration that stops where no score changes by ``tol``; it must get there within the rounds."""
+    out = ", e0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS x FROM v), z0 AS (SELECT false AS done)"
+    for k in range(rounds):
+        out += f", y{k} AS MATERIALIZED (SELECT e.dst AS id, sum(x) AS y FROM e JOIN e{k} ON e{k}.id = e.src GROUP BY e.dst)"
+        out += f", e{k + 1} AS MATERIALIZED (SELECT id, CASE WHEN (SELECT done FROM z{k}) THEN x ELSE y / (SELECT sqrt(sum(y * y)) FROM y{k}) END AS x, x AS was FROM e{k} JOIN y{k} USING (id))"
+        out += f", z{k + 1} AS MATERIALIZED (SELECT max(abs(x - was)) < {tol} AS done FROM e{k + 1})"
+    return out + f", eig AS (SELECT id, x AS eigenvector FROM e{rounds})"
+
+
+def _blend_sql() -> str:
+    part = lambda c: f"coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0)"
+    return " + ".join(f"{w} * {part(c)}" for c, w in centrality.WEIGHTS.items())
+
+
+@query("influence_score", _core_sql(24).rsplit(" SELECT id", 1)[0] + _SHARE.format(share=0.05) + _brandes_sql(_WIDE) + _SHARE.format(share=0.1).replace("sm AS", "sm2 AS") + _levels_sql(_WIDE, "sm2") + _CLOSE + _converged_sql(20) + f""", every AS (SELECT v.id, 2.0::DOUBLE * d / ((SELECT count(*) FROM v) - 1) AS degree_centrality, betweenness, closeness, eigenvector, c24.c AS coreness FROM v JOIN deg USING (id) JOIN btw USING (id) JOIN cls USING (id) JOIN eig USING (id) JOIN c24 USING (id))
+    SELECT id, round({_blend_sql()}, 6) AS influence FROM every""")
 def _(s, d):
-    g = X.sparse(s, d)
-    some = centrality.sample(g.vertices, rows=40)
-    return centrality.influence(centrality.degree_centrality(g), centrality.betweenness(g, some), centrality.closeness(g, some), iterate.eigenvector(g, 10), iterate.k_core(g)).withColumn("influence", F.round("influence", 6))
+    g = X.parts(s, d)
+    some = {share: centrality.sample(g.vertices, share=share) for share in (0.05, 0.1)}
+    return centrality.influence(centrality.degree_centrality(g), centrality.betweenness(g, some[0.05]), centrality.closeness(g, some[0.1]), iterate.eigenvector(g), iterate.k_core(g)).withColumn("influence", F.round("influence", 6))
 
 
 # Communities given by the parts' brand
@@ -429,43 +488,138 @@ def _(s, d):
 # Resilience
 
 
-def _attack_sql(order: str) -> str:
-    return Q + f""", o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {order}) AS p FROM v JOIN deg USING (id)), per AS (SELECT greatest(1, count(*) // 20) AS per, count(*) AS n FROM v),
-    g AS MATERIALIZED (SELECT id, (p - 1) // per + 1 AS gone FROM o, per), st AS MATERIALIZED (SELECT unnest(range(0, ceil(n / per)::BIGINT + 1)) AS step FROM per),
-    vs AS MATERIALIZED (SELECT step, id FROM st JOIN g ON step < gone), es AS MATERIALIZED (SELECT step, e.src, e.dst FROM e JOIN g a ON a.id = e.src JOIN g z ON z.id = e.dst JOIN st ON step < least(a.gone, z.gone)),
-    rs(step, id, c) AS (SELECT step, id, id FROM vs UNION SELECT rs.step, es.dst, rs.c FROM rs JOIN es ON es.step = rs.step AND es.src = rs.id),
-    sz AS (SELECT step, max(n) AS giant, sum(n) AS remaining FROM (SELECT step, c, count(*) AS n FROM (SELECT step, id, min(c) AS c FROM rs GROUP BY ALL) GROUP BY ALL) GROUP BY step)
-    SELECT st.step::INT AS step, (n - coalesce(remaining, 0))::BIGINT AS removed, coalesce(remaining, 0)::BIGINT AS remaining, coalesce(giant, 0) AS giant_size, round(coalesce(giant, 0) / n::DOUBLE, 4) AS giant_share FROM st LEFT JOIN sz USING (step), per"""
+_STEPS = """, per AS (SELECT greatest(1, count(*) // 20) AS per, count(*) AS n FROM v), st AS MATERIALIZED (SELECT unnest(range(0, ceil(n / per)::BIGINT + 1)) AS step FROM per)"""
+
+
+def _giants_sql(rounds: int = 24) -> str:
+    """sz(step, giant, remaining) of the vertices in g(id, gone) at the steps in st, by rounds of minima."""
+    out = """, vs AS MATERIALIZED (SELECT step, id FROM st JOIN g ON step < gone), es AS MATERIALIZED (SELECT step, e.src, e.dst FROM e JOIN g a ON a.id = e.src JOIN g z ON z.id = e.dst JOIN st ON step < least(a.gone, z.gone)),
+    w0 AS (SELECT step, id, id AS c FROM vs)"""
+    for k in range(rounds):
+        out += f", w{k + 1} AS MATERIALIZED (SELECT step, id, min(c) AS c FROM (SELECT * FROM w{k} UNION ALL SELECT es.step, es.dst, w.c FROM es JOIN w{k} w ON w.step = es.step AND w.id = es.src) GROUP BY step, id)"
+    return out + f", sz AS MATERIALIZED (SELECT step, max(n) AS giant, sum(n) AS remaining FROM (SELECT step, c, count(*) AS n FROM w{rounds} GROUP BY step, c) GROUP BY step)"
+
 
+_CURVE = " SELECT st.step::INT AS step, (n - coalesce(remaining, 0))::BIGINT AS removed, coalesce(remaining, 0)::BIGINT AS remaining, coalesce(giant, 0) AS giant_size, round(coalesce(giant, 0) / n::DOUBLE, 4) AS giant_share FROM st LEFT JOIN sz USING (step), per"
 
-@query("attack_random", _attack_sql("md5(concat(id::VARCHAR, ':42')), id"))
+
+def _placed_sql(order: str) -> str:
+    return f", g AS MATERIALIZED (SELECT id, (row_number() OVER (ORDER BY {order}) - 1) // (SELECT per FROM per) + 1 AS gone FROM v JOIN deg USING (id))"
+
+
+_BY_HASH, _BY_DEGREE = _placed_sql("md5(concat(id::VARCHAR, ':42')), id"), _placed_sql("d DESC, id")
+
+
+@query("attack_random", P + _STEPS + _BY_HASH + _giants_sql() + _CURVE)
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     return resilience.attack_curve(g, resilience.random_order(g))
 
 
-@query("attack_degree_static", _attack_sql("d DESC, id"))
+@query("attack_degree_static", P + _STEPS + _BY_DEGREE + _giants_sql() + _CURVE)
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     return resilience.attack_curve(g, resilience.degree_order(g))
 
 
-@query("attack_degree_adaptive")
+def _adaptive_sql(steps: int = 17) -> str:
+    """g(id, gone) of an attack on the highest degrees of what is left; ``steps`` of 20 go past the stop."""
+    out = ", k0 AS (SELECT id FROM v), q0 AS (SELECT src, dst FROM e)"
+    for k in range(steps):
+        out += f", x{k + 1} AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY coalesce(d, 0) DESC, id) AS n FROM k{k} LEFT JOIN (SELECT src AS id, count(*) AS d FROM q{k} GROUP BY src) USING (id)) WHERE n <= (SELECT per FROM per))"
+        out += f", k{k + 1} AS MATERIALIZED (SELECT id FROM k{k} ANTI JOIN x{k + 1} USING (id)), q{k + 1} AS MATERIALIZED (SELECT q.src, q.dst FROM q{k} q ANTI JOIN x{k + 1} a ON a.id = q.src ANTI JOIN x{k + 1} z ON z.id = q.dst)"
+    parts = " UNION ALL ".join([f"SELECT id, {k + 1} AS gone FROM x{k + 1}" for k in range(steps)] + [f"SELECT id, {steps + 1} FROM k{steps}"])
+    return out + f", g AS MATERIALIZED ({parts})"
+
+
+@query("attack_degree_adaptive", P + _STEPS.replace("ceil(n / per)::BIGINT + 1", "18") + _adaptive_sql() + _giants_sql() + _CURVE)
 def _(s, d):
-    return resilience.adaptive_attack(X.sparse(s, d), 5)
+    return resilience.adaptive_attack(X.parts(s, d))
 
 
-@query("cascade")
+@query("attack_efficiency", P + _STEPS + _BY_HASH + """, pick AS MATERIALIZED (SELECT step, id FROM (SELECT step, id, row_number() OVER (PARTITION BY step ORDER BY md5(concat_ws(':', step, id, 42)), id) AS n FROM st JOIN g ON step < gone) WHERE n <= 100),
+    es AS MATERIALIZED (SELECT e.src, e.dst, least(a.gone, z.gone) AS until FROM e JOIN g a ON a.id = e.src JOIN g z ON z.id = e.dst), l0 AS (SELECT step, id AS s, id, 0 AS distance FROM pick)""" + "".join(f", l{k + 1} AS MATERIALIZED (SELECT step, s, id, min(distance) AS distance FROM (SELECT * FROM l{k} UNION ALL SELECT l.step, l.s, es.dst, {k + 1} FROM l{k} l JOIN es ON es.src = l.id AND l.step < until WHERE l.distance = {k}) GROUP BY step, s, id)" for k in range(12)) + """
+    SELECT st.step::INT AS step, round(coalesce(avg(1.0 / nullif(distance, 0)), 0), 9)::DOUBLE AS efficiency FROM st LEFT JOIN l12 USING (step) GROUP BY st.step""")
 def _(s, d):
-    return resilience.cascade(X.sparse(s, d))
+    g = X.parts(s, d)
+    return resilience.attack_efficiency(g, resilience.random_order(g)).withColumn("efficiency", F.round("efficiency", 9))
+
+
+def _cascade_sql(slack: float, rounds: int = 8) -> str:
+    """Loads round by round; it must come to rest within the rounds. A round without failures is the last."""
+    out = f", s0 AS MATERIALIZED (SELECT id, d::DOUBLE AS load, {slack}::DOUBLE * d AS capacity, d, CASE WHEN sm.id IS NOT NULL THEN 0 END AS failed FROM deg LEFT JOIN sm USING (id))"
+    for k in range(1, rounds + 1):
+        out += f", o{k} AS MATERIALIZED (SELECT e.src, e.dst, a.d FROM e JOIN s{k - 1} a ON a.id = e.src AND a.failed IS NOT NULL JOIN s{k - 1} z ON z.id = e.dst AND z.failed IS NULL)"
+        out += f", r{k} AS MATERIALIZED (SELECT o.dst AS id, sum(o.d::DOUBLE / n) AS more FROM o{k} o JOIN (SELECT src, count(*) AS n FROM o{k} GROUP BY src) USING (src) GROUP BY o.dst)"
+        out += f", s{k} AS MATERIALIZED (SELECT id, load + coalesce(more, 0) AS load, capacity, d, CASE WHEN failed IS NULL AND load + coalesce(more, 0) > capacity AND ({k} = 1 OR EXISTS (SELECT 1 FROM s{k - 1} WHERE failed = {k - 1})) THEN {k} ELSE failed END AS failed FROM s{k - 1} LEFT JOIN r{k} USING (id))"
+    return out + f""", st AS MATERIALIZED (SELECT unnest(range(0, coalesce((SELECT max(failed) FROM s{rounds}), 0) + 1)) AS step), g AS MATERIALIZED (SELECT id, coalesce(failed, {rounds + 1}) AS gone FROM s{rounds})"""
 
 
-@query("vulnerability", Q + _REACH + _SAMPLE.format(n=20) + """, ks AS MATERIALIZED (SELECT sm.id AS k, v.id FROM sm, v WHERE v.id <> sm.id), rk(k, id, c) AS (SELECT k, id, id FROM ks UNION SELECT rk.k, e.dst, rk.c FROM rk JOIN e ON e.src = rk.id WHERE e.dst <> rk.k),
-    z AS (SELECT k, max(n) AS m FROM (SELECT k, c, count(*) AS n FROM (SELECT k, id, min(c) AS c FROM rk GROUP BY ALL) GROUP BY ALL) GROUP BY k)
-    SELECT k AS id, round(((SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) - m) / (SELECT count(*) FROM v)::DOUBLE, 6) AS vulnerability FROM z""")
+def _cascade_rows_sql(slack: float) -> str:
+    return P + _SHARE.format(share=0.05) + _cascade_sql(slack) + _giants_sql(8) + """, n AS (SELECT count(*) AS n FROM v) SELECT st.step::INT AS round, (SELECT count(*) FROM g WHERE gone = st.step) AS new_failures, (n - coalesce(remaining, 0))::BIGINT AS failed,
+    coalesce(giant, 0) / n::DOUBLE AS giant_share, coalesce(remaining, 0) / n::DOUBLE AS survival_rate FROM st LEFT JOIN sz USING (step), n"""
+
+
+@query("cascade", _cascade_rows_sql(2.0))
 def _(s, d):
-    g = X.sparse(s, d)
-    return resilience.vulnerability(g, centrality.sample(g.vertices, rows=20))
+    return resilience.cascade(X.parts(s, d))
+
+
+@query("cascade_tight", _cascade_rows_sql(1.1))
+def _(s, d):
+    return resilience.cascade(X.parts(s, d), slack=1.1)
+
+
+#: What is left around each vertex k: of each neighbour what it reaches without k, and the least id of that.
+_APART = """, rk(k, n, id) AS (SELECT src, dst, dst FROM e UNION SELECT rk.k, rk.n, e.dst FROM rk JOIN e ON e.src = rk.id WHERE e.dst <> rk.k),
+    piece AS MATERIALIZED (SELECT k, n, count(*) AS size, min(id) AS least FROM rk GROUP BY k, n), whole AS MATERIALIZED (SELECT component, count(*) AS size FROM comp GROUP BY component)"""
+
+
+@query("vulnerability", Q + _REACH + _APART + """, big AS (SELECT component, size FROM whole ORDER BY size DESC, component LIMIT 1), m AS (SELECT k, max(size) AS size FROM piece GROUP BY k)
+    SELECT id, round(((SELECT size FROM big) - CASE WHEN component = (SELECT component FROM big) THEN greatest(m.size, coalesce((SELECT max(size) FROM whole WHERE component <> (SELECT component FROM big)), 0)) ELSE (SELECT size FROM big) END) / (SELECT count(*) FROM v)::DOUBLE, 6) AS vulnerability
+    FROM comp JOIN m ON m.k = id""")
+def _(s, d):
+    return resilience.vulnerability(X.sparse(s, d))
+
+
+@query("separation", Q + _REACH + _APART + " SELECT id, component, w.size AS component_size, count(DISTINCT least) AS pieces, max(piece.size) AS largest_piece FROM comp JOIN whole w USING (component) JOIN piece ON k = id GROUP BY id, component, w.size")
+def _(s, d):
+    return forest.separation(X.sparse(s, d))
+
+
+@query("articulation_points", Q + _REACH + _APART + " SELECT k AS id, count(DISTINCT least) AS pieces FROM piece GROUP BY k HAVING count(DISTINCT least) > 1")
+def _(s, d):
+    return forest.articulation_points(X.sparse(s, d))
+
+
+#: Edges that meet in k are in one block if their other ends hang together without k.
+_BLOCKS = _REACH + _APART + """, i AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM u), t AS MATERIALIZED (SELECT piece.k, least, i.n FROM piece JOIN i ON i.src = least(k, piece.n) AND i.dst = greatest(k, piece.n)),
+    l AS MATERIALIZED (SELECT DISTINCT a.n AS a, b.n AS b FROM t a JOIN t b USING (k, least)), rb(n, c) AS (SELECT n, n FROM i UNION SELECT l.b, rb.c FROM rb JOIN l ON l.a = rb.n), bl AS MATERIALIZED (SELECT n, min(c) AS c FROM rb GROUP BY n)"""
+
+
+@query("edge_blocks", Q + _BLOCKS + " SELECT i.src, i.dst, f.src AS first_src, f.dst AS first_dst FROM i JOIN bl USING (n) JOIN i f ON f.n = bl.c")
+def _(s, d):
+    found = forest.blocks(X.sparse(s, d))
+    first = found.groupBy("block").agg(F.min(F.struct("src", "dst")).alias("first"))
+    return found.join(first, "block").select("src", "dst", F.col("first.src").alias("first_src"), F.col("first.dst").alias("first_dst"))
+
+
+@query("bridge_edges", Q + _BLOCKS + " SELECT any_value(i.src) AS src, any_value(i.dst) AS dst FROM i JOIN bl USING (n) GROUP BY bl.c HAVING count(*) = 1")
+def _(s, d):
+    return forest.bridges(X.sparse(s, d))
+
+
+@query("spanning_forest", P + _NEAR + " SELECT (SELECT count(*) FROM v) - count(DISTINCT component) AS edges, count(DISTINCT component) AS trees FROM comp")
+def _(s, d):
+    g = X.parts(s, d)
+    found = forest.spanning_forest(g.edges)
+    trees = iterate.connected_components(graph.Graph(g.vertices, found)).select("component").distinct().agg(F.count(F.lit(1)).alias("trees"))
+    return found.agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(trees))
+
+
+@query("vulnerability_dense")
+def _(s, d):
+    return resilience.vulnerability(X.parts(s, d))
 
 
 @query("average_clustering", P + _TRI + _SAMPLE.format(n=300) + " SELECT round(avg(CASE WHEN d >= 2 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 9)::DOUBLE AS clustering FROM t JOIN deg USING (id) WHERE id IN (SELECT id FROM sm)")
@@ -771,9 +925,9 @@ def _(s, d):
     return compare.compare_timings(a, b)
 
 
-@query("topk_overlap", Q + _pagerank_sql(5) + """, a AS (SELECT id FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10), z AS (SELECT id FROM r2 ORDER BY round(r, 6) DESC, id LIMIT 10) SELECT count(*) AS overlap FROM a JOIN z USING (id)""")
+@query("topk_overlap", P + _pagerank_sql(5) + """, a AS (SELECT id FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10), z AS (SELECT id FROM r2 ORDER BY round(r, 6) DESC, id LIMIT 10) SELECT count(*) AS overlap FROM a JOIN z USING (id)""")
 def _(s, d):
-    g = X.sparse(s, d)
+    g = X.parts(s, d)
     a, b = (iterate.pagerank(g, max_iter=k).withColumn("pagerank", F.round("pagerank", 6)) for k in (5, 2))
     return compare.top_overlap(a, b, "pagerank")
 

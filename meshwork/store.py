@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -46,9 +46,23 @@ class Rounds:
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         out, path = _written(df, label)
-        spark, old = df.sparkSession, self._last.get(label)
-        if old:
-            place = spark._jvm.org.apache.hadoop.fs.Path(old)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._drop(df.sparkSession, self._last.get(label))
         self._last[label] = path
         return out
+
+    def observed(self, df: DataFrame, label: str, *of: Column) -> tuple[DataFrame, dict]:
+        """As ``cut``, and the values of the aggregates ``of`` over the rows, which the write itself gathers."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *of), label)
+        return out, seen.get
+
+    def drop(self, spark: SparkSession, *labels: str) -> None:
+        """Deletes the tables of these labels, once nothing reads them."""
+        for label in labels:
+            self._drop(spark, self._last.pop(label, None))
+
+    @staticmethod
+    def _drop(spark: SparkSession, path: str | None) -> None:
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

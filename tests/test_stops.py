@@ -56,7 +56,7 @@ def test_cascade_and_step_efficiency(spark):
     star = Graph.undirected(spark.createDataFrame([(0, k) for k in range(1, 11)], "src long, dst long"))
     rows = resilience.cascade(star, share=0.5).orderBy("round").collect()
     assert rows[0]["failed"] == rows[0]["new_failures"] and all(abs(r["survival_rate"] - (11 - r["failed"]) / 11) < 1e-9 for r in rows)
-    curve = {r["step"]: r["efficiency"] for r in resilience.step_efficiency(star, resilience.degree_order(star), 11).collect()}
+    curve = {r["step"]: r["efficiency"] for r in resilience.attack_efficiency(star, resilience.degree_order(star), 11).collect()}
     assert curve[0] == (20 * 1.0 + 90 * 0.5) / 110 and curve[1] == 0.0
 
 
