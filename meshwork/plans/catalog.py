@@ -400,7 +400,7 @@ def _(s, d):
 
 @query("louvain_local_move")
 def _(s, d):
-    return community.local_moving(X.sparse(s, d), 3)
+    return community.local_moving(X.sparse(s, d))
 
 
 # Link prediction
@@ -460,18 +460,18 @@ def _(s, d):
 
 @query("node2vec_walks")
 def _(s, d):
-    return embeddings.walks(X.sparse(s, d), length=8, per_vertex=2)
+    return embeddings.walks(X.sparse(s, d))
 
 
 @query("node_embeddings")
 def _(s, d):
-    model = embeddings.word_vectors(embeddings.walks(X.sparse(s, d), length=20, per_vertex=4), size=16, window=5, rounds=1)
-    return embeddings.vectors(model).select("id", F.size(embeddings.vector_to_array("vector")).alias("dims"))
+    model = embeddings.word_vectors(embeddings.walks(X.sparse(s, d)))
+    return embeddings.vectors(model).select("id", embeddings.vector_to_array("vector").alias("vector"))
 
 
 @query("kmeans_sweep")
 def _(s, d):
-    return embeddings.kmeans_sweep(embeddings.as_vectors(X.table(s, d, "embeddings"), "vec_id", "embedding"), range(5, 12, 3))[0]
+    return embeddings.kmeans_sweep(embeddings.as_vectors(X.table(s, d, "embeddings"), "vec_id", "embedding"))[0]
 
 
 @query("pca_2d")
@@ -1007,3 +1007,39 @@ def _(s, d):
 def _(s, d):
     e = X.table(s, d, "events")
     return streams.run(streams.latest(streams.read(s, f"{d}/events.parquet*", e.schema)), "latest", "complete")
+
+
+# Streams that give final rows and forget the rest; what the watermark hasn't passed stays in their state
+
+_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+_PASSED_US = "((SELECT epoch_ms(max(ts)) - 3600000 FROM events) * 1000)"
+
+
+def _events(s, d):
+    return streams.read(s, f"{d}/events.parquet*", X.table(s, d, "events").schema)
+
+
+@query("stream_tumbling_final", f"SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS window_start, round(avg(value), 6) AS avg_value, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_PASSED} GROUP BY ALL")
+def _(s, d):
+    return streams.run(streams.tumbling(_events(s, d), late="1 hour"), "tumbling-final")
+
+
+@query("stream_session_final", f"""WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= {_PASSED}""")
+def _(s, d):
+    return streams.run(streams.sessions(_events(s, d), late="1 hour"), "session-final")
+
+
+@query("stream_followed", """WITH a AS (SELECT * FROM events WHERE event_type = 'view'), b AS (SELECT * FROM events WHERE event_type = 'purchase'),
+    p AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 1 HOUR AS passed)
+    SELECT a.event_id, a.user_id, a.ts, b.event_id AS next_id, b.ts AS next_ts FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR
+    WHERE b.event_id IS NOT NULL OR a.ts + INTERVAL 1 HOUR < (SELECT passed FROM p)""")
+def _(s, d):
+    a, b = (_events(s, d).filter(F.col("event_type") == x) for x in ("view", "purchase"))
+    return streams.run(streams.followed(a, b, "user_id"), "followed")
+
+
+@query("stream_steady_rates", f"""WITH o AS (SELECT *, epoch_us(ts) AS t, lag(value) OVER w AS lv, lag(epoch_us(ts)) OVER w AS lt FROM events WHERE epoch_us(ts) <= {_PASSED_US} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, user_id, round((value - lv) / ((t - lt) / 3.6e9), 6) AS rate FROM o WHERE t > lt AND t - lt <= 21600000000""")
+def _(s, d):
+    return streams.run(streams.steady_rates(_events(s, d)), "steady-rates").withColumn("rate", F.round("rate", 6))

@@ -195,3 +195,23 @@ def test_link_queries_use_the_defaults(spark, monkeypatch, name):
     monkeypatch.setattr(catalog.X, "brands", lambda s, d: None)
     catalog.QUERIES[name](spark, "")
     assert found and all(x == {(1, 4): 3, (1, 5): 4, (1, 7): 5} for x in found) and not any(calls)
+
+
+def test_walks_follow_their_weights(spark):
+    """Shares of steps are those of the weights; walks repeat, and a vertex without edges stays alone."""
+    edges = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (3, 6)]
+    g = Graph.undirected(spark.createDataFrame(edges, "src long, dst long"), vertices=spark.createDataFrame([(9,)], "id long"))
+    rows = sorted(map(tuple, embeddings.walks(g, length=6, per_vertex=300, p=4.0, q=0.25).collect()))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    steps = {}
+    for name, walk in rows:
+        v = [int(x) for x in walk]
+        assert v[0] == int(name.split(":")[0]) and len(v) == (1 if v[0] == 9 else 6) and all(b in near[a] for a, b in zip(v, v[1:], strict=False))
+        for a, b, c in zip(v, v[1:], v[2:], strict=False):
+            steps.setdefault((a, b), []).append(c)
+    for (a, b), to in steps.items():
+        weight = {c: 1 / 4 if c == a else 1.0 if c in near[a] else 4.0 for c in near[b]}
+        for c, w in weight.items():
+            assert abs(to.count(c) / len(to) - w / sum(weight.values())) < 2.5 / len(to) ** 0.5
