@@ -7,10 +7,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph, degrees
+from meshwork.operators.order import numbered
 from meshwork.store import cut
 
 FEATURES = ("common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "same_community", "path_distance", "katz")
@@ -78,21 +79,21 @@ def _order(*parts) -> F.Column:
 
 
 def dataset(g: Graph, *, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """u, v, label: a share of the edges, and as many pairs without an edge, both in md5 order.
+    """u, v, label: a share of the edges, and as many pairs without an edge, both the first in md5 order.
 
-    Pairs without an edge come from pairing each vertex with the next ones in two
-    seeded orders, so no cross join is made; the number of positives bounds them.
+    Pairs without an edge come from a seeded order of the vertices, each paired with
+    those 1, 2, 3, ... places behind it (the first follow the last): ten of them, or
+    half as many more as pairs are asked for. So no cross join is made.
     """
     one = g.pairs().select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    n = int(one.count() * share)
+    n, size = int(one.count() * share), g.vertices.count()
     rank = _order(F.col("u").cast("string"), F.col("v").cast("string"), F.lit(str(seed)))
-    yes = one.orderBy(rank, "u", "v").limit(n).withColumn("label", F.lit(1))
-    tries = g.vertices.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"))
-    left = tries.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy(_order(F.col("a").cast("string"), F.lit(f"{seed}a")), "a")))
-    right = tries.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy(_order(F.col("a").cast("string"), F.col("k").cast("string"), F.lit(f"{seed}b")), "a")))
-    mixed = left.join(right.withColumnRenamed("a", "b"), ["k", "i"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct()
-    no = mixed.join(one, ["u", "v"], "left_anti").orderBy(rank, "u", "v").limit(n).withColumn("label", F.lit(0))
-    return yes.unionByName(no)
+    first = lambda pairs, label: numbered(pairs, rank, "u", "v").filter(F.col("place") <= n).select("u", "v", F.lit(label).alias("label"))
+    placed = numbered(g.vertices, _order(F.col("id").cast("string"), F.lit(f"{seed}a")), "id")
+    tries = max(10, -(-3 * n // max(1, 2 * size)) + 2)
+    ahead = placed.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("k"), "place").select("a", (F.pmod(F.col("place") + F.col("k") - 1, F.lit(max(1, size))) + 1).alias("place"))
+    mixed = ahead.join(placed.withColumnRenamed("id", "b"), "place").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct()
+    return first(one, 1).unionByName(first(mixed.join(one, ["u", "v"], "left_anti"), 0))
 
 
 def without(g: Graph, pairs: DataFrame) -> Graph:

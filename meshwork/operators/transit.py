@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions import scalars as S
 from meshwork.operators.graph import Graph
+from meshwork.operators.order import numbered
 from meshwork.operators.iterate import connected_components, hops, pagerank
 
 #: Other names of the columns that tables are brought to.
@@ -47,18 +48,46 @@ def derive_speed(points: DataFrame) -> DataFrame:
     return points.withColumn("speed", S.clip(own, 0.0, 110.0)).filter("speed IS NOT NULL")
 
 
+def _with_places(df: DataFrame, aliases: dict[str, str], column: str) -> DataFrame:
+    """``df`` with __n, its rows' places as they were read, if it has no ``column``."""
+    names = {c.strip().lower() for c in df.columns}
+    if column in {aliases.get(c, c) for c in names}:
+        return df.withColumn("__n", F.lit(None).cast("long"))
+    return numbered(df.withColumn("__row", F.monotonically_increasing_id()), "__row", name="__n")
+
+
 def normalize_stops(df: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-    out = normalize(df, STOP_ALIASES, {"stop_id": "long", "stop_name": "string", "lat": "double", "lon": "double"}, {"stop_id": n, "stop_name": F.lit(None)})
+    """stop_id, stop_name, lat, lon; without ids, the rows' places."""
+    df = _with_places(df, STOP_ALIASES, "stop_id")
+    out = normalize(df, STOP_ALIASES, {"stop_id": "long", "stop_name": "string", "lat": "double", "lon": "double"}, {"stop_id": F.col("__n"), "stop_name": F.lit(None)})
     return out.withColumn("stop_name", F.coalesce(F.nullif(F.trim("stop_name"), F.lit("")), F.concat(F.lit("Stop-"), F.col("stop_id").cast("string")))).na.drop(subset=["stop_id", "lat", "lon"])
 
 
 def normalize_routes(df: DataFrame) -> DataFrame:
-    base = {"route_id": F.lit("R101"), "seq": F.row_number().over(Window.orderBy(F.monotonically_increasing_id())), "stop": F.lit(None), "trip_count": F.lit(1)}
+    """route_id, seq, stop, lat, lon, trip_count; without a sequence, the rows' places."""
+    df = _with_places(df, ROUTE_ALIASES, "seq")
+    base = {"route_id": F.lit("R101"), "seq": F.col("__n"), "stop": F.lit(None), "trip_count": F.lit(1)}
     out = normalize(df, ROUTE_ALIASES, {"route_id": "string", "seq": "int", "stop": "string", "lat": "double", "lon": "double", "trip_count": "long"}, base)
     return placeholder_route(out.na.drop(subset=["lat", "lon"]))
 
 
+def normalize_paths(df: DataFrame) -> DataFrame:
+    """src, dst, distance (hops), cost: without a cost the hops, without hops 0."""
+    out = normalize(df, {"source": "src", "origin": "src", "target": "dst", "destination": "dst", "hops": "distance", "weight": "cost"}, {"src": "string", "dst": "string", "distance": "int", "cost": "double"}, {"distance": F.lit(0), "cost": F.lit(None)})
+    return out.na.drop(subset=["src", "dst"]).withColumn("cost", F.coalesce("cost", F.col("distance").cast("double")))
+
+
+def normalize_ranks(df: DataFrame) -> DataFrame:
+    """id, pagerank: rows without either go."""
+    return normalize(df, {"stop_id": "id", "node": "id", "vertex": "id", "rank": "pagerank", "score": "pagerank"}, {"id": "string", "pagerank": "double"}).na.drop()
+
+
+def normalize_predictions(df: DataFrame) -> DataFrame:
+    """u, v, probability (held in 0 to 1): rows without ends or a number go."""
+    out = normalize(df, {"src": "u", "source": "u", "dst": "v", "target": "v", "score": "probability", "prob": "probability"}, {"u": "string", "v": "string", "probability": "double"}).na.drop()
+    return out.withColumn("probability", S.clip(F.col("probability"), 0.0, 1.0))
+
+
 def placeholder_route(routes: DataFrame) -> DataFrame:
     """If all rows have one route id and it begins with 'route', it becomes R101."""
     one = routes.agg((F.countDistinct("route_id") == 1).alias("one"))

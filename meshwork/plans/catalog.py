@@ -11,6 +11,7 @@ from meshwork.functions import scalars as S
 from meshwork.operators import centrality, community, compare, embeddings, forest, graph, iterate, linkpred, resilience, stops, transit
 from meshwork.plans import fixtures as X
 from meshwork.sources import edges as sources
+from meshwork.store import cut
 from meshwork.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,7 +434,11 @@ def _(s, d):
 ORACLE_SQL["link_positives"] = P + " SELECT u, v FROM (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY md5(concat(src::VARCHAR, ':', dst::VARCHAR, ':42')), src, dst) AS n FROM u) WHERE n <= floor((SELECT count(*) FROM u) * 0.2)"
 
 
-@query("link_dataset")
+@query("link_dataset", Q + """, k AS (SELECT floor((SELECT count(*) FROM u) * 0.2)::BIGINT AS n, (SELECT count(*) FROM v) AS size), t AS (SELECT greatest(10, ceil(3 * n / (2.0 * size))::BIGINT + 2) AS tries FROM k),
+    pl AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', id, '42a')), id) - 1 AS i FROM v), f AS (SELECT unnest(range(1, tries + 1)) AS j FROM t),
+    mixed AS (SELECT DISTINCT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM pl a, f, k, pl b WHERE b.i = (a.i + j) % size AND a.id <> b.id),
+    ranked AS (SELECT u, v, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', u, v, '42')), u, v) AS place FROM (SELECT src AS u, dst AS v, 1 AS label FROM u UNION ALL SELECT u, v, 0 FROM mixed WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = mixed.u AND e.dst = mixed.v)))
+    SELECT u, v, label FROM ranked, k WHERE place <= n""")
 def _(s, d):
     return linkpred.dataset(X.sparse(s, d))
 
@@ -442,16 +447,16 @@ def _(s, d):
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"]).persist()
-    return linkpred.train(data)[0].select("model", F.round("auc", 6).alias("auc"))
+    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"])
+    return linkpred.train(cut(data, "pairs"))[0].select("model", F.round("auc", 6).alias("auc"))
 
 
 @query("predicted_links")
 def _(s, d):
     g = X.sparse(s, d)
     rows = linkpred.dataset(g)
-    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"]).persist()
-    _, model = linkpred.train(data)
+    data = linkpred.features(linkpred.without(g, rows), rows).join(rows, ["u", "v"])
+    _, model = linkpred.train(cut(data, "pairs"))
     return linkpred.predict(model, linkpred.features(g, linkpred.two_hop_pairs(g)))
 
 

@@ -44,15 +44,17 @@ def _xml(x: Column) -> Column:
 
 
 def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """place, value: a GEXF 1.2 document, a line a row; nodes: id, community, degree; edges once each."""
+    """place, value: a GEXF 1.2 document, a line a row; nodes: id, community, degree and, if there, influence; edges once each."""
     spark = nodes.sparkSession
     fixed = lambda n, *lines: spark.createDataFrame([(n + i, "", x) for i, x in enumerate(lines)], "place int, key string, value string")
     size = F.greatest(F.least(2 + 0.15 * F.col("degree"), F.lit(20.0)), F.lit(2.0))
     c = rgb(colour(F.col("community")))
-    node = F.format_string('<node id="%s" label="%s"><attvalues><attvalue for="0" value="%s"/></attvalues><viz:color r="%d" g="%d" b="%d"/><viz:size value="%.2f"/></node>', _xml(F.col("id")), _xml(F.col("id")), F.col("community").cast("string"), c[0], c[1], c[2], size)
+    more = [(str(k), name, kind) for k, (name, kind) in enumerate((("community", "integer"), ("degree", "integer"), ("influence", "double"))) if name in nodes.columns]
+    values = F.concat(*[F.concat(F.lit(f'<attvalue for="{k}" value="'), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit('"/>')) for k, name, _ in more])
+    node = F.format_string('<node id="%s" label="%s"><attvalues>%s</attvalues><viz:color r="%d" g="%d" b="%d"/><viz:size value="%.2f"/></node>', _xml(F.col("id")), _xml(F.col("id")), values, c[0], c[1], c[2], size)
     one = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     edge = F.format_string('<edge source="%s" target="%s"/>', _xml(F.col("a")), _xml(F.col("b")))
-    head = fixed(0, '<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" xmlns:viz="http://www.gexf.net/1.2draft/viz" version="1.2"><graph defaultedgetype="undirected">', '<attributes class="node"><attribute id="0" title="community" type="integer"/></attributes>', "<nodes>")
+    head = fixed(0, '<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" xmlns:viz="http://www.gexf.net/1.2draft/viz" version="1.2"><graph defaultedgetype="undirected">', '<attributes class="node">' + "".join(f'<attribute id="{k}" title="{name}" type="{kind}"/>' for k, name, kind in more) + "</attributes>", "<nodes>")
     rows = head.unionByName(nodes.select(F.lit(10).alias("place"), F.col("id").cast("string").alias("key"), node.alias("value")))
     rows = rows.unionByName(fixed(20, "</nodes>", "<edges>")).unionByName(one.select(F.lit(30).alias("place"), F.concat_ws(":", "a", "b").alias("key"), edge.alias("value")))
     return rows.unionByName(fixed(40, "</edges>", "</graph></gexf>"))

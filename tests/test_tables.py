@@ -139,3 +139,33 @@ def test_demo_positions_and_routes(spark):
     filled = transit.synthesize_coordinates(trips, known)
     assert {r["city"] for r in filled.collect()} >= {"AA", "BB"}
     assert transit.od_polylines(routes, filled)[0].count() == 3
+
+
+def test_many_od_tables_in_one_scan(spark, tmp_path):
+    """Files with other columns, orders, quotes, blank first lines and without the two columns; one scan of text for all."""
+    want = []
+    for k in range(200):
+        folder = tmp_path / f"d{k % 7}" / "x"
+        folder.mkdir(parents=True, exist_ok=True)
+        if k % 5 == 4:
+            (folder / f"{k}.csv").write_text("name,value\nA,B\n")
+        else:
+            rows = [(f"O{k}", f"D{k}"), ("St. Mary, North", f"D{k}")]
+            if k % 2:
+                (folder / f"{k}.csv").write_text("\n Destination ,n,ORIGIN\n" + "".join(f'{d},{k},"{o}"\n' for o, d in rows))
+            else:
+                (folder / f"{k}.csv").write_text("origin,destination\n" + "".join(f'"{o}", {d}\n' for o, d in rows) + "origin,destination\n")
+            want += rows
+    (tmp_path / "empty.csv").write_text("")
+    got = edges.read_od_tables(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # the lines, and the written headers
+
+
+def test_normalized_results(spark):
+    paths = transit.normalize_paths(spark.createDataFrame([("a", "b", "3", None), ("a", None, "1", "2"), ("c", "d", "x", "7.5")], "Source string, Target string, hops string, weight string"))
+    assert sorted(tuple(r) for r in paths.collect()) == [("a", "b", 3, 3.0), ("c", "d", None, 7.5)]
+    assert [tuple(r) for r in transit.normalize_ranks(spark.createDataFrame([("1", "0.5"), ("2", "?")], "node string, Score string")).collect()] == [("1", 0.5)]
+    assert [tuple(r) for r in transit.normalize_predictions(spark.createDataFrame([("1", "2", "1.5"), ("1", None, "0.5")], "src string, dst string, prob string")).collect()] == [("1", "2", 1.0)]
+    stops = transit.normalize_stops(spark.createDataFrame([("a", "1", "2"), (None, "3", "4")], "Name string, Latitude string, Longitude string"))
+    assert sorted(tuple(r) for r in stops.collect()) == [(1, "a", 1.0, 2.0), (2, "Stop-2", 3.0, 4.0)]
