@@ -164,6 +164,44 @@ def clustering(g: Graph, degree: str = "both") -> DataFrame:
     return out.select("triangles", "triples", F.coalesce(F.try_divide(3.0 * F.col("triangles"), F.col("triples")), F.lit(0.0)).alias("global_clustering"), F.coalesce("avg_local_clustering", F.lit(0.0)).alias("avg_local_clustering"))
 
 
+def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[str, str]] = (), *, different: bool = False) -> DataFrame:
+    """A column for each name in ``pattern``: every way to name vertices so that its edges are there and those of ``absent`` aren't.
+
+    Of the edges that are left, one whose ends both have columns comes next, as a
+    semi-join, so that rows are ruled out before others widen them; else one with
+    one end, as an equi-join; a pattern in two pieces is refused. Absent edges, over
+    names of the pattern, are anti-joins as soon as both ends have columns. Names
+    may stand for one vertex unless ``different``.
+    """
+    names = {x for e in pattern for x in e}
+    if not pattern or not {x for e in absent for x in e} <= names:
+        raise ValueError("absent edges need names of the pattern")
+    edges = edges.select("src", "dst").distinct()
+    as_ = lambda a, b: edges.filter("src = dst").select(F.col("src").alias(a)) if a == b else edges.select(F.col("src").alias(a), F.col("dst").alias(b))
+    todo, barred, out = list(pattern), list(absent), None
+    while todo:
+        have = set(out.columns) if out is not None else set()
+        edge = next((e for n in (2, 1) for e in todo if len({*e} & have) >= min(n, len({*e}))), None) if have else todo[0]
+        if edge is None:
+            raise ValueError("the pattern falls into pieces")
+        todo.remove(edge)
+        both = list(dict.fromkeys(edge))
+        shared = [x for x in both if x in have]
+        if out is None:
+            out = as_(*edge)
+        elif len(shared) == len(both):
+            out = out.join(as_(*edge), both, "left_semi")
+        else:
+            out = out.join(as_(*edge), shared)
+            if different:
+                new = next(x for x in both if x not in have)
+                out = out.filter(~F.col(new).isin(*[F.col(x) for x in out.columns if x != new]))
+        for gone in [e for e in barred if {*e} <= set(out.columns)]:
+            out = out.join(as_(*gone), list(dict.fromkeys(gone)), "left_anti")
+            barred.remove(gone)
+    return out.select(*sorted(names))
+
+
 def mutual_motif(edges: DataFrame) -> DataFrame:
     """The motif (a)-[]->(b); (b)-[]->(a): each pair once."""
     back = reverse(edges)

@@ -141,6 +141,23 @@ def _(s, d):
     return graph.mutual_motif(X.parts(s, d).edges)
 
 
+@query("motif_open_wedges", P + " SELECT x.dst AS b, count(*) AS wedges FROM e x JOIN e y ON y.src = x.dst AND y.dst <> x.src LEFT JOIN e z ON z.src = x.src AND z.dst = y.dst WHERE z.src IS NULL GROUP BY x.dst")
+def _(s, d):
+    found = graph.motif(X.parts(s, d).edges, [("a", "b"), ("b", "c")], [("a", "c")], different=True)
+    return found.groupBy("b").agg(F.count(F.lit(1)).alias("wedges"))
+
+
+@query("motif_triangles", P + _TRI + " SELECT a, b, c FROM tri")
+def _(s, d):
+    return graph.motif(X.parts(s, d).pairs(), [("a", "b"), ("b", "c"), ("a", "c")])
+
+
+@query("motif_tails", Q + """ SELECT p.src AS a, p.dst AS b, q.dst AS c, t.dst AS d FROM e p JOIN e q ON q.src = p.dst JOIN e r ON r.src = p.src AND r.dst = q.dst JOIN e t ON t.src = q.dst AND t.dst <> p.src AND t.dst <> p.dst
+    WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.src = t.dst AND x.dst IN (p.src, p.dst))""")
+def _(s, d):
+    return graph.motif(X.sparse(s, d).edges, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], [("d", "a"), ("d", "b")], different=True)
+
+
 @query("network_preview", P + """, f AS (SELECT src, dst FROM e ORDER BY src, dst LIMIT 900), n AS (SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM f) GROUP BY id ORDER BY k DESC, id LIMIT 70)
     SELECT src, dst FROM f WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) ORDER BY src, dst LIMIT 180""")
 def _(s, d):
@@ -906,28 +923,56 @@ def _(s, d):
 # Comparison
 
 
-def _metrics(s: SparkSession, d: str, k: int) -> DataFrame:
+_KEYS = ["nodes", "edges", "density", "avg_degree", "max_degree", "triangles"]
+
+
+def _metrics(s: SparkSession, g: graph.Graph, triangles: bool) -> DataFrame:
+    """metric, value of a run over a graph."""
     from meshwork.sources.sinks import metrics
 
-    n = X.table(s, d, "part").count()
-    return metrics(s, {"nodes": n, "avg_degree": 2.0 + 0.01 * k, "triangles": 10 + k} | ({"density": 0.5} if k else {}))
+    size, deg = graph.summary(g).first(), graph.degree_stats(graph.degrees(g)).first()
+    found = size.asDict() | {k: deg[k] for k in ("avg_degree", "max_degree")}
+    return metrics(s, found | ({"triangles": graph.triangle_total(graph.triangles(g)).first()[0]} if triangles else {}))
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """The graph of all lines against that of lines of two items or more, whose triangles aren't counted."""
+    return compare.compare_metrics(_KEYS, _metrics(s, X.parts(s, d), True), _metrics(s, X._copurchase(s, d, 2), False))
+
+
+def _metrics_sql() -> str:
+    second = _graph_sql(2).removeprefix("WITH RECURSIVE ")
+    for name in ("u", "e", "v", "deg"):
+        second = second.replace(f"{name} AS MATERIALIZED", f"{name}2 AS MATERIALIZED").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"FROM {name})", f"FROM {name}2)")
+    run = lambda k: f"SELECT (SELECT count(*) FROM v{k})::DOUBLE AS nodes, (SELECT count(*) FROM u{k})::DOUBLE AS edges, 2.0::DOUBLE * (SELECT count(*) FROM u{k}) / ((SELECT count(*) FROM v{k}) * ((SELECT count(*) FROM v{k}) - 1)) AS density, (SELECT avg(2 * d) FROM deg{k}) AS avg_degree, (SELECT max(2 * d) FROM deg{k})::DOUBLE AS max_degree"
+    rows = " UNION ALL ".join(f"SELECT {i} AS place, '{k}' AS metric, a.{k} AS a, b.{k} AS b, {0.02 if k in ('density', 'avg_degree') else 1e-6} AS tol FROM a, b" for i, k in enumerate(_KEYS[:-1]))
+    return P + ", " + second + _TRI + f", a AS ({run('')}), b AS ({run('2')}), m AS ({rows} UNION ALL SELECT 5, 'triangles', (SELECT count(*) FROM tri)::DOUBLE, NULL, 1e-6), c AS (SELECT place::INT AS place, metric, a, b, abs(a - b) <= tol AS match FROM m)"
+
+
+_STATUS = "CASE WHEN match IS NULL THEN 'specific' WHEN match THEN 'matched' ELSE 'different' END AS status"
+
+
+@query("metric_compare", _metrics_sql() + f" SELECT place, metric, round(a, 9) AS a, round(b, 9) AS b, match, {_STATUS} FROM c")
+def _(s, d):
+    return _compared(s, d).withColumns({k: F.round(k, 9) for k in ("a", "b")})
 
 
-@query("metric_compare", "SELECT * FROM (VALUES (0, 'nodes', (SELECT count(*)::DOUBLE FROM part), (SELECT count(*)::DOUBLE FROM part), true, 'matched'), (1, 'avg_degree', 2.0::DOUBLE, 2.01::DOUBLE, true, 'matched'), (2, 'triangles', 10::DOUBLE, 11::DOUBLE, false, 'different'), (3, 'density', NULL, 0.5::DOUBLE, NULL, 'specific')) t(place, metric, a, b, match, status)")
+@query("metric_mismatches", _metrics_sql() + f" SELECT metric, {_STATUS} FROM c WHERE match IS NULL OR NOT match")
 def _(s, d):
-    return compare.compare_metrics(["nodes", "avg_degree", "triangles", "density"], _metrics(s, d, 0), _metrics(s, d, 1))
+    return compare.not_matching(_compared(s, d)).select("metric", "status")
 
 
-@query("metric_mismatches", "SELECT * FROM (VALUES ('triangles', 'different'), ('density', 'specific')) t(metric, status)")
+@query("metric_counters", _metrics_sql() + " SELECT count(match) AS comparable, count(*) FILTER (match) AS matched FROM c")
 def _(s, d):
-    return compare.not_matching(compare.compare_metrics(["nodes", "avg_degree", "triangles", "density"], _metrics(s, d, 0), _metrics(s, d, 1))).select("metric", "status")
+    return compare.counters(_compared(s, d))
 
 
-@query("timing_compare", "SELECT * FROM (VALUES ('pagerank', 2.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 'b'), ('triangles', 1.0, 1.0, 1.0, 'tie'), ('components', NULL, 3.0, NULL, NULL)) t(algorithm, a, b, speedup, winner)")
+@query("timing_compare", """WITH t AS (SELECT event_type AS algorithm, sum(value) FILTER (ts < TIMESTAMP '2024-01-15') AS a, sum(value) FILTER (ts >= TIMESTAMP '2024-01-15' AND event_type <> 'signup') AS b FROM events GROUP BY event_type)
+    SELECT algorithm, round(a, 4) AS a, round(b, 4) AS b, round(a / b, 6) AS speedup, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN abs(a - b) <= 1e-9 THEN 'tie' WHEN a < b THEN 'a' ELSE 'b' END AS winner FROM t""")
 def _(s, d):
-    a = s.createDataFrame([("pagerank", 2.0), ("triangles", 1.0)], "algorithm string, seconds double")
-    b = s.createDataFrame([("pagerank", 1.0), ("triangles", 1.0), ("components", 3.0)], "algorithm string, seconds double")
-    return compare.compare_timings(a, b)
+    e = X.table(s, d, "events").select(F.col("event_type").alias("algorithm"), "value", (F.col("ts").cast("timestamp") < F.lit("2024-01-15").cast("timestamp")).alias("early"))
+    a, b = (e.filter(c).groupBy("algorithm").agg(F.sum("value").alias("seconds")) for c in ("early", "NOT early AND algorithm <> 'signup'"))
+    return compare.compare_timings(a, b).withColumns({"a": F.round("a", 4), "b": F.round("b", 4), "speedup": F.round("speedup", 6)})
 
 
 @query("topk_overlap", P + _pagerank_sql(5) + """, a AS (SELECT id FROM r5 ORDER BY round(r, 6) DESC, id LIMIT 10), z AS (SELECT id FROM r2 ORDER BY round(r, 6) DESC, id LIMIT 10) SELECT count(*) AS overlap FROM a JOIN z USING (id)""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import centrality, forest, iterate, resilience
-from meshwork.operators.graph import Graph
+from meshwork.operators.graph import Graph, motif
 from meshwork.operators.order import numbered
 
 
@@ -157,3 +157,25 @@ def test_empty_graph(spark):
     g = Graph.undirected(spark.createDataFrame([(1, 1)], "src long, dst long"))
     assert forest.separation(g).count() == 0
     assert resilience.attack_curve(g, resilience.random_order(g)).count() == 1 and resilience.global_efficiency(g).first()[0] == 0.0
+
+
+def test_motifs(spark):
+    """Any pattern, with absent edges, loops and one vertex under two names, against all namings."""
+    from itertools import product
+
+    edges = {(1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (3, 4), (4, 2)}
+    frame = spark.createDataFrame([*edges, (1, 2)], "src long, dst long")
+    for pattern, absent, different in [([("a", "b"), ("b", "c")], [("a", "c")], False), ([("c", "d"), ("a", "b"), ("b", "c")], [("d", "a")], True), ([("a", "b"), ("b", "a")], [], False), ([("a", "a"), ("a", "b")], [("b", "b")], False)]:
+        names = sorted({x for e in pattern for x in e})
+        want = []
+        for found in product(range(1, 5), repeat=len(names)):
+            of = dict(zip(names, found, strict=True))
+            if all((of[a], of[b]) in edges for a, b in pattern) and not any((of[a], of[b]) in edges for a, b in absent) and (not different or len(set(found)) == len(found)):
+                want.append(found)
+        got = motif(frame, pattern, absent, different=different)
+        assert got.columns == names and sorted(tuple(r) for r in got.collect()) == want and want
+    for bad in ([("a", "b"), ("c", "d")], []):
+        with pytest.raises(ValueError):
+            motif(frame, bad)
+    with pytest.raises(ValueError):
+        motif(frame, [("a", "b")], [("a", "z")])
