@@ -35,9 +35,11 @@ def near(a, b):
 
 
 def grouped(words):
-    out, form = [], {}
+    out, form, sized = [], {}, {}
+    for w in words:
+        sized.setdefault(len(w), []).append(w)
     for w, n in words.items():
-        own = [x for x in words if near(w, x)]
+        own = [x for k in (-1, 0, 1) for x in sized.get(len(w) + k, ()) if near(w, x)]
         best = min(own, key=lambda x: (-words[x], x)) if own else None
         if best and words[best] >= 5 * n:
             form[w] = best
