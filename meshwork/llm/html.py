@@ -16,15 +16,18 @@ with a third of all pages sends no more rows than others.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import html
+import itertools
 import json
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 #: What isn't main text: elements, and words of class, id and role.
 _OUT = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas audio video dialog menu title".split())
 _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertisements banner sponsor sponsored promo sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus replies widget toolbar pagination pager search skip complementary contentinfo".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("main article articlebody".split())
 
@@ -172,19 +176,47 @@ def merge(a: list, b: list, *, apart: bool = True) -> list:
     return [a[0], a[1] | b[1], a[2] + b[2] if apart else max(a[2], b[2]), a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5], apart=apart)]
 
 
+def units(labels: list[str]) -> list[int]:
+    """Each label's place in the sequence without its repeats: neighbours, or groups of any size, that come again take the places of the first.
+
+    Small groups go first. Sequences are compared with themselves as arrays, so that
+    wide elements cost array operations alone.
+    """
+    number = {x: k for k, x in enumerate(set(labels))}
+    if len(number) == len(labels):
+        return list(range(len(labels)))
+    if len(number) == 1:
+        return [0] * len(labels)
+    ids = np.array([number[x] for x in labels], dtype=np.int32)
+    place = np.arange(len(ids))
+    size = 1
+    while 2 * size <= len(ids):
+        same = ids[size:] == ids[:-size]
+        if np.count_nonzero(same) >= size:
+            breaks = np.flatnonzero(np.r_[True, ~same, True])
+            runs = np.diff(breaks) - 1
+            if (long := np.flatnonzero(runs >= size)).size:
+                to, kept = np.arange(len(ids)), np.ones(len(ids), dtype=bool)
+                for k in long:
+                    first, n = breaks[k], runs[k] // size * size
+                    to[first + size : first + size + n] = np.resize(to[first : first + size], n)
+                    kept[first + size : first + size + n] = False
+                place = (np.cumsum(kept) - 1)[to][place]
+                ids = ids[kept]
+        size += 1
+    return place.tolist()
+
+
 def fold(nodes: list) -> list:
-    """Equal neighbours, alone or in groups of up to three, become repeated ones."""
-    for size in (1, 2, 3):
-        out: list = []
-        for node in nodes:
+    """Equal neighbours, alone or in groups of any size, become repeated ones."""
+    out: list = []
+    for node, k in zip(nodes, units([x[0] for x in nodes]), strict=True):
+        if k == len(out):
             out.append(node)
-            while len(out) >= 2 * size and [x[0] for x in out[-size:]] == [x[0] for x in out[-2 * size : -size]]:
-                late = [out.pop() for _ in range(size)][::-1]
-                for k in range(size):
-                    out[k - size] = merge(out[k - size], late[k], apart=False)
-                    out[k - size][1] |= 2
-        nodes = out
-    return nodes
+        else:
+            out[k] = merge(out[k], node, apart=False)
+            out[k][1] |= 2
+    return out
 
 
 def _rows(a: list[str], b: list[str]) -> Iterator[int]:
@@ -318,7 +350,7 @@ def _out(label: str, inside: bool) -> bool:
         return "comment" in words
     if tag in _OUT or tag == "header" and not inside:  # an article's own header has its title
         return True
-    return not (inside and tag in _INLINE) and any(w in _OUT_WORDS for w in words)  # within an article inline elements are words of its sentences
+    return not (inside and (tag in _INLINE or tag in _HEADS)) and any(w in _OUT_WORDS for w in words)  # within an article inline elements are words of its sentences, headings its own
 
 
 @functools.lru_cache(1 << 16)
@@ -334,11 +366,17 @@ def slots(wrapper: list, pages: int) -> list:
     mostly links, 0 is neither. A slot is fixed if its text is the same on most of
     the host's pages and the host has enough to tell. The slots between two block
     tags go together: none is fixed beside one that varies, and all are links if
-    more than LINKS of their characters on all pages are.
+    more than LINKS of their characters on all pages are. A fixed heading of an
+    article stays where something varies under it, before the next heading.
     """
     runs: list[list[tuple[list, int, bool, bool, bool, bool]]] = [[]]
+    headed = [False]
 
-    def walk(nodes: list, dropped: bool, inside: bool, linked: bool) -> list:
+    def begin(head: bool) -> None:
+        runs.append([])
+        headed.append(head)
+
+    def walk(nodes: list, dropped: bool, inside: bool, linked: bool, head: bool) -> list:
         out = []
         for label, flags, seen, chars, constant, children in nodes:
             if label == "#":
@@ -349,15 +387,23 @@ def slots(wrapper: list, pages: int) -> list:
                 continue
             tag = label.split(" ", 1)[0]
             if tag not in _INLINE:
-                runs.append([])
-            out.append([label, flags, walk(children, dropped or _out(label, inside), inside or _main(label), linked or tag == "a")])
+                begin(head or tag in _HEADS)
+            out.append([label, flags, walk(children, dropped or _out(label, inside), inside or _main(label), linked or tag == "a", head or tag in _HEADS)])
             if tag not in _INLINE:
-                runs.append([])
+                begin(head)
         return out
 
-    out = walk(wrapper, False, False, False)
-    for run in runs:
+    out = walk(wrapper, False, False, False, False)
+    over = under = False  # whether the block behind is a heading, and whether something varies from there to the next one
+    for run, head in zip(reversed(runs), reversed(headed), strict=True):
+        if not run:
+            continue
         varies = any(v for *_, v in run)
+        if head:
+            varies = varies or under and run[0][2]
+        else:
+            under = run[0][2] and (varies or under and not over)
+        over = head
         links = sum(n for _, n, _, linked, _, _ in run if linked) > LINKS * sum(n for _, n, *_ in run)
         for node, _, inside, _, fixed, _ in run:
             fixed = fixed and not varies
@@ -366,42 +412,57 @@ def slots(wrapper: list, pages: int) -> list:
 
 
 def positions(wrapper: list, labels: list[str]) -> list[int]:
-    """The wrapper's node for each of a page's neighbours, -1 for none: as many as can be, then as few optional ones as can be.
+    """The wrapper's node for each of a page's neighbours, -1 for none.
 
-    Nodes come in order; a repeated node, or up to three of them in a row, can come again.
+    The neighbours fold as the wrapper's did. What is left is aligned with the nodes
+    that all pages have, as many as can be, then between these with the others. Where
+    neighbours still have no place, those next to a repeated node go on in the
+    repeated nodes around it.
     """
     by: dict[str, list[int]] = {}
     for j, node in enumerate(wrapper):
         by.setdefault(node[0], []).append(j)
     if all(len(js) == 1 for js in by.values()):
         return [by.get(x, (-1,))[0] for x in labels]
-    # last[j]: the best way that ends at node j, as (matched, required, way before, neighbour, node).
-    start: tuple = (0, 0, None, -1, -1)
-    last: list[tuple | None] = [None] * len(wrapper)
-    for i, label in enumerate(labels):
-        new, before, at = [], start, 0
-        for j in by.get(label, ()):
-            for k in range(at, j):
-                if last[k] is not None and last[k][:2] > before[:2]:
-                    before = last[k]
-            at, way = j, before
-            for k in range(j, min(j + 3, len(wrapper))):
-                if not wrapper[k][1] & 2:
-                    break
-                if last[k] is not None and last[k][:2] > way[:2]:
-                    way = last[k]
-            new.append((way[0] + 1, way[1] + (not wrapper[j][1] & 1), way, i, j))
-        for x in new:
-            if last[x[4]] is None or x[:2] > last[x[4]][:2]:
-                last[x[4]] = x
-    out = [-1] * len(labels)
-    way = max((x for x in last if x is not None), key=lambda x: x[:2], default=start)
-    while way[2] is not None:
-        out[way[3]] = way[4]
-        way = way[2]
+    place = units(labels)
+    folded = [""] * (max(place, default=-1) + 1)
+    for k, x in zip(place, labels, strict=True):
+        folded[k] = x
+    names = [x[0] for x in wrapper]
+    needed = [j for j, x in enumerate(wrapper) if not x[1] & 1]
+    node_of, i, j = [-1] * len(folded), 0, 0
+    for to_i, n in [*common(folded, [names[k] for k in needed]), (len(folded), len(needed))]:
+        to_j = needed[n] if n < len(needed) else len(names)
+        for at, k in common(folded[i:to_i], names[j:to_j]):
+            node_of[i + at] = j + k
+        if to_i < len(folded):
+            node_of[to_i] = to_j
+        i, j = to_i + 1, to_j + 1
+    out = [node_of[k] for k in place]
+    _go_on(out, labels, wrapper, by, 1)
+    _go_on(out, labels, wrapper, by, -1)
     return out
 
 
+def _go_on(out: list[int], labels: list[str], wrapper: list, by: dict[str, list[int]], step: int) -> None:
+    """Gives neighbours without a node that of their label which comes next, in steps of ``step``, in the ring of repeated nodes around the last one."""
+    ring: list[tuple[int, int]] = []  # for each node, the repeated nodes around it
+    at = 0
+    for repeated, nodes in itertools.groupby(wrapper, lambda x: bool(x[1] & 2)):
+        n = len(list(nodes))
+        ring += [(at, at + n if repeated else at)] * n
+        at += n
+    near = -1
+    for i in range(len(labels))[::step]:
+        if out[i] < 0 <= near and ring[near][0] < ring[near][1]:
+            js = by.get(labels[i], [])
+            low, high = (bisect.bisect_left(js, x) for x in ring[near])
+            if low < high:
+                k = bisect.bisect_right(js, near) if step > 0 else bisect.bisect_left(js, near) - 1
+                out[i] = js[k] if low <= k < high else js[low if step > 0 else high - 1]
+        near = out[i] if out[i] >= 0 else near
+
+
 def kinds_of(page: list[tuple[int, str | int, str]], wrapper: list) -> list[int]:
     """The kind of each of a page's texts (of its events): that of the slot at its place in the host's wrapper."""
     root: list = []
