@@ -37,12 +37,17 @@ class Powers:
 POWERS = Powers()
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values`` (uint64), by one running polynomial."""
+def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial of each span of ``values`` (uint64), from one running sum."""
     up, down = POWERS.upto(len(values) + 1)
     run = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], out=run[1:])
-    return mix64((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return (run[ends] - run[starts]) * down[starts]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``values`` (uint64)."""
+    return mix64(span_sums(values, starts, ends) + (ends - starts).astype(np.uint64))
 
 
 def blocks(texts: list[str], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,11 +93,45 @@ def char_grams(codes: np.ndarray, live: np.ndarray, n: int, bits: int) -> tuple[
     return at, (h[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
-def word_grams(codes: np.ndarray, live: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashed values of the words, runs without white space, that start at live places."""
-    gap = (codes <= 32) | (codes == 0xA0) | (codes == 0x3000)
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    keep = live[starts] if len(starts) else np.zeros(0, dtype=bool)
-    starts, ends = starts[keep], ends[keep]
-    return starts, span_hashes(mix64(codes.astype(np.uint64) + np.uint64(1)), starts, ends) >> np.uint64(64 - bits)
+class Words:
+    """Hashed words, runs without white space, of the blocks of some texts, taken in order; a word that a block's end cuts is carried on."""
+
+    def __init__(self) -> None:
+        self.owner, self.sum, self.length = -1, 0, 0  # of the word that is open
+        self.before: tuple[int, int] | None = None  # owner and hash of the last word given
+
+    def take(self, codes: np.ndarray, owner: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and 64-bit hashes of the words that end in the block."""
+        gap = (codes <= 32) | (codes == 0xA0) | (codes == 0x3000) | ~live
+        edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        sums = span_sums(mix64(codes.astype(np.uint64) + np.uint64(1)), starts, ends)
+        sizes, owners = (ends - starts).astype(np.uint64), owner[starts]
+        if self.length:
+            if len(starts) and starts[0] == 0 and owners[0] == self.owner:
+                sums[0] = np.uint64((self.sum + int(sums[0]) * pow(Powers.BASE, self.length, 1 << 64)) % (1 << 64))
+                sizes[0] += np.uint64(self.length)
+            else:
+                sums, sizes, owners = np.r_[np.uint64(self.sum), sums], np.r_[np.uint64(self.length), sizes], np.r_[self.owner, owners]
+            self.length = 0
+        last = int(np.flatnonzero(live)[-1]) if live.any() else -1
+        if len(starts) and ends[-1] == last + 1:  # more of it may come
+            self.owner, self.sum, self.length = int(owners[-1]), int(sums[-1]), int(sizes[-1])
+            sums, sizes, owners = sums[:-1], sizes[:-1], owners[:-1]
+        return owners, mix64(sums + sizes)
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The word that is still open, if any."""
+        size, self.length = self.length, 0
+        n = int(size > 0)
+        return np.array([self.owner] * n, dtype=np.int64), mix64(np.array([(self.sum + size) % (1 << 64)] * n, dtype=np.uint64))
+
+    def pairs(self, owners: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and exclusive or of each two neighbouring words of a text, those of blocks before among them."""
+        if not len(owners):
+            return owners, hashes
+        if self.before is not None:
+            owners, hashes = np.r_[self.before[0], owners], np.r_[np.uint64(self.before[1]), hashes]
+        self.before = int(owners[-1]), int(hashes[-1])
+        same = owners[1:] == owners[:-1]
+        return owners[1:][same], (hashes[1:] ^ hashes[:-1])[same]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.common import arrow_map, picked, slices
-from meshwork.llm.hashgrams import blocks, char_grams, word_grams
+from meshwork.llm.hashgrams import Words, blocks, char_grams
 
 ORDERS = (2, 3)
 BITS = 15
@@ -24,15 +24,19 @@ EPOCHS, RATE, SEED = 8, 0.5, 11
 
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(owner, hashed feature) of all words, word pairs and character n-grams, block by block."""
+    """(owner, hashed feature) of all words, word pairs and character n-grams, block by block; where blocks end changes none."""
+    words = Words()
+
+    def of_words(owner: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for mine, x in ((owner, h), words.pairs(owner, h)):  # pairs by exclusive or: a word behind itself is one feature, whatever the word
+            yield mine, (x >> np.uint64(64 - BITS)).astype(np.uint32)
+
     for codes, owner, live in blocks([t or "" for t in texts], max(ORDERS) - 1):
         for order in ORDERS:
             at, h = char_grams(codes, live, order, BITS)
             yield owner[at], h
-        at, h = word_grams(codes, live, 64)
-        yield owner[at], (h >> np.uint64(64 - BITS)).astype(np.uint32)
-        pair = owner[at[1:]] == owner[at[:-1]]  # word pairs by exclusive or: a word behind itself is one feature, whatever the word
-        yield owner[at[1:]][pair], ((h[1:] ^ h[:-1])[pair] >> np.uint64(64 - BITS)).astype(np.uint32)
+        yield from of_words(*words.take(codes, owner, live))
+    yield from of_words(*words.rest())
 
 
 @dataclass(frozen=True)
