@@ -18,7 +18,7 @@ ORDERS = (1, 2, 3)
 BITS = 15
 #: Documents to learn from, about: a hash picks them where there are more.
 TRAIN_ROWS = 20_000
-#: N-grams that the confidence counts at most: a long text is no surer than one of so many.
+#: N-grams that the score counts at most: a long text is no surer than one of so many. The prediction counts all.
 TRUST = 100
 
 _LETTER = regex.compile(r"\p{L}")
@@ -32,7 +32,7 @@ class LanguageModel:
     log_prior: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior, 0 to 1; ``und`` and 0 without a letter."""
+        """The likeliest language of each text, and its posterior (0 to 1) with likelihoods of TRUST n-grams at most; ``und`` and 0 without a letter."""
         n = len(texts)
         known = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
         if not known or not self.languages:
@@ -48,9 +48,9 @@ class LanguageModel:
                     np.add.at(total, rows, np.add.reduceat(self.log_prob[h], first, axis=0, dtype=np.float64))
                     np.add.at(grams, rows, np.diff(np.r_[first, len(at)]))
         scale = np.minimum(grams, TRUST) / np.maximum(grams, 1)
+        best = (total + self.log_prior).argmax(axis=1)
         logit = total * scale[:, None] + self.log_prior
-        best = logit.argmax(axis=1)
-        sure = 1 / np.exp(logit - logit.max(axis=1, keepdims=True)).sum(axis=1)
+        sure = 1 / np.exp(logit - logit[np.arange(n), best][:, None]).sum(axis=1)
         named = [UNKNOWN] * n
         for k in known:
             named[k] = self.languages[best[k]]
