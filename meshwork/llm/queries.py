@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = f"{shared_dir(spark)}/shard-map-{zlib.crc32(sf_dir.encode()):08x}"
+    store = f"{shared_dir(spark)}/shard-map-{hashlib.sha256(sf_dir.encode()).hexdigest()[:32]}"
     placed, _ = sharding.assign(table(spark, sf_dir, "documents"), 24, store)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 

@@ -79,27 +79,49 @@ class SlotMap:
         return SlotMap(self.version + 1, self.shards + 1, tuple(owner))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at ``path``: version, shards, virtual_slot, shard. A version that is there already is refused."""
-        rows = spark.range(1).select(F.lit(self.shards).alias("shards"), F.posexplode(F.expr(f"array({','.join(map(str, self.owner))})")).alias("virtual_slot", "shard"))
-        rows.coalesce(1).write.parquet(f"{path}/version={self.version}")
+        """Adds this version to the table at ``path``: version, slots, shards, virtual_slot, shard.
 
-    @staticmethod
-    def table(spark: SparkSession, path: str, version: int) -> DataFrame:
-        """virtual_slot, shard of one stored version."""
-        return spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard")
+        A version that is there already is refused; one that a lost driver left
+        unfinished is written over.
+        """
+        if self.version in SlotMap.versions(spark, path):
+            raise ValueError(f"version {self.version} of the slot map is stored already")
+        rows = spark.range(1).select(F.lit(len(self.owner)).alias("slots"), F.lit(self.shards).alias("shards"), F.posexplode(F.expr(f"array({','.join(map(str, self.owner))})")).alias("virtual_slot", "shard"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> SlotMap | None:
-        """The newest version in the table at ``path``; none where there is no table."""
+    def stored(spark: SparkSession, path: str) -> DataFrame | None:
+        """All rows of the table at ``path``, unfinished versions among them; none where there is no table."""
         try:
-            stored = spark.read.parquet(path)
+            found = spark.read.schema("slots int, shards int, virtual_slot int, shard int").parquet(path)
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        newest = stored.agg(F.max("version")).first()[0]
-        rows = stored.filter(F.col("version") == newest).orderBy("virtual_slot").collect()  # one row a slot
-        return SlotMap(int(newest), rows[0]["shards"], tuple(r["shard"] for r in rows))
+        return found if "version" in found.columns else None
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions that have all of their slots, oldest first."""
+        found = SlotMap.stored(spark, path)
+        if found is None:
+            return []
+        whole = found.groupBy("version").agg(F.countDistinct("virtual_slot").alias("n"), F.max("slots").alias("slots")).filter("n = slots")
+        return sorted(int(r["version"]) for r in whole.select("version").collect())  # one row a version
+
+    @staticmethod
+    def table(spark: SparkSession, path: str, version: int) -> DataFrame:
+        """virtual_slot, shard of one stored version."""
+        return spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest finished version in the table at ``path``; none where there is none."""
+        known = SlotMap.versions(spark, path)
+        if not known:
+            return None
+        rows = SlotMap.stored(spark, path).filter(F.col("version") == known[-1]).orderBy("virtual_slot").collect()  # one row a slot
+        return SlotMap(known[-1], rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
 def records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
