@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,24 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert sharding.assign(one_id, 4, str(tmp_path / "o"))[0].select("virtual_slot").distinct().count() > 1000
 
 
+def test_unfinished_versions_are_written_over(spark, tmp_path):
+    """What a driver lost within a write leaves behind: an empty folder, a version without rows, one that isn't whole."""
+    docs = spark.createDataFrame([(k, "x" * k) for k in range(40)], "doc_id long, text string")
+    for name, left in (("a", ["version=1/_temporary/0"]), ("b", ["."]), ("c", ["version=1", "version=2/_temporary"])):
+        store = str(tmp_path / name)
+        for folder in left:
+            (tmp_path / name / folder).mkdir(parents=True)
+        if name == "c":
+            whole = sharding.SlotMap.fresh(4, 16)
+            rows = spark.createDataFrame([(16, 4, k, s) for k, s in enumerate(whole.owner[:7])], "slots int, shards int, virtual_slot int, shard int")
+            rows.write.mode("overwrite").parquet(f"{store}/version=1")
+        assert sharding.SlotMap.load(spark, store) is None
+        placed, stored = sharding.assign(docs, 4, store, slots=16)
+        assert placed.count() == 40 and sharding.SlotMap.load(spark, store) == stored and sharding.SlotMap.versions(spark, store) == [1, 2]
+        with pytest.raises(ValueError):
+            stored.save(spark, store)
+
+
 # fingerprints
 
 
@@ -239,6 +258,47 @@ def test_blocks_cover_long_texts(monkeypatch):
     assert (whole == parts).all()
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 16, 1 << 18])
+def test_scores_do_not_know_blocks(monkeypatch, block):
+    """Words, pairs and n-grams of texts, whatever the block's size, against plain ones."""
+    import meshwork.llm.hashgrams as h
+
+    texts = ["extraordinary words  over\u00a0borders", "", "x", None, " a bb a bb ", "\n" * 9 + "end", "longword" * 9, "é ü " * 5, "in a line"]
+    words = [[k, w] for k, t in enumerate(texts) for w in re.split("[\x00-\x20\xa0\u3000]+", t or "") if w]
+    one = {}
+    for _, w in words:
+        (codes, owner, live), = blocks([w], 2)
+        reader = h.Words()
+        one[w] = int(np.concatenate([reader.take(codes, owner, live)[1], reader.rest()[1]])[0])
+    want = Counter((k, one[w] >> 64 - quality.BITS) for k, w in words)
+    want.update((k, (one[v] ^ one[w]) >> 64 - quality.BITS) for (k, v), (m, w) in zip(words, words[1:], strict=False) if k == m)
+    for k, t in enumerate(texts):
+        for order in quality.ORDERS:
+            for i in range(len(t or "") - order + 1):
+                (codes, _, live), = blocks([t[i : i + order]], 0)
+                want[k, int(char_grams(codes, live, order, quality.BITS)[1][0])] += 1
+    monkeypatch.setattr(h, "BLOCK", block)
+    got = Counter()
+    for owner, x in quality.features(texts):
+        got.update(zip(owner.tolist(), x.tolist(), strict=True))
+    assert got == want and len(one) == len(set(one.values()))
+
+
+def test_language_counts_all_of_long_texts():
+    """The prediction is naive Bayes', even where the score counts fewer n-grams."""
+    rng = np.random.default_rng(1)
+    log_prob = np.log(rng.dirichlet(np.ones(1 << langid.BITS), 2).T).astype(np.float32)
+    model = langid.LanguageModel(("x", "y"), log_prob, np.log(np.array([1e-30, 1.0])))
+    text = "some words of a text that goes on " * 300
+    total = np.zeros(2)
+    for order in langid.ORDERS:
+        for codes, _, live in blocks([text], 2):
+            total += log_prob[char_grams(codes, live, order, langid.BITS)[1]].sum(axis=0, dtype=np.float64)
+    (named,), (score,) = model.score([text])
+    assert named == model.languages[int((total + model.log_prior).argmax())] and 0 <= score <= 1
+    assert langid.LanguageModel(("x", "y"), log_prob[:, ::-1], model.log_prior).score([text])[0][0] == model.languages[int((total[::-1] + model.log_prior).argmax())]
+
+
 # Jaccard join
 
 
@@ -526,6 +586,46 @@ def test_positions_repeat_groups():
     assert html.positions(wrapper, ["h", "p", "hr", "p", "x", "i"]) == [0, 1, 2, 3, -1, 4]
 
 
+    ring = [["h", 2, []], ["p", 2, []], ["ul", 3, []], ["hr", 0, []], ["p", 1, []]]
+    assert html.positions(ring, ["p", "h", "p", "h", "p", "ul", "p", "hr", "p"]) == [1, 0, 1, 0, 1, 2, 1, 3, 4]
+    assert html.positions([["div", 1, []], ["hr", 1, []], ["div", 0, []]], ["div"]) == [2]  # what all pages have goes first
+
+
+def test_groups_of_any_size_repeat():
+    assert html.units([]) == []
+    rng = np.random.default_rng(5)
+    for size in range(1, 9):
+        group = [f"e{k}" for k in range(size)]
+        assert html.units(["a", *group * 4, "z"]) == [0, *[1 + k for k in range(size)] * 4, size + 1]
+    for _ in range(300):
+        labels = ["pqr"[k] for k in rng.integers(0, 3, rng.integers(0, 30))]
+        place = html.units(labels)
+        firsts = [place.index(k) for k in range(max(place, default=-1) + 1)]
+        folded = [labels[k] for k in firsts]
+        assert firsts == sorted(firsts) and [folded[k] for k in place] == labels  # a repeat takes the place of its like
+        assert all(x != y for x, y in zip(folded, folded[1:], strict=False))
+    card = "<h3>Name {n}</h3><p>Text {n}</p><hr><ul><li>Item {n}</ul><blockquote>Said {n}</blockquote>"
+    w = html.expression("<body>" + "".join(card.format(n=n) for n in "abcde") + "</body>")
+    assert [x[0] for x in w[0][5]] == ["h3", "p", "ul", "blockquote"] and all(x[1] & 2 for x in w[0][5])
+
+
+def test_many_mixed_siblings_take_little_time():
+    rng = np.random.default_rng(7)
+    tags = ["p", "h2", "ul", "div", "pre"]
+    pages = ["<article>" + "".join(f"<{t}>{t} {k} {n}</{t}>" for k, t in enumerate(tags[x] for x in rng.integers(0, 5, 20_000))) + "</article>" for n in "ab"]
+    began = time.process_time()
+    texts = host_texts(*pages)
+    assert time.process_time() - began < 20
+    for page, text in zip(pages, texts, strict=True):
+        assert text == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+def test_headings_of_articles_stay():
+    """A heading that all pages share stays over what varies, and whatever its class."""
+    body = "<article><h1>On {n}</h1><p>Text of {n}</p><h2 class=related>Related work</h2><p>Work of {n}</p><h2>Sources</h2><h3>Books</h3><ul><li>Book {n}</ul><h3>Share this page</h3><p>With your friends</p></article>"
+    assert host_texts(*[body.format(n=n) for n in "abcd"]) == [f"On {n} Text of {n} Related work Work of {n} Sources Books Book {n}" for n in "abcd"]
+
+
 # chats
 
 
