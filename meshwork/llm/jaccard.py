@@ -53,6 +53,8 @@ from meshwork.llm.shingles import shingle_set
 SMALL = 12
 #: Documents sampled for the order of blocks (results do not depend on it), and the share of them from which a shingle is common.
 SAMPLE_DOCS, COMMON = 4000, 0.002
+#: Common shingles that go to the tasks at most, 8 bytes each: the commonest (results do not depend on them).
+MOST_COMMON = 1 << 19
 #: Documents of a bucket, and shingles of them, that one task holds, about.
 HELD, HELD_SHINGLES = 512, 1 << 20
 
@@ -228,7 +230,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Hashes of the shingles in a share of the sampled documents; at most the sample's shingles / (share * sample)."""
+    """Hashes of the shingles in a share of the sampled documents, the commonest MOST_COMMON of them."""
     rows = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, rows))
     some = docs.filter(picked(share, "doc")) if share < 1 else docs
@@ -239,7 +241,7 @@ def _common(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(raw).view(np.int64))], names=["t"])
 
     least = max(3, int(COMMON * min(rows, SAMPLE_DOCS)))
-    found = arrow_map(some, run, "t long").groupBy("t").count().filter(F.col("count") >= least).select("t").toArrow()
+    found = arrow_map(some, run, "t long").groupBy("t").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "t").limit(MOST_COMMON).select("t").toArrow()
     return np.sort(found["t"].to_numpy().view(np.uint64))
 
 
