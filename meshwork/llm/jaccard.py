@@ -257,13 +257,14 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets link, of ids with several texts any two; docs: doc, raw.
 
     Pairs are dealt by b in parts of about HELD; b's text goes to each part once,
-    before the texts of its partners, which stream.
+    before the texts of its partners, which stream. One join gives the texts to
+    both, so that texts pass through a shuffle once.
     """
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("parts"))
-    partner = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    partner = partner.join(docs.withColumnRenamed("doc", "a"), "a").select("b", "part", "a", "raw")
-    hub = parts.join(docs.withColumnRenamed("doc", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "raw")
-    dealt = hub.unionByName(partner).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    partner = pairs.join(parts, "b").select(F.col("a").alias("doc"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    hub = parts.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
+    dealt = materialize(partner.unionByName(hub), "jaccard-dealt").join(docs, "doc").select("b", "part", "a", "raw")
+    dealt = dealt.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, []
