@@ -6,7 +6,7 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from meshwork import store
-from meshwork.operators import graph
+from meshwork.operators import centrality, graph
 from meshwork.operators.graph import Graph
 
 PAIRS = [(a, b) for a, b in combinations(range(1, 25), 2) if (a * 7 + b * 5) % 4 == 0] + [(30, 31)]
@@ -47,3 +47,10 @@ def test_open_wedges(spark):
     near = neighbours()
     want = {b: sum(c not in near[a] for a, c in permutations(near[b], 2)) for b in near}
     assert {r["b"]: r["wedges"] for r in graph.open_wedges(make(spark)).collect()} == {b: n for b, n in want.items() if n}
+
+
+def test_burt_constraint_counts_every_common_neighbour(spark):
+    near = neighbours()
+    p = lambda i, j: (1 + sum(1 / len(near[q]) for q in near[i] & near[j])) / len(near[i])
+    for r in centrality.burt_constraint(make(spark)).collect():
+        assert abs(r["constraint"] - sum(p(r["id"], j) ** 2 for j in near[r["id"]])) < 1e-9
