@@ -6,7 +6,7 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from meshwork import store
-from meshwork.operators import centrality, graph
+from meshwork.operators import centrality, graph, iterate
 from meshwork.operators.graph import Graph
 
 PAIRS = [(a, b) for a, b in combinations(range(1, 25), 2) if (a * 7 + b * 5) % 4 == 0] + [(30, 31)]
@@ -54,3 +54,31 @@ def test_burt_constraint_counts_every_common_neighbour(spark):
     p = lambda i, j: (1 + sum(1 / len(near[q]) for q in near[i] & near[j])) / len(near[i])
     for r in centrality.burt_constraint(make(spark)).collect():
         assert abs(r["constraint"] - sum(p(r["id"], j) ** 2 for j in near[r["id"]])) < 1e-9
+
+
+def test_packed_searches(spark, monkeypatch):
+    """Rows of few and many words, several blocks, more than 64 sources of one step and edges that a step can't pass."""
+    near, n = neighbours(), 70
+    line = [(100, k) for k in range(101, 100 + n)]
+    g = Graph.undirected(spark.createDataFrame([*PAIRS, *line], "src long, dst long"))
+    for a, b in line:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def search(s):
+        dist, todo = {s: 0}, [s]
+        for v in todo:
+            for w in near[v] - dist.keys():
+                dist[w] = dist[v] + 1
+                todo.append(w)
+        return [d for d in dist.values() if d]
+
+    far = {v: search(v) for v in near}
+    close = {v: len(d) ** 2 / ((len(near) - 1) * sum(d)) for v, d in far.items()}
+    for words, rows in ((1, centrality.STATE_ROWS), (8, 100)):
+        monkeypatch.setattr(iterate, "WORDS", words)
+        got = {r["id"]: r["closeness"] for r in centrality.closeness(g, rows=rows).collect()}
+        assert got.keys() == close.keys() and all(abs(got[v] - close[v]) < 1e-9 for v in got)
+        step = g.edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(1).alias("until"))
+        sources = spark.createDataFrame([(s, k, 100 + k) for s in (0, 1) for k in range(n)], "step int, place int, id long")
+        out = {(r["step"], r["id"]): r["reach"] for r in iterate.reached(step, sources, ["step"], F.lit, open_=F.col("step") < F.col("until")).collect()}
+        assert out == {(s, 100 + k): n - 1 if s == 0 else 0 for s in (0, 1) for k in range(n)}
