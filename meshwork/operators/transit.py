@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.functions import scalars as S
 from meshwork.operators.graph import Graph
 from meshwork.operators.order import numbered
-from meshwork.operators.iterate import connected_components, hops, pagerank
+from meshwork.operators.iterate import connected_components, far_hops, pagerank
 
 #: Other names of the columns that tables are brought to.
 GPS_ALIASES = {"id": "bus_id", "timestamp": "ts", "time": "ts", "latitude": "lat", "longitude": "lon", "lng": "lon", "speed_kmh": "speed"}
@@ -273,7 +273,7 @@ def map_view(points: DataFrame) -> DataFrame:
 def route_analysis(g: Graph, start=None, rounds: int = 5) -> DataFrame:
     """stop_id, pagerank, component_id, distance_from_source (null if it can't be reached); the source is the least id unless given."""
     source = g.vertices.agg(F.min("id").alias("id")) if not start or start <= 0 else g.vertices.filter(F.col("id") == start)
-    dist = hops(g, source).select("id", F.col("distance").alias("distance_from_source"))
+    dist = far_hops(g, source).withColumnRenamed("distance", "distance_from_source")
     return pagerank(g, max_iter=rounds).join(connected_components(g), "id", "left").join(dist, "id", "left").select(F.col("id").alias("stop_id"), "pagerank", F.col("component").alias("component_id"), "distance_from_source")
 
 

@@ -82,3 +82,17 @@ def test_packed_searches(spark, monkeypatch):
         sources = spark.createDataFrame([(s, k, 100 + k) for s in (0, 1) for k in range(n)], "step int, place int, id long")
         out = {(r["step"], r["id"]): r["reach"] for r in iterate.reached(step, sources, ["step"], F.lit, open_=F.col("step") < F.col("until")).collect()}
         assert out == {(s, 100 + k): n - 1 if s == 0 else 0 for s in (0, 1) for k in range(n)}
+
+
+def test_far_hops(spark, monkeypatch):
+    """Chains, rings with and without the source, branches and both ends of a chain in one vertex: as level by level, without its jobs."""
+    pairs = [*[(k, k + 1) for k in range(1, 40)], (40, 10), (5, 60), *[(k, k + 1) for k in range(60, 75)], (75, 20), *[(k, k + 1) for k in range(80, 85)], (80, 85), (90, 91), (91, 92), (92, 90), (92, 1), (95, 96)]
+    g = Graph.undirected(spark.createDataFrame(pairs, "src long, dst long"))
+    for s in (7, 82):
+        source = g.vertices.filter(F.col("id") == s)
+        want = {r["id"]: r["distance"] for r in iterate.hops(g, source).collect()}
+        rows = iterate.far_hops(g, source).collect()
+        assert len(rows) == len(want) and {r["id"]: r["distance"] for r in rows} == want
+    monkeypatch.setattr(iterate, "_levels", None)  # a long chain took a job for each four steps
+    g = graph.path_graph(spark, 1, 300)
+    assert [(r["step"], r["id"]) for r in iterate.trace(g, 1, 300).orderBy("step").collect()] == [(k, k) for k in range(1, 301)]
