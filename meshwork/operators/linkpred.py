@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph, degrees
 from meshwork.operators.order import numbered
-from meshwork.store import cut
+from meshwork.store import cut, shared_dir
 
 FEATURES = ("common_neighbors", "jaccard", "adamic_adar", "resource_allocation", "preferential_attachment", "same_community", "path_distance", "katz")
 BETA = 0.005
@@ -103,6 +105,13 @@ def without(g: Graph, pairs: DataFrame) -> Graph:
     return Graph(g.vertices, g.edges.join(gone, ["src", "dst"], "left_anti"))
 
 
+def _plain(spark: SparkSession, model: PipelineModel) -> PipelineModel:
+    """The model written and read back, without its summaries: these hold the session, which tasks can't always get (see ``Rounds.observed``)."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    save(model, path)
+    return load(path)
+
+
 def train(rows: DataFrame, *, seed: int = 42, trees: int = 100, boosts: int = 50, rounds: int = 100) -> tuple[DataFrame, object]:
     """(model, auc, importances by model), and the best fitted pipeline; rows: features and label."""
     spark = rows.sparkSession
@@ -115,7 +124,7 @@ def train(rows: DataFrame, *, seed: int = 42, trees: int = 100, boosts: int = 50
     }
     out, best = [], (-1.0, None)
     for name, m in models.items():
-        fitted = Pipeline(stages=[*head, m]).fit(learn)
+        fitted = _plain(spark, Pipeline(stages=[*head, m]).fit(learn))
         auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(fitted.transform(test))
         weights = fitted.stages[-1].featureImportances.toArray().tolist() if name == "random_forest" else None
         out.append((name, float(auc), weights))
