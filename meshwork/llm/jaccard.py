@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import arrow_map, materialize, picked, slices
+from meshwork.llm.common import arrow_map, materialize, materialize_filtered, picked, slices
 from meshwork.llm.components import components
 from meshwork.llm.hashgrams import mix64
 from meshwork.llm.shingles import shingle_set
@@ -253,6 +253,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _with_texts(dealt: DataFrame, docs: DataFrame) -> DataFrame:
+    """The written rows ``dealt`` (doc, ...) with their texts. Spark filters a join's left side first, by a right one under a condition; this one holds for all ids."""
+    return docs.join(dealt.filter(F.col("doc") > _NO_ID), "doc")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets link, of ids with several texts any two; docs: doc, raw.
 
@@ -263,7 +268,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("parts"))
     partner = pairs.join(parts, "b").select(F.col("a").alias("doc"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
     hub = parts.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
-    dealt = materialize(partner.unionByName(hub), "jaccard-dealt").join(docs, "doc").select("b", "part", "a", "raw")
+    dealt = _with_texts(materialize(partner.unionByName(hub), "jaccard-dealt"), docs).select("b", "part", "a", "raw")
     dealt = dealt.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +353,7 @@ def _across(open_: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     held = rows.filter("component <> main").select("hub", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), upto("cuts").alias("cut"), F.lit(0).alias("passing"), "doc", "component")
     passing = rows.select("hub", upto("parts").alias("part"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cuts")).cast("int").alias("cut"), F.lit(1).alias("passing"), "doc", "component")
-    dealt = materialize(held.unionByName(passing), "jaccard-across").join(docs, "doc")
+    dealt = _with_texts(materialize(held.unionByName(passing), "jaccard-across"), docs)
     dealt = dealt.select("hub", "part", "cut", "passing", "doc", "component", "raw").repartition("hub", "part", "cut").sortWithinPartitions("hub", "part", "cut", "passing", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +397,7 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     equal = found.filter(F.col("kind") == _EQUAL).select(*ends).distinct()
     pairs = found.filter(F.col("kind").isin(_ENTRY, _MEMBER)).select(*ends).distinct()
     likely = materialize(_ruled_in(pairs, sketches, percent), "jaccard-likely")
-    links = materialize(verified(likely, nodes, percent).unionByName(equal), "jaccard-links")
+    links = materialize_filtered(verified(likely, nodes, percent).unionByName(equal), "jaccard-links")
     labels = components(links)
     members = met.filter((F.col("kind") == _MEMBER) & (F.col("doc") > _NO_ID)).select(F.col("extra").alias("sig"), "doc").distinct()
     members = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -402,7 +407,7 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if spread.isEmpty():
         return sizes, labels
     open_ = materialize(members.join(spread, "sig").select("hub", "doc", "component").distinct(), "jaccard-members")
-    more = materialize(_across(open_, sketches, nodes, percent), "jaccard-links")
+    more = materialize_filtered(_across(open_, sketches, nodes, percent), "jaccard-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return sizes, labels
