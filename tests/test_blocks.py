@@ -96,3 +96,47 @@ def test_far_hops(spark, monkeypatch):
     monkeypatch.setattr(iterate, "_levels", None)  # a long chain took a job for each four steps
     g = graph.path_graph(spark, 1, 300)
     assert [(r["step"], r["id"]) for r in iterate.trace(g, 1, 300).orderBy("step").collect()] == [(k, k) for k in range(1, 301)]
+
+
+def test_betweenness_packs_its_sources(spark, monkeypatch):
+    """As Brandes by hand over all and some sources, in several blocks and lists; a level has no row for each source and vertex."""
+    near = neighbours()
+
+    def dependencies(s):
+        dist, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+        return {v: x for v, x in delta.items() if v != s}
+
+    sizes, put = [], store.Rounds.cut
+
+    def kept(self, df, label):
+        out = put(self, df, label)
+        if label.startswith("brandes-"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(store.Rounds, "cut", kept)
+    n = len(near)
+    for some, rows, longest in ((sorted(near), 10**8, 1000), (sorted(near), 200, 3), (sorted(near)[:5], 10**8, 2)):
+        monkeypatch.setattr(centrality, "LIST", longest, raising=False)
+        sizes.clear()
+        want = dict.fromkeys(near, 0.0)
+        for s in some:
+            for v, x in dependencies(s).items():
+                want[v] += x * n / len(some) / ((n - 1) * (n - 2))
+        sources = spark.createDataFrame([(s,) for s in some], "id long")
+        got = {r["id"]: r["betweenness"] for r in centrality.betweenness(make(spark), sources, rows=rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in got)
+        if rows == 10**8:
+            assert max(sizes) <= n * -(-len(some) // 16)
