@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import centrality, community, embeddings, graph, iterate, linkpred, resilience
+from meshwork import store
 from meshwork.operators.graph import Graph
 from meshwork.plans import catalog
 
@@ -215,3 +216,28 @@ def test_walks_follow_their_weights(spark):
         weight = {c: 1 / 4 if c == a else 1.0 if c in near[a] else 4.0 for c in near[b]}
         for c, w in weight.items():
             assert abs(to.count(c) / len(to) - w / sum(weight.values())) < 2.5 / len(to) ** 0.5
+
+
+def test_walks_take_one_join_a_step(spark, monkeypatch):
+    """Steps are taken in lists of ends, few tables each; vertices with several lists keep their weights."""
+    tables, put = [], store.Rounds.cut
+    monkeypatch.setattr(store.Rounds, "cut", lambda self, df, label: (tables.append(label), put(self, df, label))[1])
+    monkeypatch.setattr(embeddings, "ENDS", 2, raising=False)
+    edges = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (3, 6), (2, 6)]
+    g, near = make(spark, edges), {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    steps = {}
+    for r in embeddings.walks(g, length=8, per_vertex=300, p=1.0, q=0.5).collect():
+        v = [int(x) for x in r["walk"]]
+        assert len(v) == 8 and all(b in near[a] for a, b in zip(v, v[1:], strict=False))
+        for a, b, c in zip(v, v[1:], v[2:], strict=False):
+            steps.setdefault((a, b), []).append(c)
+    for (a, b), to in steps.items():
+        weight = {c: 1.0 if c == a or c in near[a] else 2.0 for c in near[b]}
+        for c, w in weight.items():
+            assert abs(to.count(c) / len(to) - w / sum(weight.values())) < 2.5 / len(to) ** 0.5
+    monkeypatch.setattr(embeddings, "ENDS", 100, raising=False)
+    tables.clear()
+    assert {len(r["walk"]) for r in embeddings.walks(g, length=8, per_vertex=300, p=1.0, q=0.5).collect()} == {8}
+    assert len(tables) == 1  # a proposal a round and join, it took three or more
